@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -117,10 +118,6 @@ def _literal(value: Any, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def _text(col: Column, dtype: T.DataType) -> Column:
-    return fold_ascii(col if isinstance(dtype, T.StringType) else col.cast("string"))
-
-
 def _never(col: Column) -> Column:
     """False for every value, null for null."""
     return F.when(col.isNotNull(), F.lit(False))
@@ -137,13 +134,34 @@ _RANGE: dict[str, Callable[[Column, Column], Column]] = {
     "lt": lambda c, v: c < v,
     "lte": lambda c, v: c <= v,
 }
-_LIKE: dict[str, Callable[[Column, str], Column]] = {
+_LIKE: dict[str, Callable[[Column, Column], Column]] = {
     "contains": lambda c, v: c.contains(v),
     "startswith": lambda c, v: c.startswith(v),
     "endswith": lambda c, v: c.endswith(v),
 }
 
 
+def _prefix_range(col: Column, prefix: str) -> Column:
+    """Bounds that any spelling of the prefix lies in: upper case sorts below lower case.
+
+    Folded text hides the column from scans; these bare comparisons do not.
+    """
+    low, high = prefix.upper(), prefix[:-1] + chr(ord(prefix[-1]) + 1)
+    return (col >= F.lit(low)) & (col < F.lit(high))
+
+
+def _like(op: str, col: Column, value: str, dtype: T.DataType) -> Column:
+    """Case-insensitive for ASCII letters; the value is literal text, not a pattern."""
+    text = col if isinstance(dtype, T.StringType) else col.cast("string")
+    if not any(ch in string.ascii_letters for ch in value):
+        return _LIKE[op](text, F.lit(value))
+    folded = fold_ascii_value(value)
+    found = _LIKE[op](fold_ascii(text), F.lit(folded))
+    if op == "startswith" and isinstance(dtype, T.StringType) and folded.isascii():
+        return _prefix_range(col, folded) & found
+    return found
+
+
 def _members(clause: Clause) -> list:
     if not isinstance(clause.value, list) or not all(
         isinstance(v, (str, int, float)) for v in clause.value
@@ -173,7 +191,7 @@ def predicate(clause: Clause, dtype: T.DataType) -> Column:
     if clause.op in _RANGE:
         return _RANGE[clause.op](col, _literal(_as_bound(clause.value, dtype), dtype))
     if clause.op in _LIKE:
-        return _LIKE[clause.op](_text(col, dtype), fold_ascii_value(str(clause.value)))
+        return _like(clause.op, col, str(clause.value), dtype)
     found = _exact(col, clause.value, dtype)
     return found if clause.op == "exact" else ~found
 

@@ -69,9 +69,11 @@ def exact_percentiles(
         "_c",
         F.sum("_c").over(all_zones).alias("_n"),
         F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
-        F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p"),
+    )
+    ranked = placed.select(
+        "*", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p")
     ).withColumn("_rank", F.floor(F.col("p") * F.col("_n")) + 1)
-    held = placed.filter(
+    held = ranked.filter(
         (F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_c"))
     )
     goal = held.select(

@@ -203,9 +203,9 @@ def _sentences(spark, sf):
     return items.select(F.col("item_id").alias("query_id"), sentence.alias("phrase"))
 
 
-def _postings(spark, sf):
+def _texts(spark, sf):
     parts = [
-        postings.build_postings(
+        postings.texts(
             table(spark, sf, f"corpus.{name}"), f"corpus.{name}",
             REGISTRY.any_table("corpus", name).key, ["text"],
         )
@@ -233,7 +233,12 @@ _MANY = (
 
 @query(_MANY)
 def many_phrases(spark, sf):
-    return postings.match_postings(_postings(spark, sf), _sentences(spark, sf))
+    return postings.match_phrases(_texts(spark, sf), _sentences(spark, sf))
+
+
+@query(_MANY)
+def many_phrases_by_postings(spark, sf):
+    return postings.match_phrases(_texts(spark, sf), _sentences(spark, sf), in_place_limit=0)
 
 
 @query(
@@ -244,6 +249,6 @@ def many_phrases(spark, sf):
 )
 def many_phrase_totals(spark, sf):
     queries = _sentences(spark, sf)
-    matches = postings.match_postings(_postings(spark, sf), queries)
+    matches = postings.match_phrases(_texts(spark, sf), queries)
     labels = ["corpus.documents", "corpus.conversations", "corpus.benchmark"]
     return postings.hit_totals(matches, queries, labels)
