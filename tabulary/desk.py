@@ -88,7 +88,9 @@ class QueryDesk:
         rows = apply_filters(df, rest)
 
         at = self.clock()
-        keys = paging.sort_keys(sort, spec.key)
+        # Under one parent its key is the same on every row, and it must not be shown.
+        fixed = {spec.link.parent_fk} if trigger is not None else set()
+        keys = paging.sort_keys(sort, [k for k in spec.key if k not in fixed])
         out = projection.enrich(self.registry, database, spec, df, columns, at)
 
         def page_position() -> Pagination:

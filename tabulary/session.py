@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold from a laptop to a large cluster. Parallelism is left to the cluster:
 #: AQE coalesces small shuffles and splits skewed join partitions at run time.
@@ -62,3 +62,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name under the shared folder (not created here)."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores before heavy per-row work, if the scan has fewer parts.
+
+    A large table already has more parts than the cluster has cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
