@@ -179,4 +179,4 @@ def visible_only(registry: Registry, rows: DataFrame) -> DataFrame:
     """Keep rows whose (database, table) is visible in the catalog."""
     names = [(d, t.name) for d in registry.databases for t in registry.visible_tables(d)]
     catalog = rows.sparkSession.createDataFrame(names, "database string, table string")
-    return rows.join(catalog, ["database", "table"], "left_semi")
+    return rows.join(catalog, ["database", "table"], "left_semi").select(*rows.columns)

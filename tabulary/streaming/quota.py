@@ -30,6 +30,10 @@ class Quota:
     daily_limit: int = 5_000
     idle_ttl_seconds: float | None = 900.0
 
+    def __post_init__(self) -> None:
+        # Stored state has a double column, which a whole number would not fill.
+        object.__setattr__(self, "burst", float(self.burst))
+
 
 class Bucket(NamedTuple):
     """State of one key. Times are microseconds since the epoch, ``day`` a day number."""
