@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulary.functions.urls import normalize_url, url_hash
 from tabulary.operators.filters import Clause
 from tabulary.operators.numbering import number_rows
+from tabulary.operators.sizing import few_rows, hinted
 from tabulary.registry import FragmentLink, Registry, TableSpec
 
 
@@ -100,14 +101,17 @@ def fragments_of_many(
 ) -> DataFrame:
     """Fragments for many parent urls at once: ``parent_url`` plus the fragment columns."""
     wanted = _requested(requests, match)
+    # Each url resolves to one parent at most, so the count of urls bounds both joins.
+    few = few_rows(wanted)
     candidates = _matching(parents, lookup, match).join(
-        wanted.select("_match").distinct(), "_match", "left_semi"
+        hinted(wanted.select("_match").distinct(), few), "_match", "left_semi"
     )
     chosen = latest_parents(candidates, "_match", link, key).select(
         "_match", F.col(link.parent_pk).alias("_pk")
     )
     resolved = wanted.join(chosen, "_match").select(F.col("url").alias("parent_url"), "_pk")
-    return fragments.join(resolved, fragments[link.parent_fk] == F.col("_pk")).select(
+    own = fragments[link.parent_fk] == F.col("_pk")
+    return fragments.join(hinted(resolved, few), own).select(
         "parent_url", *[fragments[c] for c in fragments.columns]
     )
 

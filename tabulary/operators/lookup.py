@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulary.errors import unsupported_fetch
 from tabulary.functions.urls import normalize_url
+from tabulary.operators.sizing import few_rows, hinted
 from tabulary.registry import TableSpec
 
 
@@ -47,8 +48,9 @@ def fetch_many(
     wanted = _comparable(requests.select("url").distinct(), "url", match)
     found = _comparable(df, url_column, match)
     first = F.min_by(F.struct(*columns), F.struct(*key)).alias("_row")
+    asked = hinted(wanted.select("_match").distinct(), few_rows(wanted))
     grouped = (
-        found.join(wanted.select("_match").distinct(), "_match", "left_semi")
+        found.join(asked, "_match", "left_semi")
         .groupBy("_match")
         .agg(F.count("*").alias("_n"), first)
     )

@@ -9,6 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulary.operators.sizing import few_rows, hinted
 from tabulary.session import ensure_checkpoint_dir
 
 _ACCURACY = 10_000
@@ -51,13 +52,15 @@ def exact_percentiles(
         renamed = sketch.select(
             *[F.col(k).alias(f"_s_{k}") for k in keys], "_cuts"
         ).checkpoint()
+        few = few_rows(renamed)
         same = reduce(
             lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]
         )
-        zoned = values.join(renamed, same)
+        zoned = values.join(hinted(renamed, few), same)
     else:
         cuts = sketch.first()["_cuts"] or []  # one row of a few numbers
         zoned = values.withColumn("_cuts", F.array(*[F.lit(c) for c in cuts]))
+        few = True  # one goal per percentile
     zoned = zoned.select(*keys, "_v", _zone(F.col("_v"), F.col("_cuts"), len(shares)).alias("_z"))
 
     sizes = zoned.groupBy(*keys, "_z").agg(F.count("*").alias("_c"))
@@ -86,7 +89,7 @@ def exact_percentiles(
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
     distinct = (
-        zoned.join(goal, same).groupBy(*keys, "p", "_rest", "_v").agg(F.count("*").alias("_c"))
+        zoned.join(hinted(goal, few), same).groupBy(*keys, "p", "_rest", "_v").agg(F.count("*").alias("_c"))
     )
     upto = Window.partitionBy(*keys, "p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return (
