@@ -176,9 +176,7 @@ class QueryDesk:
         if not found:
             return Envelope(search.empty_rows(self.spark), provenance, page=Pagination)
         tables = [(t, self.open(t.database, t.spec)) for t in found]
-        rows = search.search_rows(self.registry, tables, query, limit, at)
-        data = search.visible_only(self.registry, rows)
-        data = data.orderBy("round", "turn").drop("round", "turn")
+        data = search.search_rows(self.registry, tables, query, limit, at)
 
         def totals() -> Pagination:
             per_table = search.search_totals(tables, query).collect()  # one row per table

@@ -47,9 +47,11 @@ def matches_phrase(col: Column, phrase: str) -> Column:
     if not words:
         return F.lit(False)
     folded = F.lower(col)
-    pattern = (
-        f"(?<!{WORD})" + SEPARATORS.join(re.escape(w) for w in words) + f"(?!{WORD})"
-    )
+    # Starting with the literal word lets the engine skip ahead; what stands before it is
+    # looked at only where it occurs.
+    first, *rest = [re.escape(w) for w in words]
+    start = f"{first}(?<!{WORD}{first})"
+    pattern = SEPARATORS.join([start, *rest]) + f"(?!{WORD})"
     return F.contains(folded, F.lit(max(words, key=len))) & F.rlike(folded, F.lit(pattern))
 
 

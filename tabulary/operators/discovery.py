@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulary.operators.counts import labelled_counts
 from tabulary.registry import Registry, TableSpec
+from tabulary.session import local_frame
 
 Opener = Callable[[str, TableSpec], DataFrame]
 
@@ -22,7 +23,7 @@ _TABLES = (
 
 def databases_frame(spark: SparkSession, registry: Registry) -> DataFrame:
     rows = [(d.name, d.description, *d.license_pair()) for d in registry.databases.values()]
-    return spark.createDataFrame(rows, _DATABASES)
+    return local_frame(spark, rows, _DATABASES)
 
 
 def catalog_frame(spark: SparkSession, registry: Registry) -> DataFrame:
@@ -32,12 +33,12 @@ def catalog_frame(spark: SparkSession, registry: Registry) -> DataFrame:
         for d in registry.databases.values()
         for i, t in enumerate(d.tables)
     ]
-    return spark.createDataFrame(rows, _TABLES)
+    return local_frame(spark, rows, _TABLES)
 
 
 def denied_frame(spark: SparkSession, registry: Registry) -> DataFrame:
     rows = [(d.name, t) for d in registry.databases.values() for t in sorted(d.denied_tables)]
-    return spark.createDataFrame(rows, "database string, name string")
+    return local_frame(spark, rows, "database string, name string")
 
 
 def visible_frame(catalog: DataFrame, denied: DataFrame) -> DataFrame:
@@ -64,14 +65,9 @@ def list_databases(spark: SparkSession, registry: Registry) -> DataFrame:
 
 
 def row_counts(registry: Registry, database: str, open_table: Opener) -> DataFrame:
-    """(name, row_count) per visible table; Parquet answers a bare count from its footers."""
-    counts = [
-        open_table(database, spec)
-        .agg(F.count("*").alias("row_count"))
-        .select(F.lit(spec.name).alias("name"), "row_count")
-        for spec in registry.visible_tables(database)
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    """(name, row_count) per visible table; no column is read for a bare count."""
+    parts = [(spec.name, open_table(database, spec)) for spec in registry.visible_tables(database)]
+    return labelled_counts(parts, "name", "row_count")
 
 
 def described(upstream: Column, fallback: Column) -> Column:

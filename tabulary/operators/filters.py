@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tabulary.errors import invalid_filter
 from tabulary.functions.text import fold_ascii, fold_ascii_value
+from tabulary.session import local_frame
 
 # The filter vocabulary.
 OPERATORS = (
@@ -204,8 +205,8 @@ def _join_members(df: DataFrame, clause: Clause) -> DataFrame:
     """Membership in a long list: a semi join, or an anti join over non-null rows."""
     dtype = df.schema[clause.column].dataType
     rows = [(v,) for v in _stored_members(clause, dtype)]
-    members = df.sparkSession.createDataFrame(
-        rows, T.StructType([T.StructField(clause.column, dtype)])
+    members = local_frame(
+        df.sparkSession, rows, T.StructType([T.StructField(clause.column, dtype)])
     )
     if clause.op == "in":
         return df.join(members, clause.column, "left_semi")

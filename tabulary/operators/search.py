@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tabulary.errors import invalid_query
 from tabulary.functions.text import matches_phrase_in_any
+from tabulary.operators.counts import labelled_counts
 from tabulary.operators.merge import round_robin
 from tabulary.operators.paging import MAX_SEARCH_LIMIT, SortKey, order_by, sort_keys
 from tabulary.operators.projection import row_citation
 from tabulary.registry import Registry, TableSpec
+from tabulary.session import local_frame
 
 # For each preview field the column names tried, in order of preference.
 PREVIEW_CANDIDATES = {
@@ -152,20 +154,19 @@ def search_rows(
     limit: int,
     retrieved_at: datetime,
 ) -> DataFrame:
-    """Merged preview rows in round-robin order, one plan over all tables."""
+    """Merged preview rows in round-robin order, one plan over all tables.
+
+    Rows are checked against the catalog once more before they are merged.
+    """
     parts = [top_hits(registry, t, df, query, limit, retrieved_at) for t, df in tables]
-    return round_robin(reduce(DataFrame.unionByName, parts), limit)
+    rows = visible_only(registry, reduce(DataFrame.unionByName, parts))
+    return round_robin(rows, limit).drop("round", "turn")
 
 
 def search_totals(tables: Sequence[tuple[Target, DataFrame]], query: str) -> DataFrame:
     """Hits per ``database.table``; tables without a hit count zero."""
-    counts = [
-        hits(target, df, query).agg(F.count("*").alias("hits")).select(
-            F.lit(target.label).alias("table"), "hits"
-        )
-        for target, df in tables
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    parts = [(target.label, hits(target, df, query)) for target, df in tables]
+    return labelled_counts(parts, "table", "hits")
 
 
 def totals_map(totals: DataFrame) -> DataFrame:
@@ -178,5 +179,5 @@ def totals_map(totals: DataFrame) -> DataFrame:
 def visible_only(registry: Registry, rows: DataFrame) -> DataFrame:
     """Keep rows whose (database, table) is visible in the catalog."""
     names = [(d, t.name) for d in registry.databases for t in registry.visible_tables(d)]
-    catalog = rows.sparkSession.createDataFrame(names, "database string, table string")
+    catalog = local_frame(rows.sparkSession, names, "database string, table string")
     return rows.join(catalog, ["database", "table"], "left_semi").select(*rows.columns)

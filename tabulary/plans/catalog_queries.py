@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulary.operators import discovery
+from tabulary.operators.counts import labelled_counts
 from tabulary.plans.bindings import CC_BY, REGISTRY
 from tabulary.plans.catalogue import desk, query, table
 from tabulary.sources.column_types import column_types
@@ -32,18 +33,15 @@ def _counts_sql() -> str:
     )
 
 
-def _open(spark, sf):
-    return lambda database, spec: table(spark, sf, f"{database}.{spec.name}")
-
-
 def _counts(spark, sf) -> DataFrame:
     parts = [
-        discovery.row_counts(REGISTRY, d, _open(spark, sf)).select(
-            F.lit(d).alias("database"), "name", "row_count"
-        )
+        (f"{d}.{t.name}", table(spark, sf, f"{d}.{t.name}"))
         for d in REGISTRY.databases
+        for t in REGISTRY.visible_tables(d)
     ]
-    return reduce(DataFrame.unionByName, parts)
+    counted = labelled_counts(parts, "label", "row_count")
+    names = F.split("label", r"\.")
+    return counted.select(names[0].alias("database"), names[1].alias("name"), "row_count")
 
 
 @query(_counts_sql())
@@ -109,19 +107,17 @@ def table_list(spark, sf):
 )
 def visible_tables(spark, sf):
     """Every registered table, counted, less the hidden and the denied ones."""
-    counted = [
-        table(spark, sf, f"{d.name}.{t.name}").agg(F.count("*").alias("row_count")).select(
-            F.lit(d.name).alias("database"),
-            F.lit(t.name).alias("name"),
-            F.lit(t.hidden).alias("hidden"),
-            "row_count",
-        )
+    parts = [
+        (f"{d.name}.{t.name}", table(spark, sf, f"{d.name}.{t.name}"))
         for d in REGISTRY.databases.values()
         for t in d.tables
     ]
-    catalog = reduce(DataFrame.unionByName, counted)
+    counted = labelled_counts(parts, "label", "row_count")
+    catalog = discovery.catalog_frame(spark, REGISTRY).withColumn(
+        "label", F.concat_ws(".", "database", "name")
+    )
     visible = discovery.visible_frame(catalog, discovery.denied_frame(spark, REGISTRY))
-    return visible.select("database", "name", "row_count")
+    return visible.join(counted, "label").select("database", "name", "row_count")
 
 
 @query(f"SELECT database, count(*) AS tables FROM ({_counts_sql()}) GROUP BY database")

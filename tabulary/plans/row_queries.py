@@ -8,6 +8,7 @@ from tabulary.envelope import provenance_for
 from tabulary.operators import paging, projection, quality
 from tabulary.plans.bindings import CC_BY, REGISTRY, RETRIEVED_AT, RETRIEVED_TEXT
 from tabulary.plans.catalogue import desk, query, table
+from tabulary.session import local_frame
 
 
 def _enriched(spark, sf, name, columns=None):
@@ -119,7 +120,8 @@ def mixed_table_policies(spark, sf):
         for t in d.tables
         if t.policy is not None
     ]
-    policies = spark.createDataFrame(
+    policies = local_frame(
+        spark,
         listed,
         "database string, table string, source string, license string, license_url string, "
         "redistribution string",

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Settings that hold from a laptop to a large cluster. Parallelism is left to the cluster:
 #: AQE coalesces small shuffles and splits skewed join partitions at run time.
@@ -71,3 +74,10 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A few driver-side rows as a relation of known size, which the planner can broadcast."""
+    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    pdf = pd.DataFrame(list(rows), columns=fields.names, dtype=object)
+    return spark.createDataFrame(pdf, fields)

@@ -7,13 +7,22 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulary.registry import TableSpec
 
 
+@lru_cache(maxsize=1024)
+def _stored_schema(application: str, path: str) -> T.StructType:
+    """A table's schema is read from its files once per application."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def open_table(spark: SparkSession, base: str, spec: TableSpec) -> DataFrame:
     """A lazy scan of the table with its row restriction and derived columns."""
-    df = spark.read.parquet(f"{base}/{spec.path or spec.name + '.parquet'}")
+    path = f"{base}/{spec.path or spec.name + '.parquet'}"
+    schema = _stored_schema(spark.sparkContext.applicationId, path)
+    df = spark.read.schema(schema).parquet(path)
     if spec.where:
         df = df.filter(spec.where)
     if spec.derived:
@@ -22,17 +31,4 @@ def open_table(spark: SparkSession, base: str, spec: TableSpec) -> DataFrame:
 
 
 def opener(spark: SparkSession, base: str) -> Callable[[str, TableSpec], DataFrame]:
-    """Open each table once per session object; the schema is read on first use only."""
-
-    @lru_cache(maxsize=None)
-    def cached(name: str, path: str | None) -> DataFrame:
-        return open_table(spark, base, specs[name, path])
-
-    specs: dict[tuple[str, str | None], TableSpec] = {}
-
-    def open_registered(database: str, spec: TableSpec) -> DataFrame:
-        label = (f"{database}.{spec.name}", spec.path)
-        specs[label] = spec
-        return cached(*label)
-
-    return open_registered
+    return lambda database, spec: open_table(spark, base, spec)
