@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulary.errors import invalid_filter
-from tabulary.functions.text import fold_ascii, fold_ascii_value
+from tabulary.functions.text import contains_folded, fold_ascii, fold_ascii_value
 from tabulary.session import local_frame
 
 # The filter vocabulary.
@@ -135,11 +135,17 @@ _RANGE: dict[str, Callable[[Column, Column], Column]] = {
     "lt": lambda c, v: c < v,
     "lte": lambda c, v: c <= v,
 }
-_LIKE: dict[str, Callable[[Column, Column], Column]] = {
+_LIKE: dict[str, Callable[[Column, str], Column]] = {
     "contains": lambda c, v: c.contains(v),
     "startswith": lambda c, v: c.startswith(v),
     "endswith": lambda c, v: c.endswith(v),
 }
+# Only as much text is folded as the value is long.
+_FOLDED: dict[str, Callable[[Column, str], Column]] = {
+    "contains": contains_folded,
+    "startswith": lambda c, v: fold_ascii(F.left(c, F.lit(len(v)))) == v,
+    "endswith": lambda c, v: fold_ascii(F.right(c, F.lit(len(v)))) == v,
+}
 
 
 def _prefix_range(col: Column, prefix: str) -> Column:
@@ -155,9 +161,9 @@ def _like(op: str, col: Column, value: str, dtype: T.DataType) -> Column:
     """Case-insensitive for ASCII letters; the value is literal text, not a pattern."""
     text = col if isinstance(dtype, T.StringType) else col.cast("string")
     if not any(ch in string.ascii_letters for ch in value):
-        return _LIKE[op](text, F.lit(value))
+        return _LIKE[op](text, value)
     folded = fold_ascii_value(value)
-    found = _LIKE[op](fold_ascii(text), F.lit(folded))
+    found = _FOLDED[op](text, folded)
     if op == "startswith" and isinstance(dtype, T.StringType) and folded.isascii():
         return _prefix_range(col, folded) & found
     return found

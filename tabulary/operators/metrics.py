@@ -35,13 +35,11 @@ def latency_summary(samples: DataFrame, value: str = "duration_ms") -> DataFrame
         F.coalesce(F.max(F.col(value).cast("double")), F.lit(0.0)).alias("max_ms"),
         F.count(value).alias("samples"),
     )
-    # Both sides are single-row aggregates, read as scalars.
+    # Both sides are single-row aggregates; the totals are read as one scalar.
+    both = totals.select(F.struct("max_ms", "samples")).scalar()
     return spread.select(
-        F.col("p50").alias("p50_ms"),
-        F.col("p95").alias("p95_ms"),
-        totals.select("max_ms").scalar().alias("max_ms"),
-        totals.select("samples").scalar().alias("samples"),
-    )
+        F.col("p50").alias("p50_ms"), F.col("p95").alias("p95_ms"), both["max_ms"], both["samples"]
+    ).toDF("p50_ms", "p95_ms", "max_ms", "samples")
 
 
 def error_counts(samples: DataFrame) -> DataFrame:

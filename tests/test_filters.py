@@ -13,6 +13,7 @@ ROWS = [
     (3, "ÉTÉ Decision", 2000, None),
     (4, None, None, 4.0),
     (5, "100% sure_thing", 1000, 0.5),
+    (6, "C:\\Ends (a.b)\nK", 70, 0.0),
 ]
 
 
@@ -29,36 +30,43 @@ def ids(df, *clauses):
     ("clause", "expected"),
     [
         (("title", "exact", "Decision A"), [1]),
-        (("title", "not", "Decision A"), [2, 3, 5]),
+        (("title", "not", "Decision A"), [2, 3, 5, 6]),
         (("title", "contains", "DECISION"), [1, 2, 3]),
         (("title", "contains", "été"), []),
         (("title", "contains", "É"), [3]),
         (("title", "contains", "%"), [5]),
         (("title", "contains", "e_t"), [5]),
-        (("title", "contains", ""), [1, 2, 3, 5]),
+        (("title", "contains", ""), [1, 2, 3, 5, 6]),
         (("title", "startswith", "Dec"), [1, 2]),
         (("title", "startswith", "dECISION b"), [2]),
         (("title", "startswith", "100"), [5]),
         (("title", "endswith", "A"), [1]),
+        (("title", "contains", "\\ENDS"), [6]),
+        (("title", "contains", "(A.B)\nk"), [6]),
+        (("title", "contains", "a?b"), []),
+        (("title", "contains", "\u212a"), []),
+        (("title", "endswith", "b)\nK"), [6]),
+        (("title", "startswith", "c:\\e"), [6]),
+        (("title", "endswith", "a much longer text than any title here"), []),
         (("title", "endswith", "DECISION"), [3]),
         (("penalty", "contains", "00"), [1, 2, 3, 5]),
         (("penalty", "gt", 1000), [3]),
         (("penalty", "gte", "1000"), [2, 3, 5]),
-        (("penalty", "lt", 1000), [1]),
-        (("penalty", "lte", 1000), [1, 2, 5]),
+        (("penalty", "lt", 1000), [1, 6]),
+        (("penalty", "lte", 1000), [1, 2, 5, 6]),
         (("score", "gte", "2.5"), [2, 4]),
         (("title", "gt", "d"), [2, 3]),
         (("title", "in", ["Decision A", "decision b, too"]), [1]),
         (("title", "in", []), []),
-        (("title", "notin", ["Decision A"]), [2, 3, 5]),
-        (("title", "notin", []), [1, 2, 3, 5]),
+        (("title", "notin", ["Decision A"]), [2, 3, 5, 6]),
+        (("title", "notin", []), [1, 2, 3, 5, 6]),
         (("penalty", "in", ["500", 2000.0, "x"]), [1, 3]),
         (("penalty", "exact", "1000.0"), [2, 5]),
         (("penalty", "exact", "many"), []),
-        (("penalty", "not", "many"), [1, 2, 3, 5]),
+        (("penalty", "not", "many"), [1, 2, 3, 5, 6]),
         (("penalty", "isnull", None), [4]),
         (("penalty", "isnull", "ignored"), [4]),
-        (("penalty", "notnull", None), [1, 2, 3, 5]),
+        (("penalty", "notnull", None), [1, 2, 3, 5, 6]),
     ],
 )
 def test_operators(rows, clause, expected):
@@ -105,7 +113,7 @@ def test_unknown_operator_and_fields_are_rejected():
 
 def test_long_lists_join(rows):
     wanted = [str(i) for i in range(filters.IN_LIST_LIMIT + 500)]
-    assert ids(rows, Clause("penalty", "in", wanted)) == [1, 2, 5]
+    assert ids(rows, Clause("penalty", "in", wanted)) == [1, 2, 5, 6]
     assert ids(rows, Clause("penalty", "notin", wanted)) == [3]
 
 
