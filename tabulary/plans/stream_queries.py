@@ -29,25 +29,27 @@ WITH RECURSIVE e AS (
   SELECT event_id, {key} AS k, epoch_us(ts) AS us, epoch_us(ts) // {_DAY} AS day,
          row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM {source}
 ), s AS (
-  SELECT event_id, k, rn, us AS seen, day, true AS allowed, CAST(0 AS BIGINT) AS wait,
-         CAST({q.burst} AS DOUBLE) - 1 AS tokens, CAST(1 AS BIGINT) AS n,
+  SELECT event_id, k, rn, us AS seen, us AS refilled, day, true AS allowed,
+         CAST(0 AS BIGINT) AS wait, CAST({q.burst} AS DOUBLE) - 1 AS tokens,
+         CAST({q.burst} AS DOUBLE) - 1 AS tokens_left, CAST(1 AS BIGINT) AS n,
          1 >= {q.daily_limit} AS locked FROM e WHERE rn = 1
   UNION ALL
-  SELECT event_id, k, rn, us, day, ok,
+  SELECT event_id, k, rn, us, CASE WHEN ok OR fresh THEN us ELSE refilled END, day, ok,
          CASE WHEN ok THEN 0 ELSE greatest(1,
            CASE WHEN t < 1 THEN CAST(ceil((1 - t) / {rate}) AS BIGINT) ELSE 1 END,
            CASE WHEN l THEN CAST(ceil(((day + 1) * {_DAY} - us) / 1e6) AS BIGINT) ELSE 1 END) END,
+         CASE WHEN ok THEN t - 1 WHEN fresh THEN t ELSE tokens END,
          CASE WHEN ok THEN t - 1 ELSE t END, CASE WHEN ok THEN c + 1 ELSE c END,
          l OR (ok AND c + 1 >= {q.daily_limit})
   FROM (SELECT *, t >= 1 AND c < {q.daily_limit} AS ok FROM (
-    SELECT e.event_id, e.k, e.rn, e.us, e.day,
-      CASE WHEN {fresh} THEN CAST({q.burst} AS DOUBLE)
-           ELSE least(CAST({q.burst} AS DOUBLE), s.tokens + (e.us - s.seen) / 1e6 * {rate}) END AS t,
+    SELECT e.event_id, e.k, e.rn, e.us, e.day, s.refilled, s.tokens, {fresh} AS fresh,
+      CASE WHEN {fresh} THEN CAST({q.burst} AS DOUBLE) ELSE
+        least(CAST({q.burst} AS DOUBLE), s.tokens + (e.us - s.refilled) / 1e6 * {rate}) END AS t,
       CASE WHEN {fresh} OR e.day > s.day THEN 0 ELSE s.n END AS c,
       CASE WHEN {fresh} OR e.day > s.day THEN false ELSE s.locked END AS l
     FROM s JOIN e ON e.k = s.k AND e.rn = s.rn + 1))
 )
-SELECT event_id, allowed, wait AS retry_after, round(tokens, 6) AS tokens_left FROM s"""
+SELECT event_id, allowed, wait AS retry_after, round(tokens_left, 6) AS tokens_left FROM s"""
 
 
 def _decisions(df):

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from tabulary.session import ensure_checkpoint_dir
 
 _SECOND = 1_000_000
 _DAY = 86_400 * _SECOND
+#: Runs of one key from this length on are worth array arithmetic.
+_LONG_RUN = 64
 
 
 @dataclass(frozen=True)
@@ -36,7 +39,11 @@ class Quota:
 
 
 class Bucket(NamedTuple):
-    """State of one key. Times are microseconds since the epoch, ``day`` a day number."""
+    """State of one key: tokens as of the last allowed request, and the day's count.
+
+    Times are microseconds since the epoch, ``day`` a day number. Rejected requests leave
+    the tokens alone, so any number of them in a row can be decided at once.
+    """
 
     tokens: float
     refilled: int
@@ -62,8 +69,8 @@ def expires(bucket: Bucket, quota: Quota) -> int | None:
     return max(idle, (bucket.seen // _DAY + 1) * _DAY) if bucket.locked else idle
 
 
-def decide(bucket: Bucket | None, now: int, quota: Quota) -> tuple[Bucket, bool, int]:
-    """One request at ``now``: (new state, allowed, seconds to wait if not)."""
+def decide(bucket: Bucket | None, now: int, quota: Quota) -> tuple[Bucket, bool, int, float]:
+    """One request at ``now``: (new state, allowed, seconds to wait if not, tokens left)."""
     today = now // _DAY
     if bucket is not None:
         deadline = expires(bucket, quota)
@@ -71,27 +78,68 @@ def decide(bucket: Bucket | None, now: int, quota: Quota) -> tuple[Bucket, bool,
             bucket = None
     if bucket is None:
         bucket = Bucket(quota.burst, now, 0, today, now, False)
-    tokens, refilled, count, day, _, locked = bucket
+    base, refilled, count, day, _, locked = bucket
     if today > day:
         count, day, locked = 0, today, False
+    tokens = base
     if now > refilled:
-        tokens = min(quota.burst, tokens + (now - refilled) / _SECOND * quota.per_second)
-        refilled = now
+        tokens = min(quota.burst, base + (now - refilled) / _SECOND * quota.per_second)
     if tokens >= 1.0 and count < quota.daily_limit:
         count += 1
         locked = locked or count >= quota.daily_limit
-        return Bucket(tokens - 1.0, refilled, count, day, now, locked), True, 0
+        left = tokens - 1.0
+        return Bucket(left, max(now, refilled), count, day, now, locked), True, 0, left
     wait = 1
     if tokens < 1.0:
         wait = max(wait, math.ceil((1.0 - tokens) / quota.per_second))
     if locked:
         wait = max(wait, -(-((today + 1) * _DAY - now) // _SECOND))
-    return Bucket(tokens, refilled, count, day, now, locked), False, wait
+    return Bucket(base, refilled, count, day, now, locked), False, wait, tokens
+
 
+def _rejected_until(bucket: Bucket, quota: Quota) -> int:
+    """After a rejection: until when every further request is rejected as well.
 
-def _decided(pdf: pd.DataFrame, results: list[tuple[bool, int, float]]) -> pd.DataFrame:
-    allowed, waits, left = zip(*results, strict=True) if results else ((), (), ())
-    return pdf.assign(allowed=list(allowed), retry_after=list(waits), tokens_left=list(left))
+    A little early rather than late, as the next request is decided on its own.
+    """
+    if bucket.locked:
+        return (bucket.day + 1) * _DAY
+    return bucket.refilled + int((1.0 - bucket.tokens) / quota.per_second * _SECOND) - 2
+
+
+def decide_run(
+    bucket: Bucket | None, times: np.ndarray, quota: Quota
+) -> tuple[Bucket, np.ndarray, np.ndarray, np.ndarray]:
+    """All requests of one key in time order; stretches of rejections are decided at once."""
+    n = len(times)
+    allowed, waits, left = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n)
+    stops = np.array([], np.int64)
+    if quota.idle_ttl_seconds is not None and n >= _LONG_RUN:
+        stops = np.flatnonzero(np.diff(times) > quota.idle_ttl_seconds * _SECOND) + 1
+    listed = times.tolist()
+    i = 0
+    while i < n:
+        bucket, allowed[i], waits[i], left[i] = decide(bucket, listed[i], quota)
+        i += 1
+        if allowed[i - 1] or n < _LONG_RUN:
+            continue
+        end = int(np.searchsorted(times, _rejected_until(bucket, quota)))
+        if not bucket.locked:
+            gap = int(np.searchsorted(stops, i))
+            end = min(end, int(stops[gap])) if gap < len(stops) else end
+        if end <= i:
+            continue
+        stretch = times[i:end]
+        tokens = bucket.tokens + (stretch - bucket.refilled) / _SECOND * quota.per_second
+        left[i:end] = np.minimum(quota.burst, tokens)
+        short = np.ceil((1.0 - left[i:end]) / quota.per_second)
+        waits[i:end] = np.where(left[i:end] < 1.0, np.maximum(1, short), 1)
+        if bucket.locked:
+            midnight = -(-((bucket.day + 1) * _DAY - stretch) // _SECOND)
+            waits[i:end] = np.maximum(waits[i:end], midnight)
+        bucket = bucket._replace(seen=listed[end - 1])
+        i = end
+    return bucket, allowed, waits, left
 
 
 def _micros(ts: str) -> Column:
@@ -177,8 +225,8 @@ def _boundary_buckets(parts: DataFrame, quota: Quota) -> dict[int, tuple[str, tu
 
 def _buckets(
     batches: Iterator[pd.DataFrame], quota: Quota, entry: dict[int, tuple[str, tuple]]
-) -> Iterator[tuple[pd.DataFrame, list[tuple[bool, int, float]], Bucket]]:
-    """Walk one sorted part a batch at a time: (batch, decisions, bucket after it)."""
+) -> Iterator[tuple[pd.DataFrame, Bucket]]:
+    """Walk one sorted part a batch at a time: (batch with decisions, bucket after it)."""
     current, bucket, started = None, None, False
     for pdf in batches:
         if pdf.empty:
@@ -187,19 +235,22 @@ def _buckets(
             started = True
             key, state = entry.get(int(pdf["_part"].iloc[0]), (None, None))
             current, bucket = key, Bucket(*state) if state else None
-        results = []
-        for key, now in zip(pdf["_key"].tolist(), pdf["_at"].tolist(), strict=True):
-            if key != current:
-                current, bucket = key, None
-            bucket, allowed, wait = decide(bucket, now, quota)
-            results.append((allowed, wait, bucket.tokens))
-        yield pdf, results, bucket
+        keys, times = pdf["_key"].to_numpy(), pdf["_at"].to_numpy()
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        decided = []
+        for start, end in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+            if keys[start] != current:
+                current, bucket = keys[start], None
+            bucket, *arrays = decide_run(bucket, times[start:end], quota)
+            decided.append(arrays)
+        allowed, waits, left = (np.concatenate(part) for part in zip(*decided, strict=True))
+        yield pdf.assign(allowed=allowed, retry_after=waits, tokens_left=left), bucket
 
 
 def _exit_buckets(boundary: DataFrame, quota: Quota, entry: dict) -> DataFrame:
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
-        for pdf, _, bucket in _buckets(batches, quota, entry):
+        for pdf, bucket in _buckets(batches, quota, entry):
             last = (int(pdf["_part"].iloc[0]), *bucket)
         if last is not None:
             yield pd.DataFrame([last], columns=["part", *Bucket._fields])
@@ -209,8 +260,8 @@ def _exit_buckets(boundary: DataFrame, quota: Quota, entry: dict) -> DataFrame:
 
 def _walk_parts(parts: DataFrame, quota: Quota, entry: dict) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, results, _ in _buckets(batches, quota, entry):
-            yield _decided(pdf, results)
+        for pdf, _ in _buckets(batches, quota, entry):
+            yield pdf
 
     return parts.mapInPandas(rows, T.StructType([*parts.schema.fields, *_DECISION]))
 
@@ -261,15 +312,12 @@ def stream_quota(
             return
         batch = pd.concat(list(frames)).sort_values(["_at", tiebreak], kind="stable")
         bucket = Bucket(*state.get) if state.exists else None
-        results = []
-        for now in batch["_at"].tolist():
-            bucket, allowed, wait = decide(bucket, now, quota)
-            results.append((allowed, wait, bucket.tokens))
+        bucket, allowed, waits, left = decide_run(bucket, batch["_at"].to_numpy(), quota)
         state.update(tuple(bucket))
         deadline = expires(bucket, quota)
         if deadline is not None:
             state.setTimeoutTimestamp(max(deadline // 1000, state.getCurrentWatermarkMs() + 1))
-        yield _decided(batch, results)
+        yield batch.assign(allowed=allowed, retry_after=waits, tokens_left=left)
 
     timeout = (
         GroupStateTimeout.NoTimeout

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pytest
 
 from tabulary.streaming import quota, runner
@@ -16,7 +17,7 @@ LONG = Quota(idle_ttl_seconds=None)
 def run(times, limits=LONG, bucket=None):
     out = []
     for t in times:
-        bucket, allowed, wait = decide(bucket, t, limits)
+        bucket, allowed, wait, _ = decide(bucket, t, limits)
         out.append((allowed, wait))
     return out, bucket
 
@@ -53,9 +54,9 @@ def test_midnight_resets_the_day():
 def test_the_longer_wait_is_reported():
     at = int(datetime(2026, 1, 1, 23, 55, tzinfo=UTC).timestamp()) * SECOND
     locked = Bucket(0.0, at - SECOND // 2, 5000, at // quota._DAY, at - SECOND // 2, True)
-    assert decide(locked, at, LONG)[1:] == (False, 300)
+    assert decide(locked, at, LONG)[1:3] == (False, 300)
     empty = Bucket(0.0, at, 10, at // quota._DAY, at, False)
-    assert decide(empty, at, Quota(per_second=1 / 60, idle_ttl_seconds=None))[1:] == (False, 60)
+    assert decide(empty, at, Quota(per_second=1 / 60, idle_ttl_seconds=None))[1:3] == (False, 60)
 
 
 def test_idle_buckets_are_forgotten_but_locked_ones_last_until_midnight():
@@ -83,8 +84,8 @@ def by_hand(rows, limits):
     out, buckets = {}, {}
     for i, key, ts in sorted(rows, key=lambda r: (r[2], r[0])):
         now = int(ts.replace(tzinfo=UTC).timestamp()) * SECOND
-        buckets[key], allowed, wait = decide(buckets.get(key), now, limits)
-        out[i] = (allowed, wait, buckets[key].tokens)
+        buckets[key], allowed, wait, left = decide(buckets.get(key), now, limits)
+        out[i] = (allowed, wait, left)
     return out
 
 
@@ -107,6 +108,32 @@ def test_replay_equals_one_sequential_pass(spark, many_parts, limits, hot):
     assert decided(quota.replay(df, "key", "ts", "id", limits)) == by_hand(rows, limits)
 
 
+LIMITS = [
+    Quota(3, 1 / 120, 300, None), Quota(5, 1 / 30, 100, 600.0), Quota(2, 1 / 7, 10**6, None),
+    Quota(20, 1.0, 5000, 900.0), Quota(1, 1 / 86400, 2, 50.0), Quota(2, 1.0, 0, None),
+    Quota(0.5, 1.0, 5, None), Quota(7, 3.3, 40, 3.0),
+]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+@pytest.mark.parametrize("step", [0.001, 1, 60, 2000])
+def test_a_long_run_equals_single_decisions(limits, step):
+    rng = random.Random(f"{limits}{step}")
+    times, at = [], NOON
+    for _ in range(2500):
+        at += int(rng.expovariate(1.0) * step * SECOND) * rng.choice((0, 1, 1, 1, 20))
+        times.append(at)
+    bucket, singles = None, []
+    for t in times:
+        bucket, *rest = decide(bucket, t, limits)
+        singles.append(tuple(rest))
+    state, got = None, []
+    for chunk in (times[:900], times[900:920], times[920:]):
+        state, *arrays = quota.decide_run(state, np.array(chunk), limits)
+        got += list(zip(*(a.tolist() for a in arrays), strict=True))
+    assert got == singles and state == bucket
+
+
 def test_replay_keeps_requests_without_a_key(spark):
     df = spark.createDataFrame(
         [(1, None, datetime(2026, 1, 1)), (2, None, datetime(2026, 1, 1))],
