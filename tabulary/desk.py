@@ -45,7 +45,7 @@ class QueryDesk:
         return Envelope(data, provenance_for(self.registry, self.clock()))
 
     def list_tables(self, database: str) -> Envelope:
-        data = discovery.list_tables(self.spark, self.registry, database, self.open)
+        data = discovery.list_tables(self.registry, database, self.open)
         return Envelope(data, provenance_for(self.registry, self.clock(), database))
 
     def describe_table(

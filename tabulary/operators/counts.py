@@ -19,6 +19,9 @@ def labelled_counts(
     All frames feed one grouped count, combined before its shuffle, instead of one
     single-row aggregate each.
     """
+    if len(parts) == 1:
+        text, df = parts[0]
+        return df.agg(F.count("*").alias(name)).select(F.lit(text).alias(label), name)
     spark = parts[0][1].sparkSession
     rows = reduce(
         DataFrame.unionByName, [df.select(F.lit(text).alias(label)) for text, df in parts]

@@ -75,22 +75,23 @@ def described(upstream: Column, fallback: Column) -> Column:
     return F.coalesce(F.nullif(upstream, F.lit("")), fallback, F.lit(""))
 
 
-def list_tables(
-    spark: SparkSession, registry: Registry, database: str, open_table: Opener
-) -> DataFrame:
-    """(name, row_count, description) of the visible tables."""
-    registry.database(database)
-    visible = visible_frame(
-        catalog_frame(spark, registry).filter(F.col("database") == database),
-        denied_frame(spark, registry),
-    )
-    counts = row_counts(registry, database, open_table)
-    text = described(F.col("upstream_description"), F.col("fallback_description"))
-    return (
-        visible.join(counts, "name", "left")
-        .orderBy("ordinal")
-        .select("name", "row_count", text.alias("description"))
-    )
+def list_tables(registry: Registry, database: str, open_table: Opener) -> DataFrame:
+    """(name, row_count, description) of the visible tables, in catalog order."""
+    specs = registry.visible_tables(database)
+    if not specs:
+        empty = "name string, row_count long, description string"
+        return local_frame(SparkSession.active(), [], empty)
+    entries = [
+        F.struct(
+            F.lit(i).alias("ordinal"),
+            described(F.lit(t.upstream_description), F.lit(t.description)).alias("description"),
+        )
+        for i, t in enumerate(specs)
+    ]
+    # One entry per registered table, looked up in place.
+    texts = F.map_from_arrays(F.array(*[F.lit(t.name) for t in specs]), F.array(*entries))
+    listed = row_counts(registry, database, open_table).withColumn("_t", texts[F.col("name")])
+    return listed.orderBy("_t.ordinal").select("name", "row_count", "_t.description")
 
 
 def column_type(dtype: T.DataType) -> str:
