@@ -50,7 +50,7 @@ def row_counts(spark, sf):
 
 
 @query(
-    "SELECT name, description, table_count, license, license_url, row_count FROM (VALUES "
+    "SELECT name, description, CAST(table_count AS BIGINT) AS table_count, license, license_url, row_count FROM (VALUES "
     f"('sales', 'Orders, parts and customers.', 7, 'CC-BY-4.0', '{CC_BY}'), "
     "('corpus', 'Documents, pages and dialogues.', 5, 'ODC-BY', "
     "'https://opendatacommons.org/licenses/by/1-0/'), "

@@ -173,7 +173,7 @@ def previews_of_visible_tables(spark, sf):
 
 
 @query(
-    "SELECT lang, doc_id, n_chars, round FROM (SELECT lang, doc_id, n_chars, row_number() OVER "
+    "SELECT lang, doc_id, n_chars, CAST(round AS INTEGER) AS round FROM (SELECT lang, doc_id, n_chars, row_number() OVER "
     "(PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS round FROM documents) WHERE round <= 20"
 )
 def first_rows_per_group(spark, sf):
@@ -183,7 +183,7 @@ def first_rows_per_group(spark, sf):
 
 
 @query(
-    "SELECT o_orderstatus, o_orderkey, round FROM (SELECT o_orderstatus, o_orderkey, "
+    "SELECT o_orderstatus, o_orderkey, CAST(round AS INTEGER) AS round FROM (SELECT o_orderstatus, o_orderkey, "
     "row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) "
     "AS round FROM orders) WHERE round <= 1500"
 )
