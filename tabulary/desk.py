@@ -92,12 +92,17 @@ class QueryDesk:
         fixed = {spec.link.parent_fk} if trigger is not None else set()
         keys = paging.sort_keys(sort, [k for k in spec.key if k not in fixed])
         out = projection.enrich(self.registry, database, spec, df, columns, at)
+        _, heavy = projection.split_columns(self.registry, spec, df, columns)
 
         def page_position() -> Pagination:
             end, more = paging.page_end(rows, keys, limit, position)
             return Pagination(next_position=end, truncated=more)
 
-        data = paging.page(rows, keys, limit, position).select(*out)
+        read = {c.column for c in rest}
+        if heavy and trigger is None and not read & self.registry.heavy:
+            data = paging.late_page(rows, keys, spec.key, limit, position).select(*out)
+        else:
+            data = paging.page(rows, keys, limit, position).select(*out)
         return Envelope(
             data, provenance_for(self.registry, at, database, table), page=page_position
         )

@@ -91,6 +91,29 @@ def page(
     return df.orderBy(*order_by(keys)).limit(limit)
 
 
+def late_page(
+    df: DataFrame,
+    keys: Sequence[SortKey],
+    row_key: Sequence[str],
+    limit: int,
+    position: Sequence[Any] | None = None,
+) -> DataFrame:
+    """A page with heavy columns: rows are chosen on their keys, then read in full.
+
+    The first scan reads the sort and key columns alone. The span of the chosen keys reaches
+    the second one as pushed comparisons, so that heavy text is read from the row groups
+    that can hold the page. The chosen keys, ``limit`` at most, are broadcast.
+    """
+    slim = df.select(*dict.fromkeys([*[k.column for k in keys], *row_key]))
+    chosen = page(slim, keys, limit, position).select(*row_key)
+    first = F.col(row_key[0])
+    low = chosen.select(first).orderBy(first.asc()).limit(1).scalar()
+    high = chosen.select(first).orderBy(first.desc()).limit(1).scalar()
+    within = df.filter((first >= low) & (first <= high))
+    rows = within.join(F.broadcast(chosen), list(row_key), "left_semi").select(*df.columns)
+    return rows.orderBy(*order_by(keys)).limit(limit)
+
+
 def page_end(
     df: DataFrame, keys: Sequence[SortKey], limit: int, position: Sequence[Any] | None = None
 ) -> tuple[tuple | None, bool]:

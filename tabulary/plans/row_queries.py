@@ -225,6 +225,20 @@ def default_order_page(spark, sf):
     return desk(spark, sf).query_table("corpus", "documents").data
 
 
+@query(
+    f"SELECT doc_id, text AS rc_text, {_DOC_CITATION} FROM documents WHERE lang <> 'en' "
+    "ORDER BY n_chars DESC, doc_id LIMIT 100"
+)
+def heavy_page(spark, sf):
+    rows = desk(spark, sf).query_table(
+        "corpus", "documents", sort="-n_chars", limit=100, columns=["doc_id", "text"],
+        filters=[{"column": "lang", "op": "not", "value": "en"}],
+    ).data
+    return rows.select(
+        "doc_id", F.col(f"{projection.NEST}.text").alias("rc_text"), projection.CITATION
+    )
+
+
 _STATUS_ORDER = "nullif(o_orderstatus, 'P') ASC NULLS FIRST, o_orderkey"
 
 

@@ -29,6 +29,8 @@ SEARCH_FIELDS = (
 )
 #: Days a log line is kept.
 RETENTION_DAYS = 30
+#: Files a stream takes up at a time, which bounds its batches and what one key brings to one.
+FILES_PER_BATCH = 100
 
 
 def _schema(fields: tuple[str, ...]) -> str:
@@ -46,12 +48,14 @@ def read_log(spark: SparkSession, path: str, schema: str = CALL_SCHEMA) -> DataF
 
 
 def stream_log(
-    spark: SparkSession, path: str, schema: str = CALL_SCHEMA, files_per_batch: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: str = CALL_SCHEMA,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> DataFrame:
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path)
+    return (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
+    )
 
 
 def anonymize(raw: DataFrame, ip: Column, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulary.session import work_path
+from tabulary.sources.request_log import FILES_PER_BATCH
 
 
 def stream_table(
-    spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None
+    spark: SparkSession, folder: str, name: str, files_per_batch: int = FILES_PER_BATCH
 ) -> DataFrame:
     """A stream over Parquet files ``name`` (a glob) in ``folder``, schema as stored."""
     schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", name)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(folder)
+    )
 
 
 def run_available(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:

@@ -46,6 +46,29 @@ def test_nulls_are_lowest(rows):
     assert up["v"] is None and down["v"] is None
 
 
+@pytest.mark.parametrize("sort", [None, "v", "-s"])
+def test_a_late_page_is_the_same_page(rows, sort):
+    keys = paging.sort_keys(sort, ["id"])
+    position = None
+    for _ in range(3):
+        early = paging.page(rows, keys, 7, position).collect()
+        assert paging.late_page(rows, keys, ["id"], 7, position).collect() == early
+        position = tuple(early[-1][k.column] for k in keys)
+    none = paging.late_page(rows.filter("id < 0"), keys, ["id"], 7)
+    assert none.count() == 0
+
+
+def test_a_late_page_reads_text_within_the_span_of_its_keys(spark, sf):
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    keys = paging.sort_keys("-n_chars", ["doc_id"])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    late = paging.late_page(documents.select("doc_id", "n_chars", "text"), keys, ["doc_id"], 5)
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,ScalarSubquery" in plan
+    assert "LessThanOrEqual(doc_id,ScalarSubquery" in plan
+    assert "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in plan
+
+
 def test_every_row_gets_the_page_a_walk_would_show_it_on(rows):
     keys = paging.sort_keys("-v", ["id"])
     pages = walk(rows, keys, 10)
