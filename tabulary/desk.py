@@ -172,19 +172,25 @@ class QueryDesk:
         query: str,
         databases: Sequence[str] | str | None = None,
         limit: int = DEFAULT_SEARCH_LIMIT,
+        keep_hits: bool = False,
     ) -> Envelope:
-        """Merged previews over all searchable tables; totals come with the pagination."""
+        """Merged previews over all searchable tables; totals come with the pagination.
+
+        Rows and totals each read the searched text; with ``keep_hits`` the matches are kept
+        on disk, without their text, and it is read once.
+        """
         names = search.check_search(self.registry, query, decode_list(databases), limit)
         at = self.clock()
-        found = search.targets(self.registry, names, self.open)
+        targets = search.targets(self.registry, names, self.open)
         provenance = provenance_for(self.registry, at)
-        if not found:
+        if not targets:
             return Envelope(search.empty_rows(self.spark), provenance, page=Pagination)
-        tables = [(t, self.open(t.database, t.spec)) for t in found]
-        data = search.search_rows(self.registry, tables, query, limit, at)
+        tables = [(t, self.open(t.database, t.spec)) for t in targets]
+        found = search.find_hits(self.registry, tables, query, keep_hits)
+        data = search.search_rows(self.registry, found, limit, at)
 
         def totals() -> Pagination:
-            per_table = search.search_totals(tables, query).collect()  # one row per table
+            per_table = search.search_totals(found).collect()  # one row per table
             return Pagination(upstream_total_hits={r["table"]: r["hits"] for r in per_table})
 
         return Envelope(data, provenance, page=totals)

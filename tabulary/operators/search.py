@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tabulary.functions.text import matches_phrase_in_any
 from tabulary.operators.counts import labelled_counts
 from tabulary.operators.merge import round_robin
 from tabulary.operators.paging import MAX_SEARCH_LIMIT, SortKey, order_by, sort_keys
-from tabulary.operators.projection import row_citation
+from tabulary.operators.projection import row_citation, template_columns
 from tabulary.registry import Registry, TableSpec
 from tabulary.session import local_frame
 
@@ -120,21 +121,39 @@ def table_order(spec: TableSpec) -> list[SortKey]:
     return sort_keys(spec.default_sort, spec.key)
 
 
-def top_hits(
+def find_hits(
     registry: Registry,
-    target: Target,
-    df: DataFrame,
+    tables: Sequence[tuple[Target, DataFrame]],
     query: str,
-    limit: int,
-    retrieved_at: datetime,
+    keep: bool = False,
+) -> list[tuple[Target, DataFrame]]:
+    """The matching rows of every table, without the searched text.
+
+    With ``keep`` they are stored on the executors' disks when first used, so that rows and
+    totals together read the text once. The caller unpersists them.
+    """
+    found = []
+    for target, df in tables:
+        needed = [
+            *[c for c in target.preview.values() if c is not None],
+            *template_columns(registry.citation_for(target.spec)),
+            *[k.column for k in table_order(target.spec)],
+        ]
+        slim = [c for c in dict.fromkeys(needed) if c in df.columns]
+        matched = hits(target, df, query).select(*slim)
+        found.append((target, matched.persist(StorageLevel.DISK_ONLY) if keep else matched))
+    return found
+
+
+def top_hits(
+    registry: Registry, target: Target, matched: DataFrame, limit: int, retrieved_at: datetime
 ) -> DataFrame:
-    """The table's first ``limit`` hits as preview rows with ``round`` and ``turn``."""
+    """A table's first ``limit`` hits as preview rows with ``round`` and ``turn``."""
     keys = table_order(target.spec)
     carried = [F.col(k.column).alias(f"_k{i}") for i, k in enumerate(keys)]
     placed = [SortKey(f"_k{i}", k.descending) for i, k in enumerate(keys)]
     first = (
-        hits(target, df, query)
-        .select(*preview_columns(registry, target, df, retrieved_at), *carried)
+        matched.select(*preview_columns(registry, target, matched, retrieved_at), *carried)
         .orderBy(*order_by(placed))
         .limit(limit)
     )
@@ -149,8 +168,7 @@ def empty_rows(spark) -> DataFrame:
 
 def search_rows(
     registry: Registry,
-    tables: Sequence[tuple[Target, DataFrame]],
-    query: str,
+    found: Sequence[tuple[Target, DataFrame]],
     limit: int,
     retrieved_at: datetime,
 ) -> DataFrame:
@@ -158,15 +176,14 @@ def search_rows(
 
     Rows are checked against the catalog once more before they are merged.
     """
-    parts = [top_hits(registry, t, df, query, limit, retrieved_at) for t, df in tables]
+    parts = [top_hits(registry, t, matched, limit, retrieved_at) for t, matched in found]
     rows = visible_only(registry, reduce(DataFrame.unionByName, parts))
     return round_robin(rows, limit).drop("round", "turn")
 
 
-def search_totals(tables: Sequence[tuple[Target, DataFrame]], query: str) -> DataFrame:
+def search_totals(found: Sequence[tuple[Target, DataFrame]]) -> DataFrame:
     """Hits per ``database.table``; tables without a hit count zero."""
-    parts = [(target.label, hits(target, df, query)) for target, df in tables]
-    return labelled_counts(parts, "table", "hits")
+    return labelled_counts([(t.label, matched) for t, matched in found], "table", "hits")
 
 
 def totals_map(totals: DataFrame) -> DataFrame:

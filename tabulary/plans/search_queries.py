@@ -101,12 +101,12 @@ def _totals_sql(phrase: str) -> str:
 
 @query(_totals_sql("of the"))
 def search_totals(spark, sf):
-    return search.search_totals(_tables(spark, sf), "of the")
+    return search.search_totals(search.find_hits(REGISTRY, _tables(spark, sf), "of the"))
 
 
 @query(_totals_sql("of the"))
 def search_totals_from_map(spark, sf):
-    totals = search.totals_map(search.search_totals(_tables(spark, sf), "of the"))
+    totals = search.totals_map(search_totals(spark, sf))
     return totals.select(F.explode("upstream_total_hits").alias("table", "hits"))
 
 

@@ -130,6 +130,17 @@ def test_totals_count_every_hit_and_every_table(desk):
     assert totals == {"alpha.b_news": 1, "alpha.a_news": 0, "zeta.z_news": 3}
 
 
+def test_kept_hits_give_the_same_answer(desk):
+    plain = desk.search("data protection", limit=4)
+    kept = desk.search("data protection", limit=4, keep_hits=True)
+    assert kept.data.collect() == plain.data.collect()
+    totals = kept.pagination().upstream_total_hits
+    assert totals == plain.pagination().upstream_total_hits
+    plan = kept.data._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan
+    desk.spark.catalog.clearCache()
+
+
 def test_a_phrase_may_stand_in_any_search_column_but_not_across(desk):
     totals = desk.search("then protection").pagination().upstream_total_hits
     assert totals == {"alpha.b_news": 2, "alpha.a_news": 1, "zeta.z_news": 1}
