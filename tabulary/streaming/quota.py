@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,10 @@ from tabulary.functions.network import UNKNOWN_KEY, ip_key, is_loopback
 from tabulary.operators.merge import first_per_group
 from tabulary.session import ensure_checkpoint_dir
 
+# The functions here travel to the Python workers whole, so executors need no copy of the
+# package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SECOND = 1_000_000
 _DAY = 86_400 * _SECOND
 #: Runs of one key from this length on are worth array arithmetic.
