@@ -7,7 +7,8 @@ import pytest
 import __spark_entry__ as entry
 from tests.compare import canonical, connect, difference, oracle
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: e.run for name, e in entry.ENTRIES.items()}
+ORACLES = {name: e.sql for name, e in entry.ENTRIES.items() if e.sql is not None}
 
 
 @pytest.fixture(scope="module")
