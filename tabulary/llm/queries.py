@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabulary.llm import minhash, partenum
+from tabulary.llm import caps, minhash, partenum, ppm, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,3 +39,28 @@ def op1_document_fingerprints(spark: SparkSession, base: str) -> DataFrame:
 @_query()
 def op2_ngram_jaccard_join(spark: SparkSession, base: str) -> DataFrame:
     return partenum.jaccard_components(_table(spark, base, "documents"))
+
+
+@_query()
+def op3_embedding_near_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return caps.near_vectors(_table(spark, base, "embeddings"))
+
+
+@_query()
+def op5_language_id(spark: SparkSession, base: str) -> DataFrame:
+    docs = _table(spark, base, "documents")
+    found = ppm.identify(docs.select("doc_id", "text"), ppm.fold_model(docs))
+    return found.select("doc_id", ppm.held_out().alias("held_out"), "lang_pred", "score", F.length("text").alias("n_chars"))
+
+
+@_query()
+def op10_secret_scans(spark: SparkSession, base: str) -> DataFrame:
+    docs = _table(spark, base, "documents").select("doc_id", "text")
+    chains = secrets.train(secrets.labelled_samples(docs))
+    found = secrets.scan(docs, chains).withColumn("base", secrets.base_spans(F.col("secrets")))
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined(F.col("secrets")).alias("spans"),
+    )
