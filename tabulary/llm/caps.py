@@ -16,7 +16,6 @@ component leave the task. Equal vectors are one node throughout.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,6 @@ SEED = 20240229
 CHUNK = 1024
 
 
-@lru_cache(maxsize=8)
 def _code(dim: int, blocks: int, codes: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The rotation, and the directions of each block, scaled so that a filter has length sqrt(dim)."""
     random = np.random.default_rng([seed, dim, blocks, codes])

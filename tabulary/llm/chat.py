@@ -16,12 +16,12 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import AddedToken, Tokenizer
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Strings that some model reads as control; none may stand unescaped in a text.
@@ -73,10 +73,8 @@ class Formatted:
         return [unescape(self.text[a:b]) for a, b in spans]
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    from tokenizers import AddedToken, Tokenizer
-
+def load(path: str) -> Tokenizer:
+    """The tokenizer of a file, with the template's marks as tokens of their own."""
     tokenizer = Tokenizer.from_file(path)
     tokenizer.add_special_tokens(
         [AddedToken(m, special=True, normalized=False) for m in (START, SEPARATOR, END)]
@@ -100,10 +98,12 @@ def parse(text: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(text)]
 
 
-def format_conversation(turns: Sequence[tuple[str, str]], path: str, roles: Sequence[str] = ROLES) -> Formatted:
+def format_conversation(
+    turns: Sequence[tuple[str, str]], tokenizer: Tokenizer, roles: Sequence[str] = ROLES
+) -> Formatted:
     """Render, encode once, and mark the tokens of the turns whose role is in ``roles``."""
     text, spans = render(turns)
-    encoded = _tokenizer(path).encode(text, add_special_tokens=False)
+    encoded = tokenizer.encode(text, add_special_tokens=False)
     offsets = np.array(encoded.offsets, np.int64).reshape(-1, 2)
     starts, ends = offsets[:, 0], offsets[:, 1]
     loss = np.zeros(len(offsets), bool)
@@ -143,10 +143,10 @@ def format_conversations(rows: DataFrame, path: str, roles: Sequence[str] = ROLE
         .select("conv_id", "role", "text")
     )
 
-    def finish(conversations: list[tuple]) -> pa.RecordBatch:
+    def finish(conversations: list[tuple], tokenizer: Tokenizer) -> pa.RecordBatch:
         out: dict[str, list] = {f.split()[0]: [] for f in SCHEMA.split(", ")}
         for conv_id, turns in conversations:
-            made = format_conversation(turns, path, roles)
+            made = format_conversation(turns, tokenizer, roles)
             back = parse(made.text)
             digest = hashlib.sha256()
             for role, text in back:
@@ -167,6 +167,7 @@ def format_conversations(rows: DataFrame, path: str, roles: Sequence[str] = ROLE
         )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(path)
         turns: list[tuple[str, str]] = []
         current: object = None
         done: list[tuple] = []
@@ -177,7 +178,7 @@ def format_conversations(rows: DataFrame, path: str, roles: Sequence[str] = ROLE
                     done.append((current, turns))
                     turns = []
                     if size > 1 << 20:
-                        yield finish(done)
+                        yield finish(done, tokenizer)
                         done, size = [], 0
                 current = conv_id
                 turns.append((role, text))
@@ -185,6 +186,6 @@ def format_conversations(rows: DataFrame, path: str, roles: Sequence[str] = ROLE
         if turns:
             done.append((current, turns))
         if done:
-            yield finish(done)
+            yield finish(done, tokenizer)
 
     return ordered.mapInArrow(run, SCHEMA)

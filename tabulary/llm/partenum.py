@@ -43,6 +43,8 @@ PERCENT = 75
 RANGES = 256
 #: Documents of one signature that one task compares with each other at most.
 CHUNK = 2048
+#: Ids that are sent to all tasks at most; more of them are joined by a shuffle of the texts.
+BROADCAST_IDS = 1_000_000
 
 
 def _sets(texts: list, width: int) -> list[np.ndarray]:
@@ -85,7 +87,12 @@ def set_signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.n
         halves = (2 * first_level).astype(np.uint64) << np.uint64(level)
         row = np.repeat(np.arange(len(index)), size)
         element = np.concatenate([flat[i] for i in index])
-        half = _times_high(element, halves[row])
+        # the finest cut has each element in a part of its own
+        half = np.where(
+            halves[row] < 1 << 31,
+            _times_high(element, np.minimum(halves[row], np.uint64(1 << 31))),
+            element,
+        )
         start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(half, prepend=0) != 0))
         content = np.add.reduceat(mix(element ^ np.uint64(0xA5A5A5A55A5A5A5A)), start)
         run_row = row[start]
@@ -96,7 +103,7 @@ def set_signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.n
         place = (band[run_row].astype(np.uint64) << np.uint64(8)) + np.uint64(level)
         made.append(mix(content + mix(half[start] * np.uint64(0x100000001B3) + place))[signs])
         owners.append(index[run_row][signs])
-        short = occupied <= k
+        short = (occupied <= k) & (halves < 1 << 31)
         index, band, level = index[short], band[short], level + 1
     if not made:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -115,7 +122,7 @@ def _sketch(one: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, node and sketch of its set.
+    """Per row of ``docs`` (doc_id, text): doc_id, text_hash, n_shingles, node and sketch of its set.
 
     Rows without shingles have no node. Only the first of equal sets in a task has a sketch.
     """
@@ -123,9 +130,9 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for some in grouped(rows, lambda r: len(r[1] or "")):
-                sets = _sets([t for _, t in some], width)
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for some in grouped(rows, lambda r: len(r[2] or "")):
+                sets = _sets([t for _, _, t in some], width)
                 nodes = [_node(s) if len(s) else None for s in sets]
                 sketches: list[bytes | None] = []
                 for node, one in zip(nodes, sets, strict=True):
@@ -137,23 +144,25 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     met.clear()
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": pa.array([i for i, _ in some], pa.int64()),
+                        "doc_id": pa.array([i for i, _, _ in some], pa.int64()),
+                        "text_hash": pa.array([h for _, h, _ in some], pa.int64()),
                         "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                         "node": pa.array(nodes, pa.int64()),
                         "sketch": pa.array(sketches, pa.binary()),
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, node long, sketch binary"
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, node long, sketch binary"
     )
 
 
 def _shared_signatures(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
-    """(signature, leader, node) of all signatures that two or more different sets have.
+    """(leader, node, signatures): the signatures that two or more different sets have.
 
-    Signatures travel packed: a group of documents gives one row per part, with its signatures,
-    the owner of each, and the nodes of these owners. A task sends each set once.
+    The leader of a signature is the smallest node that has it; a leader is listed with itself
+    as node. Signatures travel packed: a group of documents gives one row per part, with its
+    signatures, the owner of each, and the nodes of these owners. A task sends each set once.
     """
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,21 +226,29 @@ def _shared_signatures(docs: DataFrame, width: int, percent: int, parts: int) ->
         leader = np.repeat(name[start], length)
         many = np.repeat(length > 1, length)
         key, leader, name = key[many].view(np.int64), leader[many], name[many]
-        for a in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "signature": key[a : a + (1 << 16)],
-                    "leader": leader[a : a + (1 << 16)],
-                    "node": name[a : a + (1 << 16)],
-                }
+        order = np.lexsort((name, leader))
+        key, leader, name = key[order], leader[order], name[order]
+        first = (np.diff(leader, prepend=0) != 0) | (np.diff(name, prepend=0) != 0)
+        first[:1] = True
+        start = np.flatnonzero(first)
+        for a in range(0, len(start), 1 << 14):
+            some = start[a : a + (1 << 14)]
+            end = start[a + (1 << 14)] if a + (1 << 14) < len(start) else len(key)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.append(some, end) - some[0], pa.int32()), pa.array(key[some[0] : end])
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leader[some]), pa.array(name[some]), lists],
+                names=["leader", "node", "signatures"],
             )
 
     signed = docs.select("text").mapInArrow(
         sign, "part int, signatures binary, owners binary, nodes binary"
     )
-    return signed.repartitionById(parts, "part").mapInArrow(
-        meet, "signature long, leader long, node long"
+    met = signed.repartitionById(parts, "part").mapInArrow(
+        meet, "leader long, node long, signatures array<long>"
     )
+    return met.groupBy("leader", "node").agg(F.flatten(F.collect_list("signatures")).alias("signatures"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
@@ -242,7 +259,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, width: int, p
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     ids = known.join(nodes, "node").select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = texts.join(ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
+    ids = ids.checkpoint()
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    wanted = texts.join(few, texts.doc_id.eqNullSafe(few.doc_id), "left_semi").select("text")
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,14 +296,15 @@ def _close(percent: int, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_
     at = np.flatnonzero(passes)
     for i in range(0, len(at), 1 << 14):
         some = at[i : i + (1 << 14)]
-        apart = np.abs(a[some].astype(np.int16) - b[some]).sum(axis=1)
+        one, two = a[some], b[some]
+        apart = (np.maximum(one, two) - np.minimum(one, two)).sum(axis=1, dtype=np.int64)
         passes[some] = apart <= most[some]
     return passes
 
 
 def _leader_pairs(shared: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Each node with the leader it shares most signatures with, if the two may be similar."""
-    counted = shared.filter("leader <> node").groupBy("leader", "node").agg(F.count("*").alias("n"))
+    counted = shared.filter("leader <> node").select("leader", "node", F.size("signatures").alias("n"))
     best = counted.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
     side = known.select("node", "n_shingles", "sketch")
     both = best.join(side, "node").join(
@@ -313,56 +333,65 @@ def _leader_pairs(shared: DataFrame, known: DataFrame, percent: int) -> DataFram
 def _cross_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs of one signature in different components that may be similar.
 
-    The documents of a signature are dealt into chunks, and every two chunks meet in a task of
-    their own, so that no task compares more than ``CHUNK`` by ``CHUNK`` of them or so.
+    Signatures are taken together by leader, so that a set and its sketch travel once for each
+    leader it has. The sets of a leader are dealt into chunks, and every two chunks meet in a
+    task of their own, so that no task holds more than two chunks or so.
     """
     rows = (
-        shared.select("signature", "node")
-        .join(labels, "node", "left")
-        .select("signature", "node", F.coalesce("component", "node").alias("component"))
+        shared.join(labels, "node", "left")
+        .select("leader", "node", "signatures", F.coalesce("component", "node").alias("component"))
         .checkpoint()
     )
     mixed = (
-        rows.groupBy("signature")
+        rows.groupBy("leader")
         .agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         .filter("lo <> hi")
-        .select("signature", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+        .select("leader", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
         .checkpoint()
     )
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     placed = (
-        rows.join(mixed, "signature")
-        .withColumn("chunk", chunk)
+        rows.join(mixed, "leader")
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(
-            "signature", "node", "component", "chunk",
-            F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"),
+            "leader", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"),
+            "chunk", "node", "component", "signatures",
         )
         .join(known.select("node", "n_shingles", "sketch"), "node")
-        .repartition("signature", "lo", "hi")
-        .sortWithinPartitions("signature", "lo", "hi", "node")
-        .select("signature", "lo", "hi", "chunk", "node", "component", "n_shingles", "sketch")
+        .repartition("leader", "lo", "hi")
+        .sortWithinPartitions("leader", "lo", "hi", "node")
+        .select("leader", "lo", "hi", "chunk", "node", "component", "n_shingles", "sketch", "signatures")
     )
 
     def compare(group: list[tuple]) -> Iterator[pa.RecordBatch]:
         lo, hi = group[0][1], group[0][2]
         part, node, label, size = (np.array([r[c] for r in group], np.int64) for c in (3, 4, 5, 6))
         sketch = np.frombuffer(b"".join(r[7] for r in group), np.uint8).reshape(-1, RANGES)
-        for i in range(len(group)):
-            if part[i] != lo:
+        owner = np.repeat(np.arange(len(group)), [len(r[8]) for r in group])
+        key = np.array([s for r in group for s in r[8]], np.int64)
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        bounds = np.append(np.flatnonzero(np.diff(key, prepend=key[:1] - 1)), len(key))
+        found = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            own = owner[a:b]
+            if (label[own] == label[own[0]]).all():
                 continue
-            other = (part == hi) & (label != label[i])
-            if lo == hi:
-                other[: i + 1] = False
-            j = np.flatnonzero(other)
-            if len(j):
-                passes = _close(
-                    percent, np.broadcast_to(sketch[i], (len(j), RANGES)), sketch[j],
-                    np.full(len(j), size[i]), size[j],
-                )
-                if passes.any():
-                    v = node[j[passes]]
-                    yield pa.RecordBatch.from_pydict({"u": np.full(len(v), node[i]), "v": v})
+            left = own[part[own] == lo]
+            right = left if lo == hi else own[part[own] == hi]
+            for i in left:
+                j = right[right > i] if lo == hi else right
+                j = j[label[j] != label[i]]
+                if len(j):
+                    passes = _close(
+                        percent, np.broadcast_to(sketch[i], (len(j), RANGES)), sketch[j],
+                        np.full(len(j), size[i]), size[j],
+                    )
+                    found.append(np.stack([np.full(passes.sum(), i), j[passes]]))
+        if found:
+            u, v = np.concatenate(found, axis=1)
+            once = np.unique(u * len(group) + v)
+            yield pa.RecordBatch.from_pydict({"u": node[once // len(group)], "v": node[once % len(group)]})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -382,13 +411,14 @@ def _cross_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame, percent
 def jaccard_components(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, parts: int | None = None
 ) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, group and text_hash of every row of ``docs`` (doc_id, text).
 
     Two rows link when 100 * |A and B| >= percent * |A or B| for their shingle sets; a text with
     fewer words than ``width`` has its whole word sequence as its one shingle. A null or wordless
     text has the empty set and links with nothing. ``component_id`` is the smallest doc_id that
     can be reached by links, itself included; ids that are null count only where there is no
-    other. Repeated rows each give a row. Other columns of ``docs`` are ignored; an empty table
+    other. ``group`` names the component, also where ids repeat; it is null for empty sets.
+    ``text_hash`` is xxhash64 of the text. Repeated rows each give a row. Other columns of ``docs`` are ignored; an empty table
     gives no rows.
     """
     spark = docs.sparkSession
@@ -415,13 +445,21 @@ def jaccard_components(
     labels = connected_components(links).checkpoint()
     ids = known.select("node", "doc_id").join(labels, "node")
     named = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = ids.join(named, "component").select("node", "component_id")
+    linked = ids.join(named, "component").select("node", "component", "component_id")
     of_node = (
         known.select("node", "doc_id")
         .join(linked, "node", "left")
-        .select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select(
+            "node",
+            F.coalesce("component_id", "doc_id").alias("component_id"),
+            F.coalesce("component", "node").alias("group"),
+        )
         .checkpoint()
     )
-    return rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    return rows.select("doc_id", "text_hash", "n_shingles", "node").join(of_node, "node", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        "group",
+        "text_hash",
     )

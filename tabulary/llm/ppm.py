@@ -31,6 +31,8 @@ NODES = 12_000
 #: Different byte sequences of a language that training hands to the driver at most.
 GRAMS = 60_000
 LANGUAGES = 256
+#: Bytes of code lengths at most; with many languages fewer contexts are kept.
+MODEL_BYTES = 1 << 26
 
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[97:123] = np.arange(97, 123)
@@ -140,6 +142,7 @@ def build_model(counts: dict[str, dict[int, int]], nodes: int = NODES) -> Model:
         for context, seen in tree.items():
             weight[context] = weight.get(context, 0) + sum(seen.values())
     # a context is at most as frequent as its own shorter ones, so the kept set has them too
+    nodes = min(nodes, MODEL_BYTES // (4 * width * max(1, len(languages))))
     kept = sorted(weight, key=lambda c: (-weight[c], len(c), c))[:nodes] or [b""]
     kept = sorted(set(kept) | {b""}, key=lambda c: (len(c), c))
     place = {c: i for i, c in enumerate(kept)}
@@ -214,15 +217,19 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     for name in ("lang_pred", "score"):
         if name in docs.columns:
             raise ValueError(f"the table already has a column {name}")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: at most NODES contexts by 257 symbols for each language
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (model.languages, model.symbol, model.child, model.bits)
+    )
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model(*shared.value)
         for batch in batches:
             names: list[str] = []
             scores: list[float] = []
             for some in grouped(batch.column(at).to_pylist(), lambda t: len(t or "")):
-                n, s = shared.value.predict(some)
+                n, s = known.predict(some)
                 names += n
                 scores += s.tolist()
             yield pa.RecordBatch.from_arrays(

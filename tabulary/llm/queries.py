@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulary.llm import caps, minhash, partenum, ppm, secrets
+import public_tokenizers
+from tabulary.llm import caps, chat, html_blocks, minhash, packing, partenum, pieces, ppm, secrets, wordpiece
+
+#: Vocabulary files; the paths are parameters of the operators.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,19 +37,87 @@ def _parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: Smallest id that can be reached by the links (u, v) from each id of ``nodes``.
+_REACH = """
+sides as (select u, v from links union all select v, u from links),
+reach as (
+  select id, id as root from nodes
+  union
+  select s.v, r.root from reach r join sides s on s.u = r.id
+),
+least as (select id, min(root) as component_id from reach group by id)
+"""
+
+
 @_query()
 def op1_document_fingerprints(spark: SparkSession, base: str) -> DataFrame:
     return minhash.edited_fingerprints(_table(spark, base, "documents"), _parts(spark))
 
 
-@_query()
+@_query(
+    rf"""
+with recursive
+words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') as w
+  from documents
+),
+sets as (
+  select doc_id, case
+    when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+  end as g
+  from words
+),
+items as (select doc_id, unnest(g) as t from sets),
+nodes as (select doc_id as id, len(g) as n from sets),
+pairs as (
+  select a.doc_id as u, b.doc_id as v, count(*) as c
+  from items a join items b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2
+),
+links as (
+  select u, v from pairs join nodes a on a.id = u join nodes b on b.id = v
+  where 100 * c >= 75 * (a.n + b.n - c)
+),
+{_REACH}
+select id as doc_id, n as n_shingles, component_id from nodes join least using (id)
+"""
+)
 def op2_ngram_jaccard_join(spark: SparkSession, base: str) -> DataFrame:
-    return partenum.jaccard_components(_table(spark, base, "documents"))
+    found = partenum.jaccard_components(_table(spark, base, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@_query(
+    f"""
+with recursive
+usable as (
+  select vec_id as id, label, embedding::double[] as x from embeddings
+  where label is not null and len(embedding) > 0 and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, lambda c: not isfinite(c))) = 0
+    and len(list_filter(embedding, lambda c: c <> 0)) > 0
+),
+links as (
+  select a.id as u, b.id as v from usable a join usable b on a.label = b.label and a.id < b.id
+  where list_cosine_similarity(a.x, b.x) >= 0.93
+),
+nodes as (select vec_id as id from embeddings),
+{_REACH},
+counted as (select u as id, count(*) as n from sides group by u)
+select id as vec_id, coalesce(n, 0)::bigint as n_links, component_id, id = component_id as kept
+from nodes join least using (id) left join counted using (id)
+"""
+)
+def op3_embedding_near_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return caps.near_vectors(_table(spark, base, "embeddings"))
 
 
 @_query()
-def op3_embedding_near_dedup(spark: SparkSession, base: str) -> DataFrame:
-    return caps.near_vectors(_table(spark, base, "embeddings"))
+def op4_token_counts(spark: SparkSession, base: str) -> DataFrame:
+    docs = _table(spark, base, "documents").select("doc_id", "text")
+    return wordpiece.token_counts(docs, PIECES)
 
 
 @_query()
@@ -53,6 +127,68 @@ def op5_language_id(spark: SparkSession, base: str) -> DataFrame:
     return found.select("doc_id", ppm.held_out().alias("held_out"), "lang_pred", "score", F.length("text").alias("n_chars"))
 
 
+def _escapes_in(column: str) -> str:
+    """SQL: how many backslashes escaping puts into a column."""
+    patterns = (c[0] + r"\\*" + re.sub(r"([|\[\]])", r"\\\1", c[1:]) for c in chat.CONTROL)
+    pattern = "|".join(p if p[0] != "[" else "\\" + p for p in patterns)
+    return f"len(regexp_extract_all({column}, '{pattern}'))"
+
+
+@_query(
+    f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+talks as (
+  select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+    coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') as loss,
+    sum({len(chat.START + chat.SEPARATOR + chat.END)} + length(role) + length(text)
+      + {_escapes_in("role")} + {_escapes_in("text")})::bigint as formatted_chars
+  from turns group by conv_id
+)
+select conv_id, n_turns, turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars
+from talks
+"""
+)
+def op6_chat_formatting(spark: SparkSession, base: str) -> DataFrame:
+    rows = _table(spark, base, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(
+        f"select * from values (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') "
+        "as t(conv_id, turn, role, text)"
+    )
+    made = chat.format_conversations(rows.unionByName(extra), BYTE_BPE)
+    return made.select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )
+
+
+@_query()
+def op7_sentencepiece(spark: SparkSession, base: str) -> DataFrame:
+    docs = _table(spark, base, "documents").select("doc_id", "text")
+    coded = pieces.decode_column(pieces.encode_column(docs, PIECES), PIECES)
+    return coded.select(
+        "doc_id",
+        "ids",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+@_query()
+def op8_packing(spark: SparkSession, base: str) -> DataFrame:
+    return packing.pack(_table(spark, base, "documents"), BYTE_BPE)
+
+
+@_query()
+def op9_html_extraction(spark: SparkSession, base: str) -> DataFrame:
+    pages = _table(spark, base, "pages").select("page_id", "url", "html")
+    return html_blocks.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @_query()
 def op10_secret_scans(spark: SparkSession, base: str) -> DataFrame:
     docs = _table(spark, base, "documents").select("doc_id", "text")

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,7 +96,6 @@ class Automaton:
         return len(words), tokens, unknown
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Automaton:
     """The automaton of a SentencePiece model's vocabulary.
 
