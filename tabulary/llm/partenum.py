@@ -16,11 +16,12 @@ elements there and signs it as well. A set with fewer non-empty halves signs the
 signs for a domain cut twice as fine, and so on until it has enough; two sets that both go on
 meet at the finer cut.
 
-Candidates are never all pairs of a signature's documents. First each document is compared with
-the one leader it shares most signatures with, and components are built. Only documents of one
-signature that are still in different components are compared, in blocks, after two exact
-tests: sizes within a factor t, and a distance of at most k between counts of elements per
-coarse domain range. What remains is verified on the sets themselves. Exact copies are one node
+Candidates are never listed as all pairs of a signature's documents. The smallest node that has a
+signature leads it; the nodes of a leader are compared in blocks. Two that share a signature are
+candidates if they pass two exact tests: sizes within a factor t, and a distance of at most k
+between their counts of elements per coarse domain range. First each node's nearest candidate
+is verified on the sets themselves, and components are built; then all candidates that are still in
+different components, nearest first, until links found connect them. Exact copies are one node
 throughout.
 """
 
@@ -41,8 +42,10 @@ WIDTH = 5
 PERCENT = 75
 #: Ranges of the hash domain whose element counts bound the distance of two sets from below.
 RANGES = 256
-#: Documents of one signature that one task compares with each other at most.
+#: Documents of one leader that one task compares with each other at most, or so.
 CHUNK = 2048
+#: Candidates of a document that a task names, nearest first; all are tested in the end.
+NEAREST = 3
 #: Ids that are sent to all tasks at most; more of them are joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -251,16 +254,11 @@ def _shared_signatures(docs: DataFrame, width: int, percent: int, parts: int) ->
     return met.groupBy("leader", "node").agg(F.flatten(F.collect_list("signatures")).alias("signatures"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are similar, by exact intersection.
-
-    Only texts of the nodes in question are read into sets: one row of each node, by its id.
-    """
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    ids = known.join(nodes, "node").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = ids.checkpoint()
+def _sets_of(nodes: DataFrame, docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """(node, items): the sets of the given nodes, from the text of one row of each."""
+    ids = known.join(nodes.distinct(), "node").select("doc_id").distinct().checkpoint()
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = texts.join(few, texts.doc_id.eqNullSafe(few.doc_id), "left_semi").select("text")
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,142 +268,227 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, width: int, p
                 yield pa.RecordBatch.from_pydict(
                     {
                         "node": pa.array([_node(s) for s in sets], pa.int64()),
-                        "items": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        "items": pa.array([s.tobytes() for s in sets], pa.binary()),
                     }
                 )
 
-    sets = (
-        wanted.mapInArrow(build, "node long, items array<long>")
-        .groupBy("node").agg(F.first("items").alias("items"))
-        .checkpoint()
-    )
-    both = F.size(F.array_intersect("a", "b"))
-    return (
-        pairs.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
-        .join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
-        .filter(100 * both >= percent * (F.size("a") + F.size("b") - both))
-        .select("u", "v")
+    built = wanted.mapInArrow(build, "node long, items binary")
+    return built.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.max("items").alias("items"))
+
+
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar, exactly."""
+    if len(one) > len(two):
+        one, two = two, one
+    at = np.searchsorted(two, one)
+    both = int((two[np.minimum(at, len(two) - 1)] == one).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar."""
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
+    sets = _sets_of(nodes, docs, known, width).checkpoint()
+    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v").join(
+        sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u"
     )
 
+    def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = (batch.column(c).to_pylist() for c in ("a", "b"))
+            keep = [
+                _similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
+                for a, b in zip(*sides, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("u"), batch.column("v")], names=["u", "v"]
+            ).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(test, "u long, v long")
 
-def _close(percent: int, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Which pairs of rows pass the exact tests on sizes and coarse counts."""
+
+def _distances(
+    percent: int, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray
+) -> np.ndarray:
+    """A lower bound of each pair's distance by their sizes, or infinity if they cannot be similar."""
     small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    passes = 100 * small >= percent * large
-    most = (size_a + size_b) * (100 - percent) // (100 + percent)
-    at = np.flatnonzero(passes)
+    out = np.full(len(small), np.inf)
+    at = np.flatnonzero(100 * small >= percent * large)
     for i in range(0, len(at), 1 << 14):
         some = at[i : i + (1 << 14)]
         one, two = a[some], b[some]
         apart = (np.maximum(one, two) - np.minimum(one, two)).sum(axis=1, dtype=np.int64)
-        passes[some] = apart <= most[some]
-    return passes
-
-
-def _leader_pairs(shared: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Each node with the leader it shares most signatures with, if the two may be similar."""
-    counted = shared.filter("leader <> node").select("leader", "node", F.size("signatures").alias("n"))
-    best = counted.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
-    side = known.select("node", "n_shingles", "sketch")
-    both = best.join(side, "node").join(
-        side.select(
-            F.col("node").alias("leader"), F.col("n_shingles").alias("n2"), F.col("sketch").alias("s2")
-        ),
-        "leader",
+        total = size_a[some] + size_b[some]
+        close = apart <= total * (100 - percent) // (100 + percent)
+        out[some[close]] = apart[close] / total[close]
+    return out
+
+
+def _candidates(group: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows u and v of one task's chunk or two that may be similar, each pair once, and their bound.
+
+    They share a signature, lie on different sides if there are two chunks, and are not known to
+    be in one component.
+    """
+    lo, hi = group[0]["lo"], group[0]["hi"]
+    part, label, size = (
+        np.array([r[c] for r in group], np.int64) for c in ("chunk", "component", "n_shingles")
     )
+    sketch = np.frombuffer(b"".join(r["sketch"] for r in group), np.uint8).reshape(-1, RANGES)
+    owner = np.repeat(np.arange(len(group)), [len(r["signatures"]) for r in group])
+    key = np.array([s for r in group for s in r["signatures"]], np.int64)
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    bounds = np.append(np.flatnonzero(np.diff(key, prepend=key[:1] - 1)), len(key))
+    found, bound = [np.empty((2, 0), np.int64)], [np.empty(0)]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        own = owner[a:b]
+        if (label[own] == label[own[0]]).all():
+            continue
+        left = own[part[own] == lo]
+        right = left if lo == hi else own[part[own] == hi]
+        for i in left:
+            j = right[right > i] if lo == hi else right
+            j = j[label[j] != label[i]]
+            if len(j):
+                apart = _distances(
+                    percent, np.broadcast_to(sketch[i], (len(j), RANGES)), sketch[j],
+                    np.full(len(j), size[i]), size[j],
+                )
+                near = np.flatnonzero(np.isfinite(apart))
+                found.append(np.stack([np.full(len(near), i), j[near]]))
+                bound.append(apart[near])
+    pairs, bounds_ = np.concatenate(found, axis=1), np.concatenate(bound)
+    _, once = np.unique(pairs[0] * len(group) + pairs[1], return_index=True)
+    return pairs[0][once], pairs[1][once], bounds_[once]
 
-    def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES)
-                for c in ("sketch", "s2")
-            )
-            n1, n2 = (batch.column(c).to_numpy() for c in ("n_shingles", "n2"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("leader"), batch.column("node")], names=["u", "v"]
-            ).filter(pa.array(_close(percent, one, two, n1, n2)))
 
-    return both.mapInArrow(test, "u long, v long")
+def _by_task(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Consecutive rows of equal leader, lo and hi."""
+    group: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if group and any(group[0][c] != row[c] for c in ("leader", "lo", "hi")):
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
+
+_ROW = (
+    "leader long, lo int, hi int, chunk int, node long, component long, n_shingles long, "
+    "sketch binary, signatures array<long>"
+)
+_COLUMNS = [f.split()[0] for f in _ROW.split(", ")]
+
 
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi", "node")
 
-def _cross_pairs(shared: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one signature in different components that may be similar.
 
-    Signatures are taken together by leader, so that a set and its sketch travel once for each
-    leader it has. The sets of a leader are dealt into chunks, and every two chunks meet in a
-    task of their own, so that no task holds more than two chunks or so.
+def _dealt(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """The nodes of each leader, in chunks of which every two meet once.
+
+    A set and its sketch travel once for each leader it has, and no task holds more than two
+    chunks of a leader or so.
     """
-    rows = (
-        shared.join(labels, "node", "left")
-        .select("leader", "node", "signatures", F.coalesce("component", "node").alias("component"))
-        .checkpoint()
-    )
-    mixed = (
-        rows.groupBy("leader")
-        .agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .filter("lo <> hi")
-        .select("leader", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-        .checkpoint()
-    )
-    placed = (
-        rows.join(mixed, "leader")
+    sizes = shared.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    return _together(
+        shared.join(sizes.checkpoint(), "leader")
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(
-            "leader", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"),
-            "chunk", "node", "component", "signatures",
-        )
+        .withColumn("lo", F.least("chunk", "other"))
+        .withColumn("hi", F.greatest("chunk", "other"))
+        .withColumn("component", F.col("node"))
         .join(known.select("node", "n_shingles", "sketch"), "node")
-        .repartition("leader", "lo", "hi")
-        .sortWithinPartitions("leader", "lo", "hi", "node")
-        .select("leader", "lo", "hi", "chunk", "node", "component", "n_shingles", "sketch", "signatures")
+        .select(*_COLUMNS)
     )
 
-    def compare(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-        lo, hi = group[0][1], group[0][2]
-        part, node, label, size = (np.array([r[c] for r in group], np.int64) for c in (3, 4, 5, 6))
-        sketch = np.frombuffer(b"".join(r[7] for r in group), np.uint8).reshape(-1, RANGES)
-        owner = np.repeat(np.arange(len(group)), [len(r[8]) for r in group])
-        key = np.array([s for r in group for s in r[8]], np.int64)
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        bounds = np.append(np.flatnonzero(np.diff(key, prepend=key[:1] - 1)), len(key))
-        found = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            own = owner[a:b]
-            if (label[own] == label[own[0]]).all():
-                continue
-            left = own[part[own] == lo]
-            right = left if lo == hi else own[part[own] == hi]
-            for i in left:
-                j = right[right > i] if lo == hi else right
-                j = j[label[j] != label[i]]
-                if len(j):
-                    passes = _close(
-                        percent, np.broadcast_to(sketch[i], (len(j), RANGES)), sketch[j],
-                        np.full(len(j), size[i]), size[j],
-                    )
-                    found.append(np.stack([np.full(passes.sum(), i), j[passes]]))
-        if found:
-            u, v = np.concatenate(found, axis=1)
-            once = np.unique(u * len(group) + v)
-            yield pa.RecordBatch.from_pydict({"u": node[once // len(group)], "v": node[once % len(group)]})
+
+def _involved(rows: DataFrame, percent: int) -> DataFrame:
+    """Only the rows that have a candidate in their task, with the nearest ones as ``near``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    yield from compare(group)
-                    group = []
-                group.append(row)
-        if group:
-            yield from compare(group)
+        for group in _by_task(batches):
+            u, v, bound = _candidates(group, percent)
+            if not len(u):
+                continue
+            ends = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([bound, bound])
+            order = np.lexsort((ends[1], ends[2], ends[0]))
+            own, other, apart = (x[order] for x in ends)
+            start = np.flatnonzero(np.diff(own, prepend=-1))
+            kept = []
+            for a, b in zip(start, np.append(start[1:], len(own)), strict=True):
+                nearest = [
+                    {"apart": float(apart[i]), "other": group[other[i]]["node"]}
+                    for i in range(a, min(b, a + NEAREST))
+                ]
+                kept.append(group[own[a]] | {"near": nearest})
+            yield pa.RecordBatch.from_pylist(kept, schema)
+
+    integer, wide = pa.int32(), pa.int64()
+    kinds = {"lo": integer, "hi": integer, "chunk": integer, "sketch": pa.binary(), "signatures": pa.list_(wide)}
+    near = pa.list_(pa.struct([("apart", pa.float64()), ("other", wide)]))
+    schema = pa.schema([*((c, kinds.get(c, wide)) for c in _COLUMNS), ("near", near)])
+    return rows.mapInArrow(run, f"{_ROW}, near array<struct<apart:double,other:long>>")
+
+
+def _links_within(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between rows of a task that were not known to be in one component.
+
+    ``rows`` carry their sets. Nearest candidates are tested first, and two rows that links
+    found so far connect are not tested again.
+    """
 
-    pairs = placed.mapInArrow(run, "u long, v long")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _by_task(batches):
+            root = {r["component"]: r["component"] for r in group}
+
+            def find(x: int, root: dict = root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            sets = [np.frombuffer(r["items"], np.uint64) for r in group]
+            u, v, bound = _candidates(group, percent)
+            links: dict[str, list[int]] = {"u": [], "v": []}
+            for k in np.argsort(bound, kind="stable"):
+                one, two = group[u[k]], group[v[k]]
+                a, b = find(one["component"]), find(two["component"])
+                if a != b and _similar(sets[u[k]], sets[v[k]], percent):
+                    root[a] = b
+                    links["u"].append(one["node"])
+                    links["v"].append(two["node"])
+            if links["u"]:
+                yield pa.RecordBatch.from_pydict(links)
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def _all_links(
+    shared: DataFrame, docs: DataFrame, known: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Links that connect all nodes that links connect; of a component's links enough, not all."""
+    involved = _involved(_dealt(shared, known), percent).checkpoint()
+    nearest = (
+        involved.select("node", F.explode("near").alias("n"))
+        .groupBy("node", "n.other").agg(F.min("n.apart").alias("apart"))
+        .groupBy("node").agg(F.min_by("other", F.struct("apart", "other")).alias("other"))
+        .select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
+        .distinct().checkpoint()
+    )
+    near = _verified(nearest, docs, known, width, percent).checkpoint()
+    labels = connected_components(near).checkpoint()
+    labelled = (
+        involved.drop("component", "near").join(labels, "node", "left")
+        .withColumn("component", F.coalesce("component", "node")).select(*_COLUMNS)
+    )
+    open_ = _involved(_together(labelled), percent).drop("near").checkpoint()
+    sets = _sets_of(open_.select("node"), docs, known, width)
+    far = _links_within(_together(open_.join(sets, "node").select(*_COLUMNS, "items")), percent)
+    return near.union(far)
 
 
 def jaccard_components(
@@ -437,12 +520,7 @@ def jaccard_components(
         .checkpoint()
     )
     shared = _shared_signatures(docs, width, percent, parts).checkpoint()
-    near = _verified(_leader_pairs(shared, known, percent).checkpoint(), docs, known, width, percent)
-    near = near.checkpoint()
-    labels = connected_components(near).checkpoint()
-    far = _cross_pairs(shared, labels, known, percent).checkpoint()
-    links = near.union(_verified(far, docs, known, width, percent))
-    labels = connected_components(links).checkpoint()
+    labels = connected_components(_all_links(shared, docs, known, width, percent)).checkpoint()
     ids = known.select("node", "doc_id").join(labels, "node")
     named = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = ids.join(named, "component").select("node", "component", "component_id")
