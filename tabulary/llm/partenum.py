@@ -18,8 +18,8 @@ meet at the finer cut.
 
 Candidates are never listed as all pairs of a signature's documents. The smallest node that has a
 signature leads it; the nodes of a leader are compared in blocks. Two that share a signature are
-candidates if they pass two exact tests: sizes within a factor t, and a distance of at most k
-between their counts of elements per coarse domain range. First each node's nearest candidate
+candidates if they pass two exact tests: sizes within a factor t, and at most k differences
+between sketches, bit sets that cannot differ in more places than the sets themselves. First each node's nearest candidate
 is verified on the sets themselves, and components are built; then all candidates that are still in
 different components, nearest first, until links found connect them. Exact copies are one node
 throughout.
@@ -40,12 +40,14 @@ from tabulary.session import ensure_checkpoint_dir
 
 WIDTH = 5
 PERCENT = 75
-#: Ranges of the hash domain whose element counts bound the distance of two sets from below.
-RANGES = 256
+#: Bits of a sketch for each element of its set, at least.
+BITS = 3
 #: Documents of one leader that one task compares with each other at most, or so.
 CHUNK = 2048
 #: Candidates of a document that a task names, nearest first; all are tested in the end.
 NEAREST = 3
+#: Pairs that a task writes down at a time, or one document's.
+PAIRS = 1 << 20
 #: Ids that are sent to all tasks at most; more of them are joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -120,8 +122,15 @@ def _times_high(x: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _sketch(one: np.ndarray) -> bytes:
-    counts = np.bincount((one >> np.uint64(56)).astype(np.int64), minlength=RANGES)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """For each of 2^m ranges of hashes, modulo 2^m, whether it holds an odd number of elements.
+
+    An element that only one of two sets has flips one bit, so two sets are at least as far
+    apart as their sketches. 2^m is ``BITS`` times the size or more, 64 at least. Folding a
+    sketch's halves onto each other gives the sketch of half the length.
+    """
+    bits = 1 << max(6, int(BITS * len(one) - 1).bit_length())
+    odd = np.bincount((one & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -307,73 +316,105 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, width: int, p
     return both.mapInArrow(test, "u long, v long")
 
 
-def _distances(
-    percent: int, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray
-) -> np.ndarray:
-    """A lower bound of each pair's distance by their sizes, or infinity if they cannot be similar."""
-    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    out = np.full(len(small), np.inf)
-    at = np.flatnonzero(100 * small >= percent * large)
-    for i in range(0, len(at), 1 << 14):
-        some = at[i : i + (1 << 14)]
-        one, two = a[some], b[some]
-        apart = (np.maximum(one, two) - np.minimum(one, two)).sum(axis=1, dtype=np.int64)
-        total = size_a[some] + size_b[some]
-        close = apart <= total * (100 - percent) // (100 + percent)
-        out[some[close]] = apart[close] / total[close]
-    return out
-
-
-def _candidates(group: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows u and v of one task's chunk or two that may be similar, each pair once, and their bound.
-
-    They share a signature, lie on different sides if there are two chunks, and are not known to
-    be in one component.
+class _Sketches:
+    """Sketches of different lengths, as 64-bit words one after another."""
+
+    def __init__(self, sketches: pa.BinaryArray):
+        data = [s.as_py() for s in sketches]
+        self.length = np.array([len(d) // 8 for d in data], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.words = np.frombuffer(b"".join(data), np.uint64)
+
+    def _rows(self, index: np.ndarray, length: int, width: int) -> np.ndarray:
+        rows = self.words[self.start[index][:, None] + np.arange(length)]
+        while length > width:  # fold a longer sketch
+            length //= 2
+            rows = rows[:, :length] ^ rows[:, length:]
+        return rows
+
+    def distances(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """In how many places the sketches of each pair differ, at the shorter one's length."""
+        out = np.zeros(len(one), np.int64)
+        if not len(one):
+            return out
+        kind = self.length[one] * (1 << 32) + self.length[two]
+        order = np.argsort(kind, kind="stable")
+        start = np.flatnonzero(np.diff(kind[order], prepend=-1))
+        for a, b in zip(start, np.append(start[1:], len(order)), strict=True):
+            la, lb = int(self.length[one[order[a]]]), int(self.length[two[order[a]]])
+            width = min(la, lb)
+            block = max(1, (1 << 18) // max(la, lb))
+            for k in range(a, b, block):
+                some = order[k : min(b, k + block)]
+                differ = self._rows(one[some], la, width) ^ self._rows(two[some], lb, width)
+                out[some] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _candidates(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows that may be similar, each once, with a lower bound of their relative distance.
+
+    They are rows of one task (leader, lo, hi), share a signature, lie in different chunks if the
+    task has two, and are not known to be in one component.
     """
-    lo, hi = group[0]["lo"], group[0]["hi"]
-    part, label, size = (
-        np.array([r[c] for r in group], np.int64) for c in ("chunk", "component", "n_shingles")
+    lo, hi, chunk, label, size = (
+        rows.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "chunk", "component", "n_shingles")
     )
-    sketch = np.frombuffer(b"".join(r["sketch"] for r in group), np.uint8).reshape(-1, RANGES)
-    owner = np.repeat(np.arange(len(group)), [len(r["signatures"]) for r in group])
-    key = np.array([s for r in group for s in r["signatures"]], np.int64)
-    order = np.argsort(key, kind="stable")
+    task = _task_numbers(rows)
+    lists = rows.column("signatures").combine_chunks()
+    owner = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+    key = lists.flatten().to_numpy()
+    order = np.lexsort((owner, key, task[owner]))
     key, owner = key[order], owner[order]
-    bounds = np.append(np.flatnonzero(np.diff(key, prepend=key[:1] - 1)), len(key))
-    found, bound = [np.empty((2, 0), np.int64)], [np.empty(0)]
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        own = owner[a:b]
-        if (label[own] == label[own[0]]).all():
-            continue
-        left = own[part[own] == lo]
-        right = left if lo == hi else own[part[own] == hi]
-        for i in left:
-            j = right[right > i] if lo == hi else right
-            j = j[label[j] != label[i]]
-            if len(j):
-                apart = _distances(
-                    percent, np.broadcast_to(sketch[i], (len(j), RANGES)), sketch[j],
-                    np.full(len(j), size[i]), size[j],
-                )
-                near = np.flatnonzero(np.isfinite(apart))
-                found.append(np.stack([np.full(len(near), i), j[near]]))
-                bound.append(apart[near])
-    pairs, bounds_ = np.concatenate(found, axis=1), np.concatenate(bound)
-    _, once = np.unique(pairs[0] * len(group) + pairs[1], return_index=True)
-    return pairs[0][once], pairs[1][once], bounds_[once]
-
-
-def _by_task(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Consecutive rows of equal leader, lo and hi."""
-    group: list[dict] = []
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (task[owner[1:]] != task[owner[:-1]])
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(key))
+    after = np.repeat(end, end - start) - np.arange(len(key)) - 1  # partners behind each place
+    total = np.concatenate([[0], np.cumsum(after)])
+    found = [np.empty(0, np.int64)]
+    at = 0
+    while at < len(key):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
+        first = np.repeat(np.arange(at, to), after[at:to])
+        step = np.arange(len(first)) - np.repeat(total[at:to] - total[at], after[at:to]) + 1
+        i, j = owner[first], owner[first + step]
+        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        keep = (label[i] != label[j]) & (100 * small >= percent * large)
+        keep &= (lo[i] == hi[i]) | (chunk[i] != chunk[j])
+        found.append(np.unique(i[keep] * len(rows) + j[keep]))
+        at = to
+    pair = np.unique(np.concatenate(found))
+    u, v = pair // len(rows), pair % len(rows)
+    apart = _Sketches(rows.column("sketch").combine_chunks()).distances(u, v)
+    both = size[u] + size[v]
+    close = apart <= both * (100 - percent) // (100 + percent)
+    return u[close], v[close], apart[close] / both[close]
+
+
+def _task_numbers(rows: pa.Table) -> np.ndarray:
+    new = np.zeros(len(rows), bool)
+    for c in ("leader", "lo", "hi"):
+        values = rows.column(c).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.cumsum(new)
+
+
+def _by_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The sorted rows in tables that cut no (leader, lo, hi)."""
+    held: pa.Table | None = None
     for batch in batches:
-        for row in batch.to_pylist():
-            if group and any(group[0][c] != row[c] for c in ("leader", "lo", "hi")):
-                yield group
-                group = []
-            group.append(row)
-    if group:
-        yield group
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        task = _task_numbers(rows)
+        cut = int(np.searchsorted(task, task[-1]))
+        if cut:
+            yield rows.slice(0, cut).combine_chunks()
+        held = rows.slice(cut)
+    if held is not None:
+        yield held.combine_chunks()
 
 
 _ROW = (
@@ -414,23 +455,21 @@ def _involved(rows: DataFrame, percent: int) -> DataFrame:
             u, v, bound = _candidates(group, percent)
             if not len(u):
                 continue
-            ends = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([bound, bound])
-            order = np.lexsort((ends[1], ends[2], ends[0]))
-            own, other, apart = (x[order] for x in ends)
-            start = np.flatnonzero(np.diff(own, prepend=-1))
-            kept = []
-            for a, b in zip(start, np.append(start[1:], len(own)), strict=True):
-                nearest = [
-                    {"apart": float(apart[i]), "other": group[other[i]]["node"]}
-                    for i in range(a, min(b, a + NEAREST))
-                ]
-                kept.append(group[own[a]] | {"near": nearest})
-            yield pa.RecordBatch.from_pylist(kept, schema)
-
-    integer, wide = pa.int32(), pa.int64()
-    kinds = {"lo": integer, "hi": integer, "chunk": integer, "sketch": pa.binary(), "signatures": pa.list_(wide)}
-    near = pa.list_(pa.struct([("apart", pa.float64()), ("other", wide)]))
-    schema = pa.schema([*((c, kinds.get(c, wide)) for c in _COLUMNS), ("near", near)])
+            one, two, apart = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([bound, bound])
+            order = np.lexsort((two, apart, one))
+            one, two, apart = one[order], two[order], apart[order]
+            start = np.flatnonzero(np.diff(one, prepend=-1))
+            rank = np.arange(len(one)) - np.repeat(start, np.diff(np.append(start, len(one))))
+            first = rank < NEAREST
+            near = pa.StructArray.from_arrays(
+                [pa.array(apart[first]), pa.array(group.column("node").to_numpy()[two[first]])],
+                names=["apart", "other"],
+            )
+            offsets = np.append(np.searchsorted(one[first], one[start]), first.sum())
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), near)
+            kept = group.take(pa.array(one[start])).append_column("near", lists)
+            yield from kept.to_batches()
+
     return rows.mapInArrow(run, f"{_ROW}, near array<struct<apart:double,other:long>>")
 
 
@@ -442,25 +481,29 @@ def _links_within(rows: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _by_task(batches):
-            root = {r["component"]: r["component"] for r in group}
+        root: dict[int, int] = {}
 
-            def find(x: int, root: dict = root) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
+        def find(x: int) -> int:
+            while (above := root.setdefault(x, x)) != x:
+                root[x] = x = root.setdefault(above, above)
+            return x
 
-            sets = [np.frombuffer(r["items"], np.uint64) for r in group]
+        for group in _by_task(batches):
+            root.clear()
+            node, label = (group.column(c).to_pylist() for c in ("node", "component"))
+            items = group.column("items")
             u, v, bound = _candidates(group, percent)
             links: dict[str, list[int]] = {"u": [], "v": []}
             for k in np.argsort(bound, kind="stable"):
-                one, two = group[u[k]], group[v[k]]
-                a, b = find(one["component"]), find(two["component"])
-                if a != b and _similar(sets[u[k]], sets[v[k]], percent):
+                one, two = int(u[k]), int(v[k])
+                a, b = find(label[one]), find(label[two])
+                if a != b and _similar(
+                    np.frombuffer(items[one].as_py(), np.uint64),
+                    np.frombuffer(items[two].as_py(), np.uint64), percent,
+                ):
                     root[a] = b
-                    links["u"].append(one["node"])
-                    links["v"].append(two["node"])
+                    links["u"].append(node[one])
+                    links["v"].append(node[two])
             if links["u"]:
                 yield pa.RecordBatch.from_pydict(links)
 

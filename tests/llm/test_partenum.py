@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabulary.llm import partenum
@@ -135,9 +136,9 @@ def test_exact_tests_never_lose_a_link():
     for _ in range(30):
         keep = chance.permutation(len(sets[0]))[int(chance.integers(0, 80)) :]
         sets.append(np.unique(np.concatenate([sets[0][keep], _set(chance, int(chance.integers(0, 60)))])))
-    sketch = np.frombuffer(b"".join(partenum._sketch(s) for s in sets), np.uint8).reshape(-1, partenum.RANGES)
-    size = np.array([len(s) for s in sets])
+    sets += [_set(chance, n) for n in (1, 2, 20, 21, 22, 340, 345, 5000)]
+    sketches = partenum._Sketches(pa.array([partenum._sketch(s) for s in sets], pa.binary()))
     for i, j in combinations(range(len(sets)), 2):
-        apart = partenum._distances(75, sketch[[i]], sketch[[j]], size[[i]], size[[j]])
-        assert np.isfinite(apart[0]) or not _linked(sets[i], sets[j])
+        apart = sketches.distances(np.array([i]), np.array([j]))[0]
+        assert apart <= len(np.setxor1d(sets[i], sets[j]))
         assert partenum._similar(sets[i], sets[j], 75) == _linked(sets[i], sets[j])
