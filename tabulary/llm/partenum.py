@@ -46,8 +46,10 @@ BITS = 3
 CHUNK = 2048
 #: Candidates of a document that a task names, nearest first; all are tested in the end.
 NEAREST = 3
-#: Pairs that a task writes down at a time, or one document's.
-PAIRS = 1 << 20
+#: Pairs that a worker writes down at a time; a task with more marks them in a table.
+PAIRS = 1 << 19
+#: Rows of that table held at a time.
+BLOCK_ROWS = 256
 #: Ids that are sent to all tasks at most; more of them are joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -351,45 +353,98 @@ class _Sketches:
         return out
 
 
-def _candidates(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class _Rows:
+    """Rows of whole tasks, and the places at which they have signatures, by task and signature."""
+
+    def __init__(self, rows: pa.Table):
+        self.lo, self.hi, self.chunk, self.label, self.size = (
+            rows.column(c).to_numpy().astype(np.int64)
+            for c in ("lo", "hi", "chunk", "component", "n_shingles")
+        )
+        self.task = _task_numbers(rows)
+        lists = rows.column("signatures").combine_chunks()
+        owner = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+        key = lists.flatten().to_numpy()
+        order = np.lexsort((owner, key, self.task[owner]))
+        key, self.owner = key[order], owner[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (self.task[self.owner[1:]] != self.task[self.owner[:-1]])
+        self.start = np.flatnonzero(new)
+        self.end = np.append(self.start[1:], len(key))
+        # partners behind each place
+        self.after = np.repeat(self.end, self.end - self.start) - np.arange(len(key)) - 1
+        self.sketches = _Sketches(rows.column("sketch").combine_chunks())
+
+    def written(self, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of rows that share a signature at the given places, once."""
+        after = self.after[at:to]
+        first = np.repeat(np.arange(at, to), after)
+        step = np.arange(len(first)) - np.repeat(np.cumsum(after) - after, after) + 1
+        pair = np.unique(self.owner[first] * len(self.size) + self.owner[first + step])
+        return pair // len(self.size), pair % len(self.size)
+
+    def marked(self, at: int, to: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for one task with many pairs, by blocks of a table of its rows by its rows."""
+        runs = np.arange(np.searchsorted(self.start, at), np.searchsorted(self.start, to))
+        low, high = int(self.owner[at:to].min()), int(self.owner[at:to].max()) + 1
+        for a in range(low, high, BLOCK_ROWS):
+            shares = np.zeros((min(BLOCK_ROWS, high - a), high - low), bool)
+            for r in runs:
+                own = self.owner[self.start[r] : self.end[r]]
+                inside = own[np.searchsorted(own, a) : np.searchsorted(own, a + BLOCK_ROWS)]
+                if len(inside):
+                    shares[np.ix_(inside - a, own - low)] = True
+            shares &= np.arange(low, high) > np.arange(a, a + len(shares))[:, None]
+            u, v = np.nonzero(shares)
+            yield u + a, v + low
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of pairs that share a signature; each pair is in one block."""
+        if not len(self.owner):
+            return
+        task = self.task[self.owner]
+        first = np.flatnonzero(np.diff(task, prepend=-1))  # the places where tasks begin
+        total = np.concatenate([[0], np.cumsum(self.after)])
+        ends = np.append(first[1:], len(task))
+        at = 0
+        while at < len(first):
+            begin = first[at]
+            to = int(np.searchsorted(total[ends], total[begin] + PAIRS, side="right"))
+            if to > at:
+                yield self.written(begin, ends[to - 1])
+                at = to
+            else:
+                yield from self.marked(begin, ends[at])
+                at += 1
+
+
+def _candidates(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of rows that may be similar, each once, with a lower bound of their relative distance.
 
     They are rows of one task (leader, lo, hi), share a signature, lie in different chunks if the
     task has two, and are not known to be in one component.
     """
-    lo, hi, chunk, label, size = (
-        rows.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "chunk", "component", "n_shingles")
-    )
-    task = _task_numbers(rows)
-    lists = rows.column("signatures").combine_chunks()
-    owner = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-    key = lists.flatten().to_numpy()
-    order = np.lexsort((owner, key, task[owner]))
-    key, owner = key[order], owner[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (task[owner[1:]] != task[owner[:-1]])
-    start = np.flatnonzero(new)
-    end = np.append(start[1:], len(key))
-    after = np.repeat(end, end - start) - np.arange(len(key)) - 1  # partners behind each place
-    total = np.concatenate([[0], np.cumsum(after)])
-    found = [np.empty(0, np.int64)]
-    at = 0
-    while at < len(key):
-        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
-        first = np.repeat(np.arange(at, to), after[at:to])
-        step = np.arange(len(first)) - np.repeat(total[at:to] - total[at], after[at:to]) + 1
-        i, j = owner[first], owner[first + step]
-        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        keep = (label[i] != label[j]) & (100 * small >= percent * large)
-        keep &= (lo[i] == hi[i]) | (chunk[i] != chunk[j])
-        found.append(np.unique(i[keep] * len(rows) + j[keep]))
-        at = to
-    pair = np.unique(np.concatenate(found))
-    u, v = pair // len(rows), pair % len(rows)
-    apart = _Sketches(rows.column("sketch").combine_chunks()).distances(u, v)
-    both = size[u] + size[v]
-    close = apart <= both * (100 - percent) // (100 + percent)
-    return u[close], v[close], apart[close] / both[close]
+    own = _Rows(rows)
+    size, label = own.size, own.label
+    for u, v in own.pairs():
+        small, large = np.minimum(size[u], size[v]), np.maximum(size[u], size[v])
+        keep = (label[u] != label[v]) & (100 * small >= percent * large)
+        keep &= (own.lo[u] == own.hi[u]) | (own.chunk[u] != own.chunk[v])
+        u, v = u[keep], v[keep]
+        apart = own.sketches.distances(u, v)
+        both = size[u] + size[v]
+        close = apart <= both * (100 - percent) // (100 + percent)
+        if close.any():
+            yield u[close], v[close], apart[close] / both[close]
+
+
+def _nearest(one: np.ndarray, two: np.ndarray, apart: np.ndarray) -> tuple:
+    """Of each row in ``one`` the nearest partners, in order, ``NEAREST`` at most."""
+    order = np.lexsort((two, apart, one))
+    one, two, apart = one[order], two[order], apart[order]
+    start = np.flatnonzero(np.diff(one, prepend=-1))
+    first = np.arange(len(one)) - np.repeat(start, np.diff(np.append(start, len(one)))) < NEAREST
+    return one[first], two[first], apart[first]
 
 
 def _task_numbers(rows: pa.Table) -> np.ndarray:
@@ -452,21 +507,18 @@ def _involved(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _by_task(batches):
-            u, v, bound = _candidates(group, percent)
-            if not len(u):
+            found = [
+                _nearest(np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([apart, apart]))
+                for u, v, apart in _candidates(group, percent)
+            ]
+            if not found:
                 continue
-            one, two, apart = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([bound, bound])
-            order = np.lexsort((two, apart, one))
-            one, two, apart = one[order], two[order], apart[order]
+            one, two, apart = _nearest(*(np.concatenate(x) for x in zip(*found, strict=True)))
             start = np.flatnonzero(np.diff(one, prepend=-1))
-            rank = np.arange(len(one)) - np.repeat(start, np.diff(np.append(start, len(one))))
-            first = rank < NEAREST
             near = pa.StructArray.from_arrays(
-                [pa.array(apart[first]), pa.array(group.column("node").to_numpy()[two[first]])],
-                names=["apart", "other"],
+                [pa.array(apart), pa.array(group.column("node").to_numpy()[two])], names=["apart", "other"]
             )
-            offsets = np.append(np.searchsorted(one[first], one[start]), first.sum())
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), near)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(one)), pa.int32()), near)
             kept = group.take(pa.array(one[start])).append_column("near", lists)
             yield from kept.to_batches()
 
@@ -492,18 +544,18 @@ def _links_within(rows: DataFrame, percent: int) -> DataFrame:
             root.clear()
             node, label = (group.column(c).to_pylist() for c in ("node", "component"))
             items = group.column("items")
-            u, v, bound = _candidates(group, percent)
             links: dict[str, list[int]] = {"u": [], "v": []}
-            for k in np.argsort(bound, kind="stable"):
-                one, two = int(u[k]), int(v[k])
-                a, b = find(label[one]), find(label[two])
-                if a != b and _similar(
-                    np.frombuffer(items[one].as_py(), np.uint64),
-                    np.frombuffer(items[two].as_py(), np.uint64), percent,
-                ):
-                    root[a] = b
-                    links["u"].append(node[one])
-                    links["v"].append(node[two])
+            for u, v, bound in _candidates(group, percent):
+                for k in np.argsort(bound, kind="stable"):
+                    one, two = int(u[k]), int(v[k])
+                    a, b = find(label[one]), find(label[two])
+                    if a != b and _similar(
+                        np.frombuffer(items[one].as_py(), np.uint64),
+                        np.frombuffer(items[two].as_py(), np.uint64), percent,
+                    ):
+                        root[a] = b
+                        links["u"].append(node[one])
+                        links["v"].append(node[two])
             if links["u"]:
                 yield pa.RecordBatch.from_pydict(links)
 

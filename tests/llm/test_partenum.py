@@ -78,9 +78,11 @@ def _corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("chunk", [2048, 3])
-def test_components_equal_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "pairs"), [(2048, 1 << 19), (3, 1 << 19), (2048, 5), (6, 3)])
+def test_components_equal_brute_force(spark, monkeypatch, chunk, pairs):
     monkeypatch.setattr(partenum, "CHUNK", chunk)
+    monkeypatch.setattr(partenum, "PAIRS", pairs)
+    monkeypatch.setattr(partenum, "BLOCK_ROWS", 4)
     rows = _corpus()
     frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
     got = partenum.jaccard_components(frame, parts=7).collect()
