@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import UTC, datetime
 from typing import Any
 
@@ -65,8 +65,16 @@ class QueryDesk:
         limit: int = DEFAULT_LIMIT,
         columns: Sequence[str] | str | None = None,
         position: Sequence[Any] | None = None,
+        with_total: bool = False,
+        column_types: Mapping[str, str] | None = None,
     ) -> Envelope:
-        """One page of rows. ``position`` is the previous page's ``next_position``."""
+        """One page of rows. ``position`` is the previous page's ``next_position``.
+
+        A position never holds a hidden value: hidden keys are in it as a digest, and the row it
+        names is looked up when the page after it is asked for. ``with_total`` counts all matching
+        rows for the pagination. ``column_types`` are stored declarations (see
+        ``sources.column_types``) that decide how filter values compare, over the table's own.
+        """
         paging.check_limit(limit, paging.MAX_LIMIT)
         clauses = [Clause.of(c) for c in decode_list(filters) or []]
         columns = decode_list(columns)
@@ -85,7 +93,8 @@ class QueryDesk:
         for clause in rest:
             if clause.column not in df.columns:
                 raise unknown_column(database, table, clause.column)
-        rows = apply_filters(df, rest)
+        declared = {**spec.column_types, **(column_types or {})}
+        rows = apply_filters(df, rest, declared)
 
         at = self.clock()
         # Under one parent its key is the same on every row, and it must not be shown.
@@ -94,9 +103,13 @@ class QueryDesk:
         out = projection.enrich(self.registry, database, spec, df, columns, at)
         _, heavy = projection.split_columns(self.registry, spec, df, columns)
 
+        hidden = self.registry.hidden_for(spec)
+        if position is not None:
+            position = paging.unsealed(rows, keys, hidden, position)
+
         def page_position() -> Pagination:
-            end, more = paging.page_end(rows, keys, limit, position)
-            return Pagination(next_position=end, truncated=more)
+            end, more = paging.sealed_page_end(rows, keys, hidden, limit, position)
+            return Pagination(end, more, rows.count() if with_total else None)
 
         read = {c.column for c in rest}
         if heavy and trigger is None and not read & self.registry.heavy:
@@ -117,7 +130,7 @@ class QueryDesk:
         projection.check_columns(
             self.registry, database, spec, df, [c.column for c in clauses]
         )
-        return apply_filters(df, clauses).count()
+        return apply_filters(df, clauses, spec.column_types).count()
 
     def _parent(self, database: str, spec: TableSpec) -> tuple[TableSpec, DataFrame]:
         parent = self.registry.any_table(database, spec.link.parent_table)
@@ -177,7 +190,7 @@ class QueryDesk:
         """Merged previews over all searchable tables; totals come with the pagination.
 
         Rows and totals each read the searched text; with ``keep_hits`` the matches are kept
-        on disk, without their text, and it is read once.
+        on disk, without their text, until the answer's ``release``, and it is read once.
         """
         names = search.check_search(self.registry, query, decode_list(databases), limit)
         at = self.clock()
@@ -193,4 +206,5 @@ class QueryDesk:
             per_table = search.search_totals(found).collect()  # one row per table
             return Pagination(upstream_total_hits={r["table"]: r["hits"] for r in per_table})
 
-        return Envelope(data, provenance, page=totals)
+        kept = tuple(matched for _, matched in found) if keep_hits else ()
+        return Envelope(data, provenance, page=totals, kept=kept)

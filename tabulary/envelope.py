@@ -24,21 +24,33 @@ class Provenance:
 
 @dataclass(frozen=True)
 class Pagination:
-    """``next_position`` is the plain key to resume after, None on the last page."""
+    """``next_position`` names the row to resume after, None on the last page.
+
+    ``total`` counts the matching rows over all pages; it is None unless asked for.
+    """
 
     next_position: tuple | None = None
     truncated: bool = False
+    total: int | None = None
     upstream_total_hits: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
 class Envelope:
-    """``pagination`` runs a bounded job on first use; ``data`` stays lazy."""
+    """``pagination`` runs a bounded job on first use; ``data`` stays lazy.
+
+    ``release`` gives back what the answer keeps on executors, if it keeps anything.
+    """
 
     data: DataFrame
     provenance: Provenance
     page: Callable[[], Pagination] | None = None
     warnings: tuple[str, ...] = ()
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for frame in self.kept:
+            frame.unpersist()
 
     def pagination(self) -> Pagination | None:
         return None if self.page is None else self.page()

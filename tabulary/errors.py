@@ -47,16 +47,16 @@ def invalid_filter(detail: str) -> QueryError:
 
 
 def invalid_query() -> QueryError:
-    return QueryError("invalid_query", "query syntax not supported")
+    return QueryError("invalid_query", "the search needs a phrase and a limit within bounds")
 
 
 def invalid_cursor() -> QueryError:
-    return QueryError("invalid_cursor", "cursor does not match current request shape")
+    return QueryError("invalid_cursor", "the position belongs to another request")
 
 
 def unsupported_fetch(database: str, table: str) -> QueryError:
-    return QueryError("unsupported_table_for_fetch", f"Table {database}.{table} has no URL column")
+    return QueryError("unsupported_table_for_fetch", f"{database}.{table} has no natural key to fetch by")
 
 
 def not_found(database: str, table: str) -> QueryError:
-    return QueryError("not_found", f"No row found in {database}.{table} for the given URL")
+    return QueryError("not_found", f"{database}.{table} holds no row with this key")

@@ -127,6 +127,7 @@ def ip_key(ip: Column) -> Column:
 
 
 def is_loopback(ip: Column) -> Column:
-    """127.0.0.0/8 and every spelling of ::1."""
-    v6_one = F.concat_ws(":", _v6_groups(ip)) == "0:0:0:0:0:0:0:1"
-    return F.coalesce((_is_v4(ip) & ip.startswith("127.")) | v6_one, F.lit(False))
+    """127.0.0.0/8, also mapped into IPv6, and every spelling of ::1."""
+    v6 = F.concat_ws(":", _v6_groups(ip))
+    v6_own = v6.rlike("^0:0:0:0:0:(0:0:1|ffff:7f[0-9a-f]{2}:[0-9a-f]+)$")
+    return F.coalesce((_is_v4(ip) & ip.startswith("127.")) | v6_own, F.lit(False))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from datetime import date, datetime
 from functools import reduce
@@ -36,10 +36,11 @@ OPERATORS = (
 )
 _FIELDS = {"column", "op", "value"}
 
-_NOT_COERCIBLE = "value not coercible for operator"
-_NOT_A_LIST = "in/notin value must be a flat list of str/int/float"
+_NOT_COERCIBLE = "the column's type cannot hold the value as a bound"
+_NOT_A_LIST = "membership takes a list of strings and numbers"
 
 #: Membership lists up to this length become a pushed-down IN; longer ones a semi or anti join.
+#: Both compare in the same widened type, so the length decides the plan and not the answer.
 IN_LIST_LIMIT = 1000
 
 
@@ -74,10 +75,13 @@ def _as_stored(value: Any, dtype: T.DataType) -> Any:
     try:
         if isinstance(dtype, T.IntegralType):
             try:
-                return int(text)
+                whole = int(text)
             except ValueError:
                 number = float(text)
-                return int(number) if number.is_integer() else _Unmatchable
+                if not number.is_integer():
+                    return _Unmatchable
+                whole = int(number)
+            return whole if -(1 << 63) <= whole < 1 << 63 else _Unmatchable
         if isinstance(dtype, (T.FractionalType, T.DecimalType)):
             return float(text)
         if isinstance(dtype, T.BooleanType):
@@ -119,6 +123,17 @@ def _literal(value: Any, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
+def _widened(dtype: T.DataType) -> T.DataType:
+    """The type in which equality and membership are decided."""
+    if isinstance(dtype, T.IntegralType):
+        return T.LongType()
+    if isinstance(dtype, (T.FractionalType, T.DecimalType)):
+        return T.DoubleType()
+    if isinstance(dtype, (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return dtype
+    return T.StringType()
+
+
 def _never(col: Column) -> Column:
     """False for every value, null for null."""
     return F.when(col.isNotNull(), F.lit(False))
@@ -182,9 +197,25 @@ def _stored_members(clause: Clause, dtype: T.DataType) -> list:
     return [v for v in dict.fromkeys(typed) if v is not _Unmatchable]
 
 
-def predicate(clause: Clause, dtype: T.DataType) -> Column:
+#: Declared types by name, and the types in which such columns compare.
+_DECLARED = {"INTEGER": T.LongType(), "REAL": T.DoubleType(), "TEXT": T.StringType()}
+
+
+def _compared(df: DataFrame, column: str, declared: Mapping[str, str]) -> tuple[Column, T.DataType]:
+    """The column and type a clause compares: a declared type wins over the stored one.
+
+    A column stored in a type of the declared family stays bare.
+    """
+    stored = df.schema[column].dataType
+    wanted = _DECLARED.get(declared.get(column, "").upper())
+    if wanted is None or _widened(stored) == wanted:
+        return F.col(column), stored
+    return F.col(column).try_cast(wanted), wanted
+
+
+def predicate(clause: Clause, dtype: T.DataType, col: Column | None = None) -> Column:
     """The clause as one boolean Column over a column of type ``dtype``."""
-    col = F.col(clause.column)
+    col = F.col(clause.column) if col is None else col
     if clause.op == "isnull":
         return col.isNull()
     if clause.op == "notnull":
@@ -193,7 +224,8 @@ def predicate(clause: Clause, dtype: T.DataType) -> Column:
         raise invalid_filter("value required for this operator")
     if clause.op in ("in", "notin"):
         members = [_literal(v, dtype) for v in _stored_members(clause, dtype)]
-        found = col.isin(members) if members else _never(col)
+        wide = col.cast("double") if isinstance(dtype, T.DecimalType) else col
+        found = wide.isin(members) if members else _never(col)
         return found if clause.op == "in" else ~found
     if clause.op in _RANGE:
         return _RANGE[clause.op](col, _literal(_as_bound(clause.value, dtype), dtype))
@@ -207,26 +239,36 @@ def _is_long_list(clause: Clause) -> bool:
     return clause.op in ("in", "notin") and len(_members(clause)) > IN_LIST_LIMIT
 
 
-def _join_members(df: DataFrame, clause: Clause) -> DataFrame:
+def _join_members(df: DataFrame, clause: Clause, declared: Mapping[str, str]) -> DataFrame:
     """Membership in a long list: a semi join, or an anti join over non-null rows."""
-    dtype = df.schema[clause.column].dataType
+    col, dtype = _compared(df, clause.column, declared)
+    wide = _widened(dtype)
     rows = [(v,) for v in _stored_members(clause, dtype)]
     members = local_frame(
-        df.sparkSession, rows, T.StructType([T.StructField(clause.column, dtype)])
+        df.sparkSession, rows, T.StructType([T.StructField("_member", wide)])
     )
+    same = col.cast(wide) == F.col("_member")
     if clause.op == "in":
-        return df.join(members, clause.column, "left_semi")
-    return df.filter(F.col(clause.column).isNotNull()).join(members, clause.column, "left_anti")
+        return df.join(members, same, "left_semi")
+    return df.filter(col.isNotNull()).join(members, same, "left_anti")
+
 
+def apply_filters(
+    df: DataFrame, clauses: Iterable[Clause | dict], declared: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Rows for which every clause holds. Clauses may repeat a column.
 
-def apply_filters(df: DataFrame, clauses: Iterable[Clause | dict]) -> DataFrame:
-    """Rows for which every clause holds. Clauses may repeat a column."""
+    ``declared`` names types (INTEGER, REAL, TEXT) that columns are meant to have; values that
+    a column stored otherwise cannot give in its declared type are null.
+    """
+    declared = declared or {}
     parsed = [Clause.of(c) for c in clauses]
     short = [c for c in parsed if c.value is None or not _is_long_list(c)]
-    tests = [predicate(c, df.schema[c.column].dataType) for c in short]
+    compared = {c.column: _compared(df, c.column, declared) for c in parsed}
+    tests = [predicate(c, compared[c.column][1], compared[c.column][0]) for c in short]
     if tests:
         df = df.filter(reduce(and_, tests))
     for clause in parsed:
         if clause not in short:
-            df = _join_members(df, clause)
+            df = _join_members(df, clause, declared)
     return df

@@ -150,5 +150,5 @@ def unknown_parents(
     parents: DataFrame, lookup: str, requests: DataFrame, match: str = "raw"
 ) -> DataFrame:
     """Requested urls without a parent."""
-    present = _matching(parents.select(lookup), lookup, match).select("_match")
+    present = _matching(parents.select(lookup), lookup, match).select("_match").distinct()
     return _requested(requests, match).join(present, "_match", "left_anti").select("url")

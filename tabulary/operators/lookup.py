@@ -71,5 +71,6 @@ def not_found(
 ) -> DataFrame:
     """Requested urls without a row."""
     wanted = _comparable(requests.select("url").distinct(), "url", match)
-    present = _comparable(df.select(url_column), url_column, match).select("_match")
+    # made distinct, so that a url on a large share of the rows meets its request once
+    present = _comparable(df.select(url_column), url_column, match).select("_match").distinct()
     return wanted.join(present, "_match", "left_anti").select("url")

@@ -7,27 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Group limits up to this size are applied before the shuffle by the optimizer.
-_PLANNED_GROUP_LIMIT = 1000
-_SALTS = 64
+from tabulary.operators.numbering import number_rows
+
+#: Up to this size the optimizer limits each task's rows per group before the shuffle.
+PLANNED_GROUP_LIMIT = 1000
 
 
 def first_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "round"
 ) -> DataFrame:
-    """The first ``n`` rows of every group with their 1-based rank.
+    """The first ``n`` rows of every group with their 1-based rank; ``order`` must be total.
 
-    Each task forwards at most ``n`` rows per group. For an ``n`` beyond what the
-    optimizer plans that way, a salted pass does the same first.
+    For a small ``n`` each task forwards at most ``n`` rows per group. For a larger one rows
+    are numbered by range parts, so that a group of any size is spread over many tasks.
     """
-    if n > _PLANNED_GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
-        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            salted.withColumn("_local", F.row_number().over(part))
-            .filter(F.col("_local") <= n)
-            .drop("_salt", "_local")
-        )
+    if n > PLANNED_GROUP_LIMIT:
+        numbered = number_rows(df, order, keys, name)
+        return numbered.filter(F.col(name) <= n).withColumn(name, F.col(name).cast("int"))
     group = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(group)).filter(F.col(name) <= n)
 

@@ -82,6 +82,49 @@ def after(keys: Sequence[SortKey], position: Sequence[Any]) -> Column:
     return condition if bound is None else bound & condition
 
 
+def _seal(hidden: Sequence[SortKey]) -> Column:
+    return F.sha2(F.to_json(F.struct(*[F.col(k.column) for k in hidden])), 256)
+
+
+def sealed_page_end(
+    df: DataFrame,
+    keys: Sequence[SortKey],
+    hidden: frozenset[str],
+    limit: int,
+    position: Sequence[Any] | None = None,
+) -> tuple[tuple | None, bool]:
+    """As :func:`page_end`, but all hidden key values of the row become one digest at the end."""
+    kept = [k for k in keys if k.column not in hidden]
+    inside = [k for k in keys if k.column in hidden]
+    probe = page(df.select(*[k.column for k in keys]), keys, limit + 1, position)
+    shown = [F.col(k.column) for k in kept] + ([_seal(inside)] if inside else [])
+    rows = probe.select(*shown).collect()  # bounded by the page size
+    if len(rows) <= limit:
+        return None, False
+    return tuple(rows[limit - 1]), True
+
+
+def unsealed(
+    df: DataFrame, keys: Sequence[SortKey], hidden: frozenset[str], position: Sequence[Any]
+) -> tuple:
+    """The full position behind a sealed one: the visible values and the digest name its row."""
+    kept = [k for k in keys if k.column not in hidden]
+    inside = [k for k in keys if k.column in hidden]
+    if not inside:
+        return tuple(position)
+    if len(position) != len(kept) + 1:
+        raise invalid_cursor()
+    same = [k.equals(v) for k, v in zip(kept, position, strict=False)]
+    row = (
+        df.filter(reduce(and_, [*same, _seal(inside) == F.lit(position[-1])]))
+        .select(*[k.column for k in keys])
+        .first()
+    )
+    if row is None:
+        raise invalid_cursor()
+    return tuple(row)
+
+
 def page(
     df: DataFrame, keys: Sequence[SortKey], limit: int, position: Sequence[Any] | None = None
 ) -> DataFrame:
@@ -100,18 +143,23 @@ def late_page(
 ) -> DataFrame:
     """A page with heavy columns: rows are chosen on their keys, then read in full.
 
-    The first scan reads the sort and key columns alone. The span of the chosen keys reaches
-    the second one as pushed comparisons, so that heavy text is read from the row groups
-    that can hold the page. The chosen keys, ``limit`` at most, are broadcast.
+    The first job reads the sort and key columns alone and brings the chosen keys, ``limit`` at
+    most, to the driver. As literals they reach the second scan, which skips the row groups
+    that hold none of them; where the table is not laid out by its key that may be no group.
     """
     slim = df.select(*dict.fromkeys([*[k.column for k in keys], *row_key]))
-    chosen = page(slim, keys, limit, position).select(*row_key)
-    first = F.col(row_key[0])
-    low = chosen.select(first).orderBy(first.asc()).limit(1).scalar()
-    high = chosen.select(first).orderBy(first.desc()).limit(1).scalar()
-    within = df.filter((first >= low) & (first <= high))
-    rows = within.join(F.broadcast(chosen), list(row_key), "left_semi").select(*df.columns)
-    return rows.orderBy(*order_by(keys)).limit(limit)
+    chosen = page(slim, keys, limit, position).select(*row_key).distinct().collect()
+    if not chosen:
+        return df.limit(0)
+    first = [r[0] for r in chosen if r[0] is not None]
+    within = F.col(row_key[0]).isin(first)
+    if len(first) < len(chosen):
+        within = within | F.col(row_key[0]).isNull()
+    if len(row_key) > 1:
+        rest = [SortKey(k) for k in row_key]
+        exact = [reduce(and_, [k.equals(v) for k, v in zip(rest, r, strict=True)]) for r in chosen]
+        within = within & reduce(or_, exact)
+    return df.filter(within).orderBy(*order_by(keys)).limit(limit)
 
 
 def page_end(

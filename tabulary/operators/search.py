@@ -68,9 +68,13 @@ def resolve_preview(
     return None if chosen["title"] is None or chosen["url"] is None else chosen
 
 
+def _whole(limit: object) -> bool:
+    return isinstance(limit, int) and not isinstance(limit, bool)
+
+
 def check_search(registry: Registry, query: str, databases: Sequence[str] | None, limit: int):
     """Reject blank queries and bad limits; None or [] means every database."""
-    if not query.strip() or isinstance(limit, bool) or not 1 <= limit <= MAX_SEARCH_LIMIT:
+    if not query.strip() or not _whole(limit) or not 1 <= limit <= MAX_SEARCH_LIMIT:
         raise invalid_query()
     names = list(databases) if databases else list(registry.databases)
     for name in names:
@@ -130,7 +134,7 @@ def find_hits(
     """The matching rows of every table, without the searched text.
 
     With ``keep`` they are stored on the executors' disks when first used, so that rows and
-    totals together read the text once. The caller unpersists them.
+    totals together read the text once; the caller unpersists these frames.
     """
     found = []
     for target, df in tables:

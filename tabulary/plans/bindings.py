@@ -121,7 +121,7 @@ CORPUS = DatabaseSpec(
             "threads",
             key=("conv_id",),
             path="conversations.parquet",
-            where="turn = 0",
+            first_by="turn",
             derived={"thread_url": "concat('row://threads/', conv_id)"},
             url_column="thread_url",
             light=("thread_url", "role"),

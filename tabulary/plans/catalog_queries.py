@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulary.errors import QueryError
 from tabulary.operators import discovery
 from tabulary.operators.counts import labelled_counts
 from tabulary.plans.bindings import CC_BY, REGISTRY
 from tabulary.plans.catalogue import desk, query, table
+from tabulary.session import local_frame
 from tabulary.sources.column_types import column_types
 
 _VISIBLE = {
@@ -18,7 +20,7 @@ _VISIBLE = {
     "corpus": ("documents", "pages", "conversations", "threads", "benchmark"),
     "telemetry": ("events",),
 }
-_THREADS = "(SELECT * FROM conversations WHERE turn = 0)"
+_THREADS = "(SELECT DISTINCT ON (conv_id) * FROM conversations ORDER BY conv_id, turn)"
 
 
 def _relation(name: str) -> str:
@@ -158,6 +160,62 @@ _DESCRIBED = {
         ("html", "TEXT", False, ""),
         ("title", "TEXT", False, ""),
     ),
+    ("sales", "customer", False, False): (
+        ("c_custkey", "INTEGER", False, ""),
+        ("c_name", "TEXT", False, ""),
+        ("c_nationkey", "INTEGER", False, ""),
+        ("c_acctbal", "REAL", False, ""),
+        ("c_mktsegment", "TEXT", False, ""),
+    ),
+    ("sales", "part", False, False): (
+        ("p_partkey", "INTEGER", True, ""),
+        ("p_name", "TEXT", True, ""),
+        ("p_brand", "TEXT", True, ""),
+        ("p_type", "TEXT", True, ""),
+        ("p_size", "INTEGER", False, ""),
+        ("p_retailprice", "REAL", False, ""),
+        ("title", "TEXT", False, ""),
+        ("url", "TEXT", False, ""),
+    ),
+    ("sales", "nation", False, False): (
+        ("n_nationkey", "INTEGER", False, ""),
+        ("n_name", "TEXT", False, ""),
+        ("n_regionkey", "INTEGER", False, ""),
+    ),
+    ("sales", "region", False, False): (
+        ("r_regionkey", "INTEGER", False, ""),
+        ("r_name", "TEXT", False, ""),
+    ),
+    ("corpus", "documents", False, False): (
+        ("doc_id", "INTEGER", True, ""),
+        ("text", "TEXT", False, ""),
+        ("lang", "TEXT", True, ""),
+        ("source", "TEXT", True, ""),
+        ("n_chars", "INTEGER", True, ""),
+        ("title", "TEXT", False, ""),
+        ("url", "TEXT", False, ""),
+    ),
+    ("corpus", "conversations", False, True): (
+        ("conv_id", "INTEGER", False, ""),
+        ("turn", "INTEGER", True, ""),
+        ("role", "TEXT", True, ""),
+        ("text", "TEXT", False, ""),
+        ("title", "TEXT", False, ""),
+        ("url", "TEXT", False, ""),
+    ),
+    ("corpus", "threads", True, True): (
+        ("conv_id", "INTEGER", False, ""),
+        ("turn", "INTEGER", False, ""),
+        ("role", "TEXT", True, ""),
+        ("text", "TEXT", False, ""),
+        ("thread_url", "TEXT", True, ""),
+    ),
+    ("corpus", "benchmark", False, False): (
+        ("item_id", "INTEGER", False, ""),
+        ("text", "TEXT", False, ""),
+        ("title", "TEXT", False, ""),
+        ("url", "TEXT", False, ""),
+    ),
     ("telemetry", "events", False, False): (
         ("event_id", "INTEGER", True, ""),
         ("ts", "TEXT", True, ""),
@@ -173,7 +231,7 @@ _DESCRIBED = {
     " UNION ALL ".join(
         f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", '{kind}' AS type, "
         f"'{text}' AS description, {light} AS light, {keyed} AS url_keyed, "
-        f"{frag} AS supports_fragments, (SELECT count(*) FROM {t}) AS row_count"
+        f"{frag} AS supports_fragments, (SELECT count(*) FROM {_relation(t)}) AS row_count"
         for (_, t, keyed, frag), columns in _DESCRIBED.items()
         for c, kind, light, text in columns
     )
@@ -213,3 +271,78 @@ def stored_definitions(spark, sf):
     events = table(spark, sf, "telemetry.events")
     broken = F.when(F.col("event_type") == "signup", F.lit("{not json")).otherwise(F.col("props"))
     return column_types(events.withColumn("props", broken), "event_id", "props")
+
+
+def _code(check) -> str:
+    try:
+        check()
+    except QueryError as error:
+        return error.code
+    return "ok"
+
+
+#: Rules of request validation: where the offered values stand, the request, and its code.
+#: Values of one table stand where a request needs something else, or something in bounds.
+_RULES = {
+    "database": ("sales.region", "r_name", lambda d, v: d.list_tables(v), "'unknown_database'"),
+    "table": ("sales.nation", "n_name", lambda d, v: d.query_table("sales", v), "'unknown_table'"),
+    "column": (
+        "sales.customer", "c_mktsegment",
+        lambda d, v: d.query_table("sales", "orders", columns=[v]), "'unknown_column'",
+    ),
+    "sort": (
+        "sales.part", "p_brand",
+        lambda d, v: d.query_table("sales", "lineitem", sort=v), "'unknown_column'",
+    ),
+    "operator": (
+        "sales.orders", "o_orderpriority",
+        lambda d, v: d.query_table("sales", "orders", [{"column": "o_custkey", "op": v}]),
+        "'invalid_filter_op'",
+    ),
+    "bound": (
+        "sales.orders", "o_orderstatus",
+        lambda d, v: d.query_table("sales", "orders", [{"column": "o_custkey", "op": "gt", "value": v}]),
+        "'invalid_filter_op'",
+    ),
+    "list": (
+        "telemetry.events", "event_type",
+        lambda d, v: d.query_table("sales", "orders", [{"column": "o_custkey", "op": "in", "value": v}]),
+        "'invalid_filter_op'",
+    ),
+    "limit": (
+        "sales.part", "p_size",
+        lambda d, v: d.search("steel", limit=3 * v),
+        "CASE WHEN 3 * p_size <= 100 THEN 'ok' ELSE 'invalid_query' END",
+    ),
+    "page": (
+        "sales.part", "p_size",
+        lambda d, v: d.query_table("sales", "orders", limit=5 * v),
+        "CASE WHEN 5 * p_size <= 200 THEN 'ok' ELSE 'invalid_filter_op' END",
+    ),
+    "search": ("corpus.documents", "lang", lambda d, v: d.search("x", databases=[v]), "'unknown_database'"),
+    "phrase": (
+        "corpus.documents", "lang", lambda d, v: d.search(" " * len(v)), "'invalid_query'",
+    ),
+    "fetch": (
+        "corpus.documents", "lang", lambda d, v: d.fetch("sales", "customer", v),
+        "'unsupported_table_for_fetch'",
+    ),
+    "missing": ("corpus.documents", "lang", lambda d, v: d.fetch("corpus", "pages", v), "'not_found'"),
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule, CAST(v AS VARCHAR) AS value, code FROM (SELECT DISTINCT {column} AS v, "
+        f"{code} AS code FROM {name.split('.')[1]} WHERE {column} IS NOT NULL)"
+        for rule, (name, column, _, code) in _RULES.items()
+    )
+)
+def validation_codes(spark, sf):
+    """The code that each distinct value meets where a request may not have it."""
+    served, found = desk(spark, sf), []
+    for rule, (name, column, request, _) in _RULES.items():
+        offered = table(spark, sf, name).select(column).filter(F.col(column).isNotNull()).distinct()
+        for (value,) in offered.toLocalIterator():
+            found.append((rule, str(value), _code(lambda r=request, v=value: r(served, v))))
+    return local_frame(spark, found, "rule string, value string, code string")

@@ -156,7 +156,6 @@ def fragment_walk(spark, sf):
 @query(
     "SELECT 'row://threads/' || conv_id AS url, turn, role, text, "
     "row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations "
-    "WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)"
 )
 def dialogue_walk(spark, sf):
     threads = table(spark, sf, "corpus.threads")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulary.envelope import provenance_for
 from tabulary.operators import paging, projection, quality
 from tabulary.plans.bindings import CC_BY, REGISTRY, RETRIEVED_AT, RETRIEVED_TEXT
 from tabulary.plans.catalogue import desk, query, table
-from tabulary.session import local_frame
+from tabulary.session import drop_path, local_frame, work_path
 
 
 def _enriched(spark, sf, name, columns=None):
@@ -86,10 +89,14 @@ def heavy_content_default_policy(spark, sf):
     )
 
 
+#: The visible tables with a url of each row.
+_WITH_URL = ("corpus.documents", "corpus.conversations", "corpus.pages", "corpus.benchmark", "sales.part")
+
+
 def _labelled_rows(spark, sf):
     """Rows of several tables with the license each carries."""
     parts = []
-    for name in ("corpus.documents", "corpus.conversations", "sales.part"):
+    for name in _WITH_URL:
         database, short = name.split(".")
         text, url = REGISTRY.database(database).license_pair()
         parts.append(
@@ -101,7 +108,7 @@ def _labelled_rows(spark, sf):
                 F.lit(url).alias("license_url"),
             )
         )
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -110,6 +117,8 @@ def _labelled_rows(spark, sf):
     "FROM documents UNION ALL "
     "SELECT 'row://conversations/' || conv_id || '/' || turn, 'corpus', 'ODC-BY', 'allowed' "
     "FROM conversations UNION ALL "
+    "SELECT url, 'corpus', 'ODC-BY', 'allowed' FROM pages UNION ALL "
+    "SELECT 'row://benchmark/' || item_id, 'corpus', 'ODC-BY', 'allowed' FROM benchmark UNION ALL "
     "SELECT 'row://part/' || p_partkey, 'sales', 'CC-BY-4.0', 'allowed' FROM part"
 )
 def mixed_table_policies(spark, sf):
@@ -274,8 +283,12 @@ def next_page_with_nulls(spark, sf):
     "SELECT count(*) AS total, count(*) > 200 AS has_more FROM orders WHERE o_totalprice >= 100000"
 )
 def filtered_total(spark, sf):
-    rows = table(spark, sf, "sales.orders").filter("o_totalprice >= 100000")
-    return rows.agg(F.count("*").alias("total"), (F.count("*") > 200).alias("has_more"))
+    """The total of a filtered request, and whether a first page of 200 leaves rows."""
+    clauses = [{"column": "o_totalprice", "op": "gte", "value": 100000}]
+    served = desk(spark, sf)
+    page = served.query_table("sales", "orders", clauses, limit=200).pagination()
+    total = served.count_rows("sales", "orders", clauses)
+    return local_frame(spark, [(total, page.truncated)], "total long, has_more boolean")
 
 
 @query(
@@ -288,27 +301,62 @@ def page_walk(spark, sf):
     return pages.select("o_orderkey", "position", "page")
 
 
+#: Visible tables with heavy text: the key that is shown, and the text.
+_HEAVY = {
+    "corpus.documents": (["doc_id"], "text"),
+    "corpus.pages": (["page_id"], "html"),
+    "corpus.conversations": (["conv_id", "turn"], "text"),
+    "corpus.benchmark": (["item_id"], "text"),
+}
+
+
 @query(
-    "SELECT count(*) AS compared, CAST(0 AS BIGINT) AS changed, CAST(0 AS BIGINT) AS missing "
-    "FROM documents"
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS \"table\", count(*) AS compared, CAST(0 AS BIGINT) AS changed, "
+        f"CAST(0 AS BIGINT) AS missing FROM {n.split('.')[1]}"
+        for n in _HEAVY
+    )
 )
 def text_unchanged(spark, sf):
-    served = _enriched(spark, sf, "corpus.documents", ["doc_id", "text"]).select(
-        "doc_id", F.col(f"{projection.NEST}.text").alias("served")
-    )
-    source = table(spark, sf, "corpus.documents")
-    return quality.changed_text(source, served, ["doc_id"], "text", "served")
+    """Heavy text after projection, a write and a read, against the source."""
+    parts = []
+    for name, (key, text) in _HEAVY.items():
+        path = work_path(spark, "served")
+        served = _enriched(spark, sf, name, [*key, text])
+        served.select(*key, F.col(f"{projection.NEST}.{text}").alias("served")).write.parquet(path)
+        compared = quality.changed_text(
+            table(spark, sf, name), spark.read.parquet(path), key, text, "served"
+        ).first()  # one row of three counts
+        drop_path(spark, path)
+        parts.append((name, *compared))
+    return local_frame(spark, parts, "table string, compared long, changed long, missing long")
+
+
+_VISIBLE = [
+    f"{d}.{t.name}" for d in REGISTRY.databases for t in REGISTRY.visible_tables(d)
+]
 
 
 @query(
-    "SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM part) "
-    "+ (SELECT count(*) FROM conversations) AS checked, CAST(0 AS BIGINT) AS uncited"
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS \"table\", {rows} AS checked, CAST(0 AS BIGINT) AS uncited"
+        for n in _VISIBLE
+        for rows in [
+            "(SELECT count(DISTINCT conv_id) FROM conversations)"
+            if n == "corpus.threads"
+            else f"(SELECT count(*) FROM {n.split('.')[1]})"
+        ]
+    )
 )
 def citations_complete(spark, sf):
-    names = ("corpus.documents", "sales.part", "corpus.conversations")
-    parts = [_enriched(spark, sf, n).select(projection.CITATION) for n in names]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.agg(
-        F.count("*").alias("checked"),
-        F.count_if(F.coalesce(projection.CITATION, F.lit("")) == "").alias("uncited"),
+    parts = []
+    for name in _VISIBLE:
+        rows = _enriched(spark, sf, name).select(F.lit(name).alias("table"), projection.CITATION)
+        parts.append(
+            rows.select("table", F.lit(1).alias("checked"), F.lit(0).alias("uncited")).unionByName(
+                quality.uncited(rows).select("table", F.lit(0).alias("checked"), F.lit(1).alias("uncited"))
+            )
+        )
+    return reduce(DataFrame.unionByName, parts).groupBy("table").agg(
+        F.sum("checked").alias("checked"), F.sum("uncited").alias("uncited")
     )

@@ -197,37 +197,43 @@ def many_rows_per_group(spark, sf):
 
 
 def _sentences(spark, sf):
-    """The first sentence of every benchmark item, as a phrase to look for."""
+    """All sentences of every benchmark item, as phrases to look for."""
     items = table(spark, sf, "corpus.benchmark")
-    sentence = F.regexp_extract("text", r"^[^.!?]*", 0)
-    return items.select(F.col("item_id").alias("query_id"), sentence.alias("phrase"))
+    sentences = F.regexp_extract_all("text", F.lit("[^.!?]+"), F.lit(0))
+    listed = items.select("item_id", F.posexplode(sentences).alias("at", "phrase"))
+    return listed.select((F.col("item_id") * 10_000 + F.col("at")).alias("query_id"), "phrase")
+
+
+#: Every searchable table.
+_SEARCHED = ("corpus.documents", "corpus.conversations", "corpus.benchmark", "corpus.pages", "sales.part")
 
 
 def _texts(spark, sf):
-    parts = [
-        postings.texts(
-            table(spark, sf, f"corpus.{name}"), f"corpus.{name}",
-            REGISTRY.any_table("corpus", name).key, ["text"],
-        )
-        for name in ("documents", "conversations", "benchmark")
-    ]
+    parts = []
+    for name in _SEARCHED:
+        database, short = name.split(".")
+        spec = REGISTRY.any_table(database, short)
+        parts.append(postings.texts(table(spark, sf, name), name, spec.key, spec.search_columns))
     return reduce(DataFrame.unionByName, parts)
 
 
 _SENTENCES = (
-    "(SELECT item_id AS query_id, trim(regexp_replace(lower(regexp_extract(text, '^[^.!?]*')), "
-    "'[^\\p{L}\\p{N}]+', ' ', 'g')) AS phrase FROM benchmark)"
+    "(SELECT item_id * 10000 + at - 1 AS query_id, trim(regexp_replace(lower(sentence), "
+    "'[^\\p{L}\\p{N}]+', ' ', 'g')) AS phrase FROM (SELECT item_id, "
+    "unnest(regexp_extract_all(text, '[^.!?]+')) AS sentence, "
+    "generate_subscripts(regexp_extract_all(text, '[^.!?]+'), 1) AS at FROM benchmark))"
 )
 _CORPUS_TEXT = (
     "(SELECT 'corpus.documents' AS \"table\", CAST(doc_id AS VARCHAR) AS row_key, text "
     "FROM documents UNION ALL SELECT 'corpus.conversations', conv_id || '/' || turn, text "
     "FROM conversations UNION ALL SELECT 'corpus.benchmark', CAST(item_id AS VARCHAR), text "
-    "FROM benchmark)"
+    "FROM benchmark UNION ALL SELECT 'corpus.pages', CAST(page_id AS VARCHAR), url FROM pages "
+    "UNION ALL SELECT 'sales.part', CAST(p_partkey AS VARCHAR), p_name FROM part)"
 )
 _MANY = (
     f"SELECT query_id, \"table\", row_key FROM {_SENTENCES} q JOIN "
     f"(SELECT \"table\", row_key, {_WORDS.format('text')} AS words FROM {_CORPUS_TEXT}) t "
-    "ON contains(t.words, ' ' || q.phrase || ' ')"
+    "ON q.phrase <> '' AND contains(t.words, ' ' || q.phrase || ' ')"
 )
 
 
@@ -238,17 +244,17 @@ def many_phrases(spark, sf):
 
 @query(_MANY)
 def many_phrases_by_postings(spark, sf):
-    return postings.match_phrases(_texts(spark, sf), _sentences(spark, sf), in_place_limit=0)
+    """The same with both joins by shuffles, as for very many phrases."""
+    return postings.match_phrases(_texts(spark, sf), _sentences(spark, sf), broadcast=False)
 
 
 @query(
     "SELECT q.query_id, l.\"table\", count(m.row_key) AS hits FROM "
-    f"{_SENTENCES} q CROSS JOIN (VALUES ('corpus.documents'), ('corpus.conversations'), "
-    f"('corpus.benchmark')) l(\"table\") LEFT JOIN ({_MANY}) m "
+    f"{_SENTENCES} q CROSS JOIN (VALUES {', '.join(f'({n!r})' for n in _SEARCHED)}) "
+    f"l(\"table\") LEFT JOIN ({_MANY}) m "
     "ON m.query_id = q.query_id AND m.\"table\" = l.\"table\" GROUP BY 1, 2"
 )
 def many_phrase_totals(spark, sf):
     queries = _sentences(spark, sf)
     matches = postings.match_phrases(_texts(spark, sf), queries)
-    labels = ["corpus.documents", "corpus.conversations", "corpus.benchmark"]
-    return postings.hit_totals(matches, queries, labels)
+    return postings.hit_totals(matches, queries, _SEARCHED)

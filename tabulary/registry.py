@@ -59,6 +59,8 @@ class TableSpec:
     description: str = ""
     upstream_description: str = ""
     column_types: Mapping[str, str] = field(default_factory=dict)
+    #: If set, the table holds one row per key: the one with the smallest value of this column.
+    first_by: str = ""
     column_descriptions: Mapping[str, str] = field(default_factory=dict)
 
 

@@ -23,11 +23,16 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: AQE merges shuffle partitions but never adds any, so a cluster starts from many small ones.
+CLUSTER = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000"}
+
 
 def build_session(app: str = "tabulary", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if master and not master.startswith("local"):
+        conf = {**CLUSTER, **conf}
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -25,6 +25,10 @@ def open_table(spark: SparkSession, base: str, spec: TableSpec) -> DataFrame:
     df = spark.read.schema(schema).parquet(path)
     if spec.where:
         df = df.filter(spec.where)
+    if spec.first_by:
+        # reduced within each task before the shuffle, however many rows a key has
+        row = F.min_by(F.struct(*df.columns), F.struct(spec.first_by, *df.columns)).alias("_row")
+        df = df.groupBy(*spec.key).agg(row).select("_row.*")
     if spec.derived:
         df = df.select("*", *[F.expr(e).alias(c) for c, e in spec.derived.items()])
     return df

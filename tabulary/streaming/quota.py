@@ -26,8 +26,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SECOND = 1_000_000
 _DAY = 86_400 * _SECOND
-#: Runs of one key from this length on are worth array arithmetic.
-_LONG_RUN = 64
 
 
 @dataclass(frozen=True)
@@ -120,15 +118,15 @@ def decide_run(
     n = len(times)
     allowed, waits, left = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n)
     stops = np.array([], np.int64)
-    if quota.idle_ttl_seconds is not None and n >= _LONG_RUN:
+    if quota.idle_ttl_seconds is not None:
         stops = np.flatnonzero(np.diff(times) > quota.idle_ttl_seconds * _SECOND) + 1
     listed = times.tolist()
     i = 0
     while i < n:
         bucket, allowed[i], waits[i], left[i] = decide(bucket, listed[i], quota)
         i += 1
-        if allowed[i - 1] or n < _LONG_RUN:
-            continue
+        if i == n or allowed[i - 1] or allowed[i - 2 : i - 1].any():
+            continue  # a single rejection is not worth array arithmetic
         end = int(np.searchsorted(times, _rejected_until(bucket, quota)))
         if not bucket.locked:
             gap = int(np.searchsorted(stops, i))
@@ -148,6 +146,11 @@ def decide_run(
     return bucket, allowed, waits, left
 
 
+def _key_of(key: str) -> Column:
+    """Requests without a key are metered together."""
+    return F.coalesce(F.col(key).cast("string"), F.lit(UNKNOWN_KEY))
+
+
 def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
@@ -187,7 +190,7 @@ def replay(requests: DataFrame, key: str, ts: str, tiebreak: str, quota: Quota)
     columns = requests.columns
     order = [F.col("_key"), F.col("_at"), F.col(tiebreak)]
     parts = (
-        requests.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit(UNKNOWN_KEY)))
+        requests.withColumn("_key", _key_of(key))
         .withColumn("_at", _micros(ts))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -277,17 +280,17 @@ def daily_quota(
 ) -> DataFrame:
     """Quota without the bucket: the first ``limit`` requests per key and UTC day pass.
 
-    Only the ``limit``-th request of each full day is looked up and compared with, so a
-    busy key is never ordered as a whole.
+    Only the ``limit``-th request of each full day is looked up and compared with. Requests
+    without a key share one.
     """
-    day = F.to_date(ts)
+    day, own = F.to_date(ts), _key_of(key)
     order = [F.col(ts).asc(), F.col(tiebreak).asc()]
-    slim = requests.select(F.col(key).alias("_key"), day.alias("_day"), ts, tiebreak)
+    slim = requests.select(own.alias("_key"), day.alias("_day"), ts, tiebreak)
     reached = first_per_group(slim, ["_key", "_day"], order, limit)
     cut = reached.filter(F.col("round") == limit).select(
         "_key", "_day", F.struct(ts, tiebreak).alias("_cut")
     )
-    same = (F.col(key) == F.col("_key")) & (day == F.col("_day"))
+    same = (own == F.col("_key")) & (day == F.col("_day"))
     within = F.col("_cut").isNull() | (F.struct(ts, tiebreak) <= F.col("_cut"))
     return requests.join(cut, same, "left").select(
         *[requests[c] for c in requests.columns], within.alias("allowed")
@@ -305,8 +308,9 @@ def stream_quota(
     """Streaming form of :func:`replay`: decisions per micro-batch, one bucket per key.
 
     The trigger's batch size bounds how many requests of a key meet at a time. Requests
-    later than the watermark are dropped and counted by the state operator's metrics;
-    idle buckets time out on event time.
+    without a key share one. Idle buckets time out on event time; then requests later than
+    the watermark are dropped and counted by the state operator's metrics. Without an idle
+    time there is no time-out, and late requests are decided when they come.
     """
     fields = requests.schema.fields
 
@@ -331,8 +335,9 @@ def stream_quota(
         else GroupStateTimeout.EventTimeTimeout
     )
     timed = requests.withWatermark(ts, watermark).withColumn("_at", _micros(ts))
-    out = T.StructType([*fields, T.StructField("_at", T.LongType()), *_DECISION])
-    decided = timed.groupBy(key).applyInPandasWithState(
+    added = [T.StructField("_at", T.LongType()), T.StructField("_key", T.StringType())]
+    out = T.StructType([*fields, *added, *_DECISION])
+    decided = timed.withColumn("_key", _key_of(key)).groupBy("_key").applyInPandasWithState(
         update, out, STATE_SCHEMA, "append", timeout
     )
-    return decided.drop("_at")
+    return decided.drop("_at", "_key")

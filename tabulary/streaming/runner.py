@@ -24,15 +24,16 @@ def stream_table(
 def run_available(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Process all input there is, append to a table, and return the table.
 
-    Progress and state live in the shared folder, so a restarted query goes on where the
-    lost one stopped and appends nothing twice.
+    Progress and state belong to the table at ``path`` and lie beside it, so a later run, or
+    one after a failure, goes on where the last one stopped: each row of the input is
+    appended once over all runs. Without ``path`` the table is a new one in the shared folder.
     """
     spark = stream.sparkSession
-    out = path or work_path(spark, f"{label}-out")
+    out = (path or work_path(spark, f"{label}-out")).rstrip("/")
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", work_path(spark, f"{label}-progress"))
+        .option("checkpointLocation", f"{out}-progress")
         .trigger(availableNow=True)
         .start(out)
     )

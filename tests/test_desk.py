@@ -117,7 +117,8 @@ def test_filters_sort_and_pages(desk):
     first = desk.query_table("judgements", "judgments", sort="-decision_date", limit=2)
     assert [r["citation"] for r in first.data.collect()] == ["[2026] SGCA 3", "[2026] SGHC 2"]
     page = first.pagination()
-    assert page.truncated and page.next_position == ("2026-01-02", "j2")
+    assert page.truncated and page.next_position[0] == "2026-01-02"
+    assert "j2" not in str(page.next_position)
     second = desk.query_table(
         "judgements", "judgments", sort="-decision_date", limit=2, position=page.next_position
     )
@@ -146,6 +147,7 @@ def test_fragment_walk_in_pages(desk):
         position = answer.pagination().next_position
         if position is None:
             break
+        assert not any("j2" in str(v) for v in position)
     assert seen == [(n, f"paragraph {n} of 3") for n in range(1, 251)]
     assert not {"id", "judgment_id", "source_url"} & set(answer.data.columns)
 
@@ -240,7 +242,7 @@ def test_describe_table(desk):
     assert types["content_text"] == "TEXT" and "id" not in types and "judgment_id" not in types
     assert row["light_columns"] == ["ordinal", "paragraph_number", "class_name", "section_heading"]
     assert (row["url_keyed"], row["supports_fragments"], row["row_count"]) == (False, True, 750)
-    assert row["description"].startswith("Paragraph-level")
+    assert row["description"].startswith("Judgments cut")
 
 
 def test_both_sides_of_a_pair_support_fragments():
@@ -301,3 +303,20 @@ def test_error_codes_are_fixed():
     assert len(ERROR_CODES) == 11
     with pytest.raises(ValueError):
         QueryError("oops", "x")
+
+
+def test_totals_on_the_page(desk):
+    answer = desk.query_table(
+        "judgements", "judgments_fragments", [url_filter("https://e.sg/2")], limit=10, with_total=True
+    )
+    assert answer.pagination().total == 250
+    assert desk.query_table("judgements", "judgments").pagination().total is None
+
+
+def test_positions_of_another_request_are_refused(desk):
+    position = desk.query_table("judgements", "judgments", limit=1).pagination().next_position
+    assert desk.query_table("judgements", "judgments", limit=1, position=position).data.count() == 1
+    for wrong in (("0" * 64,), (), ("a", "b"), ("j1",)):
+        with pytest.raises(QueryError) as error:
+            desk.query_table("judgements", "judgments", position=wrong)
+        assert error.value.code == "invalid_cursor"

@@ -98,7 +98,7 @@ def test_value_is_required(rows, op):
 
 @pytest.mark.parametrize("value", ["a,b", [["a"]], [None], {"a": 1}])
 def test_membership_needs_a_flat_list(rows, value):
-    with pytest.raises(QueryError, match="flat list"):
+    with pytest.raises(QueryError, match="list of strings"):
         apply_filters(rows, [Clause("title", "in", value)])
 
 
@@ -111,6 +111,50 @@ def test_unknown_operator_and_fields_are_rejected():
         Clause.of({"column": "title"})
 
 
+@pytest.mark.parametrize("extra", [0, 2000])
+@pytest.mark.parametrize(
+    ("dtype", "values", "member", "found"),
+    [
+        ("float", [0.1, 0.5, None], "0.1", []),
+        ("float", [0.1, 0.5, None], "0.5", [1]),
+        ("int", [3, -7, None], "3000000000", []),
+        ("int", [3, -7, None], "3.0", [0]),
+        ("tinyint", [3, -7, None], 300, []),
+        ("bigint", [3, 1 << 62, None], str(1 << 70), []),
+        ("bigint", [3, 1 << 62, None], str(1 << 62), [1]),
+        ("decimal(10,2)", ["0.10", "2.50", None], "2.5", [1]),
+        ("decimal(10,2)", ["0.10", "2.50", None], "2.501", []),
+        ("string", ["a", "B", None], "B", [1]),
+        ("timestamp_ntz", ["2024-01-01 10:00:00", "2024-01-02 00:00:00", None], "2024-01-02", [1]),
+        ("date", ["2024-01-01", "2024-01-02", None], "2024-01-02", [1]),
+        ("boolean", ["true", "false", None], "0", [1]),
+    ],
+)
+def test_membership_is_alike_for_every_list_length(spark, dtype, values, member, found, extra):
+    filler = [f"0.{i}77" if dtype == "float" else "zz" if dtype == "string" else f"{i + 9}.5" for i in range(extra)]
+    text = [(i, None if v is None else str(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(text, "n int, t string").select("n", F.col("t").cast(dtype).alias("x"))
+    assert ids(df, Clause("x", "in", [member, *filler])) == found
+    rest = [i for i, v in enumerate(values) if v is not None and i not in found]
+    assert ids(df, Clause("x", "notin", [member, *filler])) == rest
+
+
+def test_declared_types_decide_how_values_compare(spark):
+    df = spark.createDataFrame([(1, "9", 3), (2, "10", 20), (3, "x", None)], "n int, t string, v int")
+    declared = {"t": "INTEGER", "v": "TEXT"}
+
+    def found(*clause):
+        return sorted(r["n"] for r in apply_filters(df, [Clause(*clause)], declared).collect())
+
+    assert found("t", "gt", "9") == [2]
+    assert found("t", "in", ["9.0", 10]) == [1, 2]
+    assert found("t", "in", [str(i) for i in range(3000)]) == [1, 2]
+    assert found("v", "gt", "3") == []
+    assert found("v", "lt", "3") == [2]
+    with pytest.raises(QueryError):
+        found("t", "gt", "nine")
+
+
 def test_long_lists_join(rows):
     wanted = [str(i) for i in range(filters.IN_LIST_LIMIT + 500)]
     assert ids(rows, Clause("penalty", "in", wanted)) == [1, 2, 5, 6]

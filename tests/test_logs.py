@@ -145,6 +145,20 @@ def test_log_lines_keep_the_locked_fields_only(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [("search", "search", 1)]
 
 
+def test_a_later_run_appends_what_is_new(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "table")
+
+    def run():
+        stream = runner.stream_table(spark, folder, "*.parquet")
+        return sorted(r["id"] for r in runner.run_available(stream, "again", out).collect())
+
+    spark.range(25).write.parquet(folder)
+    assert run() == list(range(25))
+    spark.range(25, 65).write.mode("append").parquet(folder)
+    assert run() == list(range(65))
+    assert run() == list(range(65))
+
+
 def test_retention_prunes_days(spark, tmp_path):
     df = spark.range(40).select("id", F.expr("timestamp'2026-01-01' + make_interval(0,0,0,id)").alias("ts"))
     assert request_log.retained(df).count() == 31

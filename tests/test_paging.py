@@ -58,15 +58,15 @@ def test_a_late_page_is_the_same_page(rows, sort):
     assert none.count() == 0
 
 
-def test_a_late_page_reads_text_within_the_span_of_its_keys(spark, sf):
+def test_a_late_page_reads_text_of_its_keys_only(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     keys = paging.sort_keys("-n_chars", ["doc_id"])
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     late = paging.late_page(documents.select("doc_id", "n_chars", "text"), keys, ["doc_id"], 5)
     plan = late._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(doc_id,ScalarSubquery" in plan
-    assert "LessThanOrEqual(doc_id,ScalarSubquery" in plan
-    assert "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in plan
+    assert "In(doc_id," in plan
+    assert plan.count("FileScan") == 1
+
 
 
 def test_every_row_gets_the_page_a_walk_would_show_it_on(rows):

@@ -180,6 +180,22 @@ def test_stream_in_many_batches_equals_replay(spark, tmp_path):
     assert decided(table) == by_hand(rows, limits)
 
 
+def test_requests_without_a_key_share_one_quota(spark, tmp_path):
+    start = datetime(2026, 1, 1, 6)
+    rows = [(i, None if i % 3 else "a", start + timedelta(seconds=i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, key string, ts timestamp")
+    for limit in (2, 1500):
+        got = {r["id"]: r["allowed"] for r in quota.daily_quota(df, "key", "ts", "id", limit).collect()}
+        own = [i for i in range(12) if i % 3]
+        assert got == {i: (i in own[:limit]) or (i % 3 == 0 and i // 3 < limit) for i in range(12)}
+    limits = Quota(100, 1.0, 2, None)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = runner.stream_table(spark, str(tmp_path / "in"), "*.parquet")
+    table = runner.run_available(quota.stream_quota(stream, "key", "ts", "id", limits), "test-null")
+    assert table.columns == ["id", "key", "ts", "allowed", "retry_after", "tokens_left"]
+    assert decided(table) == decided(quota.replay(df, "key", "ts", "id", limits))
+
+
 def test_stream_forgets_idle_keys(spark, tmp_path):
     limits = Quota(2, 1 / 86400, 10, 600.0)
     start = datetime(2026, 1, 1, 6)

@@ -178,8 +178,8 @@ def test_first_per_group_beyond_the_planned_limit(spark):
         assert sorted(r["id"] for r in got) == list(range(9000 - 2 * n, 9000))
 
 
-@pytest.mark.parametrize("in_place_limit", [0, 100])
-def test_many_phrases_against_brute_force(spark, in_place_limit):
+@pytest.mark.parametrize("broadcast", [None, False])
+def test_many_phrases_against_brute_force(spark, broadcast):
     rng = random.Random(11)
     words = ["of", "the", "a", "Été", "data", "law", "x1"]
     lines = [", ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(120)]
@@ -190,7 +190,7 @@ def test_many_phrases_against_brute_force(spark, in_place_limit):
     rows = postings.texts(table, "db.t", ["id"], ["text"])
     got = {
         (r["query_id"], int(r["row_key"]))
-        for r in postings.match_phrases(rows, queries, in_place_limit).collect()
+        for r in postings.match_phrases(rows, queries, broadcast).collect()
     }
     spaced = [f" {' '.join(phrase_tokens(line))} " for line in lines]
     expected = {
@@ -201,3 +201,13 @@ def test_many_phrases_against_brute_force(spark, in_place_limit):
         if f" {' '.join(phrase_tokens(phrase))} " in line
     }
     assert got == expected
+
+
+def test_row_keys_of_several_columns_stay_apart(spark):
+    df = spark.createDataFrame(
+        [("a/b", "c"), ("a", "b/c"), ("a%2Fb", "c"), (None, "a"), ("a", None)], "k string, l string"
+    ).withColumn("text", F.lit("one phrase"))
+    rows = postings.texts(df, "t", ["k", "l"], ["text"])
+    assert rows.select("row_key").distinct().count() == 5
+    queries = spark.createDataFrame([(1, "one phrase")], "query_id int, phrase string")
+    assert postings.match_phrases(rows, queries).count() == 5
