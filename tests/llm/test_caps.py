@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabulary.llm import caps
@@ -58,9 +59,21 @@ def test_list_decoding_finds_every_filter_above_the_height():
         assert found.tolist() == np.flatnonzero(total.reshape(-1) >= 2.0).tolist()
 
 
-@pytest.mark.parametrize("chunk", [1024, 4])
-def test_links_and_components_against_brute_force(spark, monkeypatch, chunk):
+def test_rounded_vectors_bound_the_cosine_from_above():
+    chance = np.random.default_rng(3)
+    units = caps._units(list(chance.standard_normal((60, 64)) * chance.uniform(0.01, 9, 64)))
+    own = caps._Bytes(pa.chunked_array([pa.array([caps._rounded(u) for u in units], pa.binary())]))
+    for i, j in ((i, j) for i in range(60) for j in range(i)):
+        true = float(units[i] @ units[j])
+        assert own.pairs(np.array([i]), np.array([j]), true)[0]
+        assert own.table(np.array([i]), np.array([j]), true)[0, 0]
+        assert not own.pairs(np.array([i]), np.array([j]), true + 0.08)[0]
+
+
+@pytest.mark.parametrize(("chunk", "pairs"), [(1024, 1 << 18), (4, 1 << 18), (1024, 1)])
+def test_links_and_components_against_brute_force(spark, monkeypatch, chunk, pairs):
     monkeypatch.setattr(caps, "CHUNK", chunk)
+    monkeypatch.setattr(caps, "PAIRS", pairs)
     rows = _clustered(5)
     links, labels = _brute(rows)
     got = {r.vec_id: r for r in caps.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
