@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabulary.llm.words import grouped
+from tabulary.llm.words import grouped, kept_in_worker
 from tabulary.session import ensure_checkpoint_dir
 
 WINDOW = 1024
@@ -195,7 +195,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = kept_in_worker(("encoder", path), lambda: Encoder(path))
         task = TaskContext.get().partitionId()
         met = np.zeros(window + 1, np.int64)
         for batch in batches:

@@ -10,7 +10,7 @@ Spaces become the word mark, and one is put before the text, as the model was tr
 mark that stands in the text itself is encoded as bytes, so that it is not taken for a space. No
 piece crosses from a word into the mark of the next one (checked when the model is loaded), so
 the best way through a text is the best way through each marked word; ways through words met
-before are kept, at most ``CACHE`` of them.
+before are kept, at most ``CACHE`` of them or those of one text.
 
 A piece's score is the logarithm of its probability. A unigram model has its own; the scores of a
 BPE model are merge ranks, and probabilities follow Zipf's law in these.
@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulary.llm.words import kept_in_worker
+
 MARK = "\N{LOWER ONE EIGHTH BLOCK}"
-CACHE = 1 << 18
+CACHE = 1 << 19
 #: A byte piece is so much less likely than the least likely ordinary piece.
 BYTE_PENALTY = 10.0
 
@@ -57,7 +59,8 @@ class Pieces:
         self.spaced = {n: r.replace(MARK.encode(), b" ") for n, r in self.raw.items()}
         for number in self.byte_ids:
             self.spaced[number] = self.raw[number]
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, bytes] = {}
+        self._mark = np.array([self.byte_ids[b] for b in MARK.encode()], np.int32).tobytes()
 
     def _bytes_of(self, character: str) -> list[int]:
         """Byte pieces of a character of a unit; the mark there is a space."""
@@ -99,24 +102,29 @@ class Pieces:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; a null or empty text has none."""
+        return self.encoded(text).tolist()
+
+    def encoded(self, text: str | None) -> np.ndarray:
+        """The same as an array."""
         if not text:
-            return []
-        out: list[int] = []
+            return np.empty(0, np.int32)
+        out: list[bytes] = []
         known = self._known
         for k, plain in enumerate(text.split(MARK)):
             if k:
-                out += [self.byte_ids[b] for b in MARK.encode()]
+                out.append(self._mark)
             marked = plain.replace(" ", MARK)
-            for unit in self.units.findall(marked if k else MARK + marked):
-                ids = known.get(unit)
-                if ids is None:
-                    ids = self.best(unit)
-                    if len(known) >= CACHE:
-                        known.clear()
-                    if len(unit) <= 64:
-                        known[unit] = ids
-                out += ids
-        return out
+            units = self.units.findall(marked if k else MARK + marked)
+            fresh = [u for u in set(units) if u not in known]
+            if len(known) + len(fresh) > CACHE:
+                known.clear()
+                fresh = set(units)
+            for unit in fresh:
+                known[unit] = np.array(self.best(unit), np.int32).tobytes()
+            out += map(known.__getitem__, units)
+        if len(known) > CACHE:
+            known.clear()
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of a sequence of ids; unknown and control ids stand for nothing."""
@@ -157,11 +165,11 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", out: str = "id
         raise ValueError(f"the table already has a column {out}")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(path)
+        pieces = kept_in_worker(("pieces", path), lambda: load(path))
         for batch in batches:
             texts = batch.column(len(kept)).to_pylist()
             for a in range(0, len(texts), 512):
-                ids = [np.array(pieces.encode(t), np.int32) for t in texts[a : a + 512]]
+                ids = [pieces.encoded(t) for t in texts[a : a + 512]]
                 others = [c.slice(a, 512) for c in batch.columns[: len(kept)]]
                 yield pa.RecordBatch.from_arrays(
                     [*others, pa.array(ids, pa.list_(pa.int32()))], names=[*kept, out]
@@ -178,7 +186,7 @@ def decode_column(encoded: DataFrame, path: str, ids: str = "ids", out: str = "t
     at = encoded.columns.index(ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(path)
+        pieces = kept_in_worker(("pieces", path), lambda: load(path))
         for batch in batches:
             column = batch.column(at)
             texts = []

@@ -6,12 +6,12 @@ Only built-in SQL functions run on the data. Four kinds of spans are found:
     matches of the patterns below, leftmost and without overlaps within a kind; a match whose
     counted part is too short is dropped after matching.
 ``random``
-    tokens of ``TOKEN`` that hold a letter and a digit, overlap no span above, and are at least
-    ``ODDS`` (natural logarithm) likelier under a first-order Markov chain of random strings than
-    under one of ordinary identifiers.
+    tokens of ``TOKEN`` that hold a letter, a digit and ``VARIED`` different characters, overlap no
+    span above, and are at least ``ODDS`` (natural logarithm) likelier under a first-order Markov
+    chain of some kind of random strings than under one of ordinary identifiers.
 
-Spans are in code points, the end exclusive. Both chains are trained from labelled samples; what
-comes to the driver are at most 2 * 128 * 128 counts of character pairs.
+Spans are in code points, the end exclusive. The chains are trained from labelled samples; what
+comes to the driver are at most 128 * 128 counts of character pairs for each label.
 """
 
 from __future__ import annotations
@@ -41,6 +41,10 @@ TOKEN = rf"(?<![{_CLASS}])[{_CLASS}]{{{TOKEN_LEAST},}}+"
 WORD = rf"(?<![{_CLASS}])[{_CLASS}]{{6,}}+"
 #: One random token among about a million ordinary ones.
 ODDS = math.log(1e6)
+#: Different characters that a random string has at least.
+VARIED = 8
+#: Weight of a character's overall frequency against its counts after another character.
+SMOOTHING = 4.0
 #: Documents whose words are samples of ordinary identifiers, and so many random strings a kind.
 SAMPLE = 500
 REDACTED = "[redacted]"
@@ -50,12 +54,16 @@ _PIECE = 256
 
 @dataclass(frozen=True)
 class Chains:
-    """ratios[128 * a + b]: log-likelihood ratio of the character b after a, random to ordinary."""
+    """ratios[128 * a + b]: log-likelihood ratio of the character b after a, random to ordinary.
 
-    ratios: tuple[float, ...]
+    There is one row of ratios for each kind of random strings.
+    """
+
+    ratios: tuple[tuple[float, ...], ...]
 
-    def column(self) -> Column:
-        return F.split(F.lit(",".join(f"{r:.4f}" for r in self.ratios)), ",").cast("array<double>")
+    def columns(self) -> list[Column]:
+        texts = (",".join(f"{r:.4f}" for r in row) for row in self.ratios)
+        return [F.split(F.lit(t), ",").cast("array<double>") for t in texts]
 
 
 def _pairs(token: Column) -> Column:
@@ -71,40 +79,52 @@ def _pairs(token: Column) -> Column:
     )
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> Chains:
-    """Chains from ``samples``: a token column ``token``, and ``random``, whether it is a random string.
+def train(samples: DataFrame) -> Chains:
+    """Chains from ``samples``: a token in ``token``, and its kind in ``label``.
 
-    Null tokens, null labels and characters other than letters, digits and ``+/_=-`` are ignored.
+    The label is ``ordinary``, or else names a kind of random strings: each has a chain of its
+    own, since a mixture of alphabets would suit none of them. Null tokens, null labels and
+    characters other than letters, digits and ``+/_=-`` are ignored. Counts are smoothed towards
+    how often a character occurs at all.
     """
     counts = (
-        samples.filter("token is not null and random is not null")
-        .select("random", F.explode(_pairs(F.col("token"))).alias("pair"))
+        samples.filter("token is not null and label is not null")
+        .select("label", F.explode(_pairs(F.col("token"))).alias("pair"))
         .filter((F.col("pair") >= 0) & (F.col("pair") < 128 * 128))
-        .groupBy("random", "pair").count().collect()
+        .groupBy("label", "pair").count().collect()
     )
     alphabet = [c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-"]
-    chains = []
-    for label in (True, False):
-        table = {r.pair: r["count"] for r in counts if r.random == label}
-        rows = {a: sum(table.get(128 * a + b, 0) for b in alphabet) for a in alphabet}
-        chains.append(
-            {
-                128 * a + b: math.log(
-                    (table.get(128 * a + b, 0) + smoothing) / (rows[a] + smoothing * len(alphabet))
-                )
-                for a in alphabet
-                for b in alphabet
-            }
+
+    def chain(label: str) -> dict[int, float]:
+        table = {r.pair: r["count"] for r in counts if r.label == label}
+        after = {b: sum(table.get(128 * a + b, 0) for a in alphabet) for b in alphabet}
+        whole = sum(after.values())
+        share = {b: (after[b] + 0.5) / (whole + 0.5 * len(alphabet)) for b in alphabet}
+        out = {}
+        for a in alphabet:
+            row = sum(table.get(128 * a + b, 0) for b in alphabet)
+            for b in alphabet:
+                n = table.get(128 * a + b, 0)
+                out[128 * a + b] = math.log((n + SMOOTHING * share[b]) / (row + SMOOTHING))
+        return out
+
+    ordinary = chain("ordinary")
+    kinds = sorted({r.label for r in counts} - {"ordinary"})
+    found = [chain(k) for k in kinds]
+    return Chains(
+        tuple(
+            tuple(one[p] - ordinary[p] if p in one else 0.0 for p in range(128 * 128))
+            for one in found
         )
-    one, two = chains
-    return Chains(tuple(one[p] - two[p] if p in one else 0.0 for p in range(128 * 128)))
+    )
 
 
 def labelled_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Samples (token, random): words of ``sample`` documents without base matches, and digests.
+    """Samples (token, label): words of ``sample`` documents without base matches, and digests.
 
-    The random strings are digests of the same documents' ids in hexadecimal, base 64 and upper
-    case letters with digits. Documents with a null id are not sampled.
+    The random strings are digests of the same documents' ids in hexadecimal (``hex``), base 64
+    (``wide``) and upper case letters with digits (``upper``). Documents with a null id are not
+    sampled.
     """
     ids = (
         docs.filter("doc_id is not null").select("doc_id").distinct()
@@ -116,15 +136,15 @@ def labelled_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     # at most `sample` ids
     words = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(
         F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("token"),
-        F.lit(False).alias("random"),
+        F.lit("ordinary").alias("label"),
     )
     digest = F.sha2(F.col("doc_id").cast("string"), 256)
     wide = F.regexp_replace(F.base64(F.unhex(digest)), r"\s", "")
-    made = ids.select(
-        F.explode(F.array(digest, wide, F.regexp_replace(F.upper(wide), r"[^A-Z0-9]", ""))).alias("token"),
-        F.lit(True).alias("random"),
-    )
-    return words.union(made)
+    upper = F.regexp_replace(F.upper(wide), r"[^A-Z0-9]", "")
+    made = ids.select(F.explode(F.create_map(
+        F.lit("hex"), digest, F.lit("wide"), wide, F.lit("upper"), upper
+    )).alias("label", "token"))
+    return words.union(made.select("token", "label"))
 
 
 def _running_total(lengths: Column) -> Column:
@@ -187,9 +207,18 @@ def _long_assignment(value: Column) -> Column:
     return F.length(F.regexp_extract(value, ASSIGN, 2)) >= ASSIGN_LEAST
 
 
-def _looks_random(token: Column, ratios: Column) -> Column:
-    score = F.aggregate(_pairs(token), F.lit(0.0), lambda s, p: s + F.element_at(ratios, p + 1))
-    return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (score >= ODDS)
+def _adding(ratios: Column):
+    return lambda total, pair: total + F.element_at(ratios, pair + 1)
+
+
+def _looks_random(token: Column, ratios: list[Column]) -> Column:
+    mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+    varied = F.size(F.array_distinct(F.split(token, ""))) >= VARIED
+    scores = [
+        F.aggregate(_pairs(token), F.lit(0.0), _adding(ratio)) for ratio in ratios
+    ]
+    best = F.greatest(F.lit(-math.inf), *scores) if scores else F.lit(-math.inf)
+    return F.when(mixed & varied, best >= ODDS).otherwise(False)
 
 
 def scan(docs: DataFrame, chains: Chains, text: str = "text", out: str = "secrets") -> DataFrame:
@@ -205,7 +234,7 @@ def scan(docs: DataFrame, chains: Chains, text: str = "text", out: str = "secret
     df = _find(df, "access", "_text", ACCESS, lambda s: F.length(s["value"]) >= ACCESS_LEAST)
     df = _find(df, "hex", "_text", HEX, lambda s: F.lit(True))
     df = df.withColumn("_base", F.concat("_assign", "_access", "_hex"))
-    ratios = chains.column()
+    ratios = chains.columns()
     df = _find(
         df, "random", "_text", TOKEN,
         lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
@@ -229,12 +258,16 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def _replacing(test):
+    return lambda hit: F.when(test(hit), F.lit(REDACTED)).otherwise(hit)
+
+
 def redact(docs: DataFrame, chains: Chains, text: str = "text") -> DataFrame:
     """``docs`` whose texts have every secret replaced by ``REDACTED``; other texts are unchanged.
 
     Kinds are replaced one after another, so a span that an earlier kind took is gone.
     """
-    ratios = chains.column()
+    ratios = chains.columns()
     tests = (
         (ASSIGN, _long_assignment),
         (ACCESS, lambda v: F.length(v) >= ACCESS_LEAST),
@@ -245,7 +278,7 @@ def redact(docs: DataFrame, chains: Chains, text: str = "text") -> DataFrame:
     df, columns = docs, docs.columns
     for (pattern, test), guard in zip(tests, guards, strict=True):
         df = df.withColumn("_hits", F.when(guard, _hits(F.col(text), pattern)))
-        replaced = F.transform("_hits", lambda h, t=test: F.when(t(h), F.lit(REDACTED)).otherwise(h))
+        replaced = F.transform("_hits", _replacing(test))
         changed = F.array_join(
             F.zip_with(F.split(F.col(text), pattern, -1), replaced,
                        lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit("")))),

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulary.llm.words import kept_in_worker
+
 CACHE = 1 << 19
 _NONE = -1
 _MARK = "\N{LOWER ONE EIGHTH BLOCK}"
@@ -128,7 +130,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         raise ValueError(f"the table already has columns {sorted(clash)}")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = load(path)
+        automaton = kept_in_worker(("wordpiece", path), lambda: load(path))
         for batch in batches:
             found = [automaton.counts(t) for t in batch.column(len(kept)).to_pylist()]
             columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]

@@ -7,7 +7,10 @@ from prefix sums, so that no word is ever built as an object. All arithmetic is
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 
@@ -122,6 +125,19 @@ def _ranks(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def kept_in_worker(key: tuple, build: Callable[[], Any]) -> Any:
+    """What ``build`` returns, built once in a worker process rather than once a task.
+
+    Functions travel by value and so bring no module state along; this is the one place where
+    a worker keeps something (a loaded vocabulary with its bounded cache) between tasks.
+    """
+    home = sys.modules.setdefault("_tabulary_kept", ModuleType("_tabulary_kept"))
+    kept = home.__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
 def grouped(rows: Sequence, size_of) -> Iterator[Sequence]:
     """Consecutive slices whose sizes add up to about GROUP_CHARS at most (or one row)."""
     start = total = 0

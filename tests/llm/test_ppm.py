@@ -72,7 +72,7 @@ def test_few_contexts_still_give_a_model():
 def test_prediction_uses_text_only_and_handles_odd_rows(spark):
     rows = [(i, t, lang, "s") for i in range(40) for lang, t in TEXTS.items()]
     rows += [(500, None, "en", None), (501, "", "en", None), (502, "12 $$ --", "fr", None), (None, TEXTS["de"], None, None)]
-    rows += [(503, TEXTS["en"] * 3000, "fr", None), (504, TEXTS["de"], None, None), (504, TEXTS["de"], None, None)]
+    rows += [(503, TEXTS["en"] * 3000, None, None), (504, TEXTS["de"], None, None), (504, TEXTS["de"], None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     model = ppm.train(docs)
     assert model.languages == ("de", "en", "fr")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabulary.llm import queries, secrets
 
 ASSIGN = re.compile(
-    r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII
 )
 
 
@@ -42,7 +42,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def chains(spark):
-    words = "people government information international responsibility understanding configuration"
+    words = "people government information international responsibility understanding configuration quickbrownfox jumpsoverthelazydog"
     docs = spark.createDataFrame(
         [(i, f"{words} value_of_things http_request_handler {i} thing{i}") for i in range(60)],
         "doc_id long, text string",
@@ -67,10 +67,11 @@ def test_base_spans_equal_plain_matching(spark, chains):
 def test_random_strings_are_found_and_words_are_not(spark, chains):
     noise = [_random(seed, 24) + "7a" for seed in range(100, 140)]
     plain = ["thequickbrownfoxjumps1overthelazydog", "value_of_things_of_http_request_handler_2",
-             "internationalresponsibility2024", "00000000000000000000000000a", "x" * 40 + "1", "/usr/share/information/people2"]
+             "internationalresponsibility2024", "0z0z0z0z0z0z0z0z0z0z0z0z0za", "x" * 40 + "1", "/usr/share/information/people2"]
     got = _scan(spark, chains, noise + plain)
     assert sum(any(s.kind == "random" for s in got[i]) for i in range(len(noise))) >= 38
-    assert not any(got[i] for i in range(len(noise), len(noise) + len(plain)))
+    found = [plain[i - len(noise)] for i in range(len(noise), len(noise) + len(plain)) if got[i]]
+    assert found == []
 
 
 def test_method_spans_do_not_touch_base_spans(spark, chains):
