@@ -291,7 +291,7 @@ _RULES = {
         lambda d, v: d.query_table("sales", "orders", columns=[v]), "'unknown_column'",
     ),
     "sort": (
-        "sales.part", "p_brand",
+        "sales.orders", "o_orderstatus",
         lambda d, v: d.query_table("sales", "lineitem", sort=v), "'unknown_column'",
     ),
     "operator": (
@@ -310,14 +310,14 @@ _RULES = {
         "'invalid_filter_op'",
     ),
     "limit": (
-        "sales.part", "p_size",
-        lambda d, v: d.search("steel", limit=3 * v),
-        "CASE WHEN 3 * p_size <= 100 THEN 'ok' ELSE 'invalid_query' END",
+        "sales.lineitem", "l_linenumber",
+        lambda d, v: d.search("steel", limit=20 * v),
+        "CASE WHEN 20 * l_linenumber <= 100 THEN 'ok' ELSE 'invalid_query' END",
     ),
     "page": (
-        "sales.part", "p_size",
-        lambda d, v: d.query_table("sales", "orders", limit=5 * v),
-        "CASE WHEN 5 * p_size <= 200 THEN 'ok' ELSE 'invalid_filter_op' END",
+        "sales.lineitem", "l_linenumber",
+        lambda d, v: d.query_table("sales", "orders", limit=40 * v),
+        "CASE WHEN 40 * l_linenumber <= 200 THEN 'ok' ELSE 'invalid_filter_op' END",
     ),
     "search": ("corpus.documents", "lang", lambda d, v: d.search("x", databases=[v]), "'unknown_database'"),
     "phrase": (

@@ -218,10 +218,10 @@ def _texts(spark, sf):
 
 
 _SENTENCES = (
-    "(SELECT item_id * 10000 + at - 1 AS query_id, trim(regexp_replace(lower(sentence), "
+    "(SELECT item_id * 10000 + pos - 1 AS query_id, trim(regexp_replace(lower(sentence), "
     "'[^\\p{L}\\p{N}]+', ' ', 'g')) AS phrase FROM (SELECT item_id, "
     "unnest(regexp_extract_all(text, '[^.!?]+')) AS sentence, "
-    "generate_subscripts(regexp_extract_all(text, '[^.!?]+'), 1) AS at FROM benchmark))"
+    "generate_subscripts(regexp_extract_all(text, '[^.!?]+'), 1) AS pos FROM benchmark))"
 )
 _CORPUS_TEXT = (
     "(SELECT 'corpus.documents' AS \"table\", CAST(doc_id AS VARCHAR) AS row_key, text "
