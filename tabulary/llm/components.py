@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 from tabulary.session import ensure_checkpoint_dir
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Links of one partition, or so: a small graph is not worth many tasks and files.
+LINKS_PER_PART = 250_000
+
+
+def _star(links: DataFrame, large: bool, parts: int) -> DataFrame:
     """One step over links (u, v) with u > v; the result has the same form."""
     if large:
         near = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = links
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    least = least.checkpoint()
+    least = least.coalesce(parts).checkpoint()
     moved = near.join(least, "u").select("u", "v", "m")
     if large:
         moved = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -29,7 +33,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))
         )
-    return moved.filter("u <> v").distinct().checkpoint()
+    return moved.filter("u <> v").distinct().coalesce(parts).checkpoint()
 
 
 def _state(links: DataFrame) -> tuple:
@@ -52,8 +56,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         .checkpoint()
     )
     before, now = None, _state(links)
+    parts = 1 + now[0] // LINKS_PER_PART
+    links = links.coalesce(parts)
     while before != now and now[0]:
-        links = _star(_star(links, large=True), large=False)
+        links = _star(_star(links, True, parts), False, parts)
         before, now = now, _state(links)
     roots = links.select(F.col("v").alias("node")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

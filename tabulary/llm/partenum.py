@@ -596,8 +596,8 @@ def jaccard_components(
     text has the empty set and links with nothing. ``component_id`` is the smallest doc_id that
     can be reached by links, itself included; ids that are null count only where there is no
     other. ``group`` names the component, also where ids repeat; it is null for empty sets.
-    ``text_hash`` is xxhash64 of the text. Repeated rows each give a row. Other columns of ``docs`` are ignored; an empty table
-    gives no rows.
+    ``text_hash`` is xxhash64 of the text. Repeated rows each give a row. Other columns of ``docs`` are
+    ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
