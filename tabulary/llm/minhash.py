@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tabulary.llm.words import grouped, mix, shingle_hashes
 
+#: Bins of a fingerprint, a power of two; bits kept of each bin; words of a shingle.
 BINS = 512
 BITS = 4
 WIDTH = 5

@@ -30,6 +30,7 @@ from tokenizers import Tokenizer
 from tabulary.llm.words import grouped, kept_in_worker
 from tabulary.session import ensure_checkpoint_dir
 
+#: Tokens of a sequence; the token that ends a document; steps of the least-squares solution.
 WINDOW = 1024
 END_ID = 0
 STEPS = 200

@@ -38,6 +38,7 @@ from tabulary.llm.components import connected_components
 from tabulary.llm.words import grouped, mix, shingle_hashes
 from tabulary.session import ensure_checkpoint_dir
 
+#: Words of a shingle; least similarity in percent.
 WIDTH = 5
 PERCENT = 75
 #: Bits of a sketch for each element of its set, at least.

@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 from tabulary.llm.words import grouped
 
+#: Bytes of the longest context; documents of a language read in training; contexts kept.
 ORDER = 3
 SAMPLE = 400
 NODES = 12_000
 #: Different byte sequences of a language that training hands to the driver at most.
 GRAMS = 60_000
+#: Languages learned at most.
 LANGUAGES = 256
 #: Bytes of code lengths at most; with many languages fewer contexts are kept.
 MODEL_BYTES = 1 << 26
