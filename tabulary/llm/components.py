@@ -1,6 +1,7 @@
 """Connected components of a graph held as a DataFrame of links.
 
-Large-star and small-star steps alternate until nothing changes; every step is a grouped minimum
+Links are first contracted within each partition. Then, if there are several partitions,
+large-star and small-star steps alternate until nothing changes; every step is a grouped minimum
 and a join, stored by ``checkpoint()``, so a lost executor costs one step. Nothing but two
 numbers per round comes to the driver. A minimum is stored before it is joined, so that the join
 has a plain shuffle on either side and a node with very many links can be split.
@@ -8,6 +9,9 @@ has a plain shuffle on either side and a node with very many links can be split.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,34 @@ def _star(links: DataFrame, large: bool, parts: int) -> DataFrame:
     return moved.filter("u <> v").distinct().coalesce(parts).checkpoint()
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """The links of each partition as links of its nodes with the smallest one they reach there.
+
+    This leaves what the partitions connect as it is and shortens all paths within them; a graph
+    of one partition is solved by it.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (above := root.setdefault(x, x)) != x:
+                root[x] = x = root.setdefault(above, above)
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(u), find(v)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        nodes = [x for x in root if find(x) != x]
+        yield pa.RecordBatch.from_pydict(
+            {"u": pa.array(nodes, pa.int64()), "v": pa.array([find(x) for x in nodes], pa.int64())}
+        )
+
+    return links.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def _state(links: DataFrame) -> tuple:
     row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -51,14 +83,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(links.sparkSession)
     links = (
         links.filter("u is not null and v is not null and u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        .select(
+            F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")
+        )
         .distinct()
         .checkpoint()
     )
     before, now = None, _state(links)
     parts = 1 + now[0] // LINKS_PER_PART
-    links = links.coalesce(parts)
-    while before != now and now[0]:
+    links = _contracted(links.coalesce(parts)).coalesce(parts).checkpoint()
+    while parts > 1 and before != now:
         links = _star(_star(links, True, parts), False, parts)
         before, now = now, _state(links)
     roots = links.select(F.col("v").alias("node")).distinct()

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tabulary.llm import partenum
+from tabulary.llm import components, partenum
 from tabulary.llm.components import connected_components
 from tests.llm.brute import jaccard_rows
 
@@ -121,7 +121,9 @@ def test_empty_table(spark):
     assert partenum.jaccard_components(spark.createDataFrame([], SCHEMA), parts=2).count() == 0
 
 
-def test_components_of_paths_stars_and_nothing(spark):
+@pytest.mark.parametrize("size", [250_000, 9])
+def test_components_of_paths_stars_and_nothing(spark, monkeypatch, size):
+    monkeypatch.setattr(components, "LINKS_PER_PART", size)
     path = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 140)] + [(i, 100) for i in range(101, 110)]
     odd = [(200, 200), (None, 3), (301, 300), (300, 301), (-7, 301)]
