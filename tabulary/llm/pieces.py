@@ -86,7 +86,8 @@ class Pieces:
                         score[done], came[done] = other, (1, -1)
 
         for last, (number, length, own) in self.automaton.iter(unit):
-            settle(last)
+            if done < last:
+                settle(last)
             end = last + 1
             total = score[end - length] + own
             if total > score[end]:
@@ -126,9 +127,12 @@ class Pieces:
             known.clear()
         return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of a sequence of ids; unknown and control ids stand for nothing."""
-        raw = b"".join([self.spaced.get(i, b"") for i in ids])
+        try:
+            raw = b"".join(map(self.spaced.__getitem__, ids))
+        except KeyError:
+            raw = b"".join([self.spaced.get(i, b"") for i in ids])
         return raw.removeprefix(b" ").decode("utf-8", "surrogatepass")
 
 
@@ -192,7 +196,7 @@ def decode_column(encoded: DataFrame, path: str, ids: str = "ids", out: str = "t
             texts = []
             for k in range(len(column)):
                 one = column[k]
-                texts.append(pieces.decode(one.values.to_pylist()) if one.is_valid else "")
+                texts.append(pieces.decode(one.values.to_numpy(zero_copy_only=False).tolist()) if one.is_valid else "")
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out]
             )
