@@ -5,7 +5,10 @@ that followed. A byte seen in the longest known context costs -log2(n / (T + q))
 bytes seen, q of them different); any other byte costs the escape, -log2(q / (T + q)), and is then
 looked up in the next shorter context, down to a uniform choice. Statistics are frozen after
 training, so these code lengths are exact sums and need no state: the language with the shortest
-code wins.
+code wins. However badly a text fits, one language stands out when it is long enough; whether it
+fits at all is told by the code lengths themselves. Each word is read in the language that fits it
+best, against that language's limit: ``FIT`` times the bits per byte of its own documents that
+training has not seen. So texts in two learned languages fit, and those in others do not.
 
 The trees share their nodes, and all code lengths are tabulated per node and byte, so texts are
 scored by array lookups. Texts are read in lower case, with runs of ASCII bytes that are not
@@ -15,6 +18,7 @@ a hash of their id; the trees keep at most ``NODES`` contexts, the most frequent
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -35,7 +39,15 @@ GRAMS = 60_000
 LANGUAGES = 256
 #: Bytes of code lengths at most; with many languages fewer contexts are kept.
 MODEL_BYTES = 1 << 26
-
+#: A text may cost so many times the bits per byte that are usual in its language.
+FIT = 2.0
+#: What counts as usual at least and at most: fewer bits come from repeated texts alone, and twice
+#: as many as the last are nearly the 8 bits of a uniform choice.
+USUAL = (1.5, 3.5)
+#: Words with digits (keys, numbers) are left out of a text that does not fit, if so much remains.
+WORDS_LEFT = 0.25
+
+_WITH_DIGITS = re.compile(r"\S*\d\S*")
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[97:123] = np.arange(97, 123)
 _PLAIN[128:] = np.arange(128, 256)
@@ -81,9 +93,8 @@ class Model:
     child: np.ndarray  # (node, symbol before the context) -> longer context or dead
     bits: np.ndarray  # (language, node, symbol) -> code length
 
-    def code_lengths(self, texts: Sequence[str | None]) -> np.ndarray:
-        """Bits of each text under each language, a row per text."""
-        data, starts = _prepared(texts)
+    def _cells(self, data: np.ndarray) -> np.ndarray:
+        """Where each byte's code lengths are tabulated."""
         s = self.symbol[data]
         dead = len(self.child) - 1
         width = self.child.shape[1]
@@ -95,7 +106,12 @@ class Model:
             before[back:] = s[:-back] if back < len(s) + 1 else 0
             deepest = child.take(deepest * width + before)
             context = np.where(deepest == dead, context, deepest)
-        cell = context * width + s
+        return context * width + s
+
+    def code_lengths(self, texts: Sequence[str | None]) -> np.ndarray:
+        """Bits of each text under each language, a row per text."""
+        data, starts = _prepared(texts)
+        cell = self._cells(data)
         out = np.zeros((len(starts) - 1, len(self.languages)))
         for k in range(len(self.languages)):
             sums = np.concatenate([[0.0], np.cumsum(self.bits[k].reshape(-1).take(cell), dtype=float)])
@@ -119,6 +135,43 @@ class Model:
                 names[i], score[i] = "und", 0.0
         return names, score
 
+    def fits(self, texts: Sequence[str | None], limits: Sequence[float]) -> np.ndarray:
+        """Bits of each text as a share of the limit, at most 1 if it fits.
+
+        ``limits`` are bits per byte, one for each language. Of a text that does not fit the words
+        with digits are left out, if enough remains.
+        """
+        out, size = self._shares(texts, limits)
+        again = [i for i in np.flatnonzero(out > 1) if _WITH_DIGITS.search(texts[i])]
+        if again:
+            plain = [_WITH_DIGITS.sub(" ", texts[i]) for i in again]
+            share, left = self._shares(plain, limits)
+            for i, text, x, n in zip(again, plain, share, left, strict=True):
+                if has_letter(text) and n >= WORDS_LEFT * size[i]:
+                    out[i] = min(out[i], x)
+        return out
+
+    def _shares(self, texts: Sequence[str | None], limits: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits by limit, each word in its best language, and the bytes of each text."""
+        data, starts = _prepared(texts)
+        cell = self._cells(data)
+        size = np.diff(starts) - ORDER
+        first = np.zeros(len(data) + 1, bool)
+        first[1:-1] = (data[1:] != 32) & (data[:-1] == 32)
+        first[starts[:-1]] = True
+        first[0] = True
+        word = np.flatnonzero(first)
+        gap = (starts[:-1, None] - np.arange(1, ORDER + 1)).reshape(-1)
+        best = np.full(len(word), np.inf)
+        cost = np.zeros(len(data) + 1)
+        for k, limit in enumerate(limits):
+            cost[:-1] = self.bits[k].reshape(-1).take(cell)
+            cost[gap] = 0.0
+            np.minimum(best, np.add.reduceat(cost, word) / limit, out=best)
+        owner = np.searchsorted(starts[:-1], word, side="right") - 1
+        total = np.bincount(np.maximum(owner, 0), best, len(texts))
+        return total / np.maximum(size, 1), size
+
 
 def has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
@@ -169,28 +222,33 @@ def build_model(counts: dict[str, dict[int, int]], nodes: int = NODES) -> Model:
     return Model(languages, symbol, child, bits)
 
 
+def _sampled(usable: DataFrame, known: list[str], sample: int) -> DataFrame:
+    """lang and text of at most ``sample`` documents of each language, the first by a hash of their id."""
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = (
+        usable.filter(F.col("lang").isin(known)).select("doc_id", "lang")
+        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample)
+        .select(F.col("doc_id").alias("wanted")).distinct()
+    )
+    # at most sample * LANGUAGES ids
+    texts = usable.filter(F.col("lang").isin(known) & F.col("text").isNotNull()).join(
+        F.broadcast(ids), F.col("doc_id") == F.col("wanted"), "left_semi"
+    )
+    return texts.select("lang", "text")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES, grams: int = GRAMS) -> Model:
     """Learn from ``docs`` (doc_id, text, lang): rows with null text, lang or id are left out.
 
     At most ``sample`` documents of a language are read, at most ``grams`` byte sequences of it
     come to the driver, and at most ``LANGUAGES`` languages are learned, the most frequent.
     """
-    spark = docs.sparkSession
     usable = docs.filter("lang is not null and doc_id is not null")
     many = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     known = [r.lang for r in many.collect()]
     if not known:
         return build_model({}, nodes)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        usable.filter(F.col("lang").isin(known)).select("doc_id", "lang")
-        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample)
-        .select(F.col("doc_id").alias("wanted")).distinct()
-    )
-    # at most sample * LANGUAGES ids
-    texts = usable.filter(F.col("lang").isin(known) & F.col("text").isNotNull()).join(
-        F.broadcast(ids), F.col("doc_id") == F.col("wanted"), "left_semi"
-    )
+    texts = _sampled(usable, known, sample)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +261,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES, grams: int
                     yield pa.RecordBatch.from_pydict({"lang": [lang] * len(gram), "gram": gram, "n": n})
 
     counted = (
-        texts.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+        texts.mapInArrow(count, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -214,15 +272,54 @@ def train(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES, grams: int
     return build_model(counts, nodes)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with the columns ``lang_pred`` and ``score``, from the text alone."""
-    for name in ("lang_pred", "score"):
+def _shared(docs: DataFrame, model: Model):
+    # plain values: at most NODES contexts by 257 symbols for each language
+    return docs.sparkSession.sparkContext.broadcast((model.languages, model.symbol, model.child, model.bits))
+
+
+def fit_limits(docs: DataFrame, model: Model, sample: int = SAMPLE) -> list[float] | None:
+    """Bits per byte that a text of each language may cost, from labelled documents not trained on.
+
+    The median of at most ``sample`` documents of a language counts, within ``USUAL``, times
+    ``FIT``. A language without such documents has the highest limit of the others; if no
+    language has any, there are no limits.
+    """
+    usable = docs.filter("lang is not null and doc_id is not null")
+    shared = _shared(docs, model)
+
+    def cost(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model(*shared.value)
+        for batch in batches:
+            names, rates = [], []
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for some in grouped([r for r in rows if has_letter(r[1])], lambda r: len(r[1])):
+                texts = [text for _, text in some]
+                size = np.diff(_prepared(texts)[1]) - ORDER
+                for (lang, _), bits, n in zip(some, known.code_lengths(texts), size, strict=True):
+                    names.append(lang)
+                    rates.append(bits[known.languages.index(lang)] / max(n, 1))
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(names, pa.string()), "rate": pa.array(rates, pa.float64())})
+
+    rates = _sampled(usable, list(model.languages), sample).mapInArrow(cost, "lang string, rate double")
+    usual = rates.groupBy("lang").agg(F.percentile_approx("rate", 0.5).alias("rate"))
+    limits = {r.lang: FIT * float(np.clip(r.rate, *USUAL)) for r in usual.collect()}
+    if not limits:
+        return None
+    return [limits.get(lang, max(limits.values())) for lang in model.languages]
+
+
+def identify(
+    docs: DataFrame, model: Model, text: str = "text", limits: Sequence[float] | None = None
+) -> DataFrame:
+    """``docs`` with the columns ``lang_pred`` and ``score``, from the text alone.
+
+    With ``limits`` also ``fit``, the text's bits as a share of the limit (see ``Model.fits``).
+    """
+    added = ["lang_pred", "score"] + (["fit"] if limits is not None else [])
+    for name in added:
         if name in docs.columns:
             raise ValueError(f"the table already has a column {name}")
-    # plain values: at most NODES contexts by 257 symbols for each language
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (model.languages, model.symbol, model.child, model.bits)
-    )
+    shared = _shared(docs, model)
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,17 +327,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             names: list[str] = []
             scores: list[float] = []
+            fits: list[float] = []
             for some in grouped(batch.column(at).to_pylist(), lambda t: len(t or "")):
                 n, s = known.predict(some)
                 names += n
                 scores += s.tolist()
+                if limits is not None:
+                    fits += known.fits(some, limits).tolist()
+            made = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                [*batch.columns, *made[: len(added)]], names=[*batch.schema.names, *added]
             )
 
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.mapInArrow(run, schema)
+    empty = [F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("fit")]
+    return docs.mapInArrow(run, docs.select("*", *empty[: len(added)]).schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -251,3 +351,8 @@ def held_out(doc_id: str = "doc_id"):
 def fold_model(docs: DataFrame) -> Model:
     """A model of the documents that are not held out."""
     return train(docs.filter(~held_out()).select("doc_id", "text", "lang"))
+
+
+def fold_limits(docs: DataFrame, model: Model) -> list[float] | None:
+    """The limits of such a model, from the documents that are held out."""
+    return fit_limits(docs.filter(held_out()).select("doc_id", "text", "lang"), model)
