@@ -10,6 +10,11 @@ the same region, the following one if two are as near and disagree.
 A region is the inside of ``article`` or ``main``, or all the rest. If a page has such an element
 with text, only what is inside counts as main text; there a long block is good whatever its words,
 and blocks without any decided neighbour are good.
+
+Words of class and id say nothing about ``body``, ``main`` and an ``article`` that is not part of
+another one, nor do those behind a state word (``has-sidebar``, ``no-ads``). What surrounds ``main``
+is not boilerplate by such a word; nor is what surrounds an article, unless a longer article or
+main text stands outside of all that is (readers' comments and teasers are articles, too).
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +55,7 @@ _BOILER_WORDS = frozenset(
     navbar navigation newsletter notice notices popup promo promoted related respond reply replies
     share sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split()
 )
+_STATES = frozenset("has no not with without".split())
 _REGION_TAGS = frozenset(["article", "main"])
 _CONTAINERS = _BOILER_TAGS | _REGION_TAGS | frozenset("header section div ul ol table body".split())
 _BREAKS = _CONTAINERS | frozenset(
@@ -82,23 +88,68 @@ class Block:
     label: str = ""
 
 
+@dataclass
+class _Open:
+    """An open container: boilerplate by its element or role, or by a word of its class or id."""
+
+    tag: str
+    boiler: bool
+    word: bool
+
+
+@dataclass
+class _Unit:
+    """A main or an article not inside another: the containers named by a word around it, its length."""
+
+    around: list[_Open]
+    boiler: bool
+    size: int = 0
+
+
+@dataclass
+class _Place:
+    """Where blocks stand: boilerplate by element or role, containers named by a word, the unit,
+    and whether that is an article."""
+
+    boiler: bool
+    named: list[_Open] = field(default_factory=list)
+    unit: _Unit | None = None
+    article: bool = False
+
+
 def _is_boiler(tag: str, attributes: str, inside: bool) -> bool:
     if tag in _BOILER_TAGS or (tag == "header" and not inside):
         return True
+    found = _ATTRIBUTE.findall(attributes)
+    return any(n.lower() == "role" and "".join(v).strip().lower() in _BOILER_ROLES for n, *v in found)
+
+
+def _is_named(attributes: str) -> bool:
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values)
-        if name.lower() == "role":
-            if value.strip().lower() in _BOILER_ROLES:
+        for one in "".join(values).split() if name.lower() != "role" else ():
+            words = [w.lower() for w in _NAME_PARTS.findall(one)]
+            if words and words[0] not in _STATES and not _BOILER_WORDS.isdisjoint(words):
                 return True
-        elif any(w.lower() in _BOILER_WORDS for w in _NAME_PARTS.findall(value)):
-            return True
     return False
 
 
+def _clear_names(units: list[_Unit]) -> None:
+    """Names of containers around the longest articles count no more."""
+    sizes = [(u, any(c.word for c in u.around)) for u in units if not u.boiler and u.size]
+    longest = max((u.size for u, named in sizes if not named), default=0)
+    for unit, _ in sizes:
+        if unit.size >= longest:
+            for container in unit.around:
+                container.word = False
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; character references are decoded, white space collapsed."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, region
+    stack: list[_Open] = []
+    units: list[_Unit] = []
+    places: list[_Place] = [_Place(False)]  # of what is outside of, and inside of each open container
+    of_block: list[_Place] = []
     pieces: list[str] = []
     state = {"links": 0, "linked": 0, "item": False}
 
@@ -106,10 +157,29 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            boiler = any(s[1] for s in stack)
-            out.append(Block(text, state["linked"], boiler, any(s[2] for s in stack), state["item"]))
+            place = places[-1]
+            out.append(Block(text, state["linked"], place.boiler, place.unit is not None, state["item"]))
+            of_block.append(place)
+            if place.unit and not place.boiler and len(place.named) == len(place.unit.around):
+                place.unit.size += len(text)
         state["links"] = state["linked"] = 0
 
+    def enter(tag: str, attributes: str) -> None:
+        outer = places[-1]
+        region = tag in _REGION_TAGS and not outer.article
+        boiler = _is_boiler(tag, attributes, outer.unit is not None)
+        opened = _Open(tag, boiler, not region and tag != "body" and _is_named(attributes))
+        if tag == "main":
+            for container in outer.named:
+                container.word = False
+        stack.append(opened)
+        named = [*outer.named, opened] if opened.word else outer.named
+        unit = outer.unit
+        if region:
+            unit = _Unit(named, outer.boiler or boiler)
+            units.append(unit)
+        places.append(_Place(outer.boiler or boiler, named, unit, outer.article or tag == "article"))
+
     def add(raw: str) -> None:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
@@ -135,13 +205,16 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in _CONTAINERS:
             continue
         if not closing:
-            inside = any(s[2] for s in stack)
-            stack.append((tag, _is_boiler(tag, found[4] or "", inside), tag in _REGION_TAGS))
-        elif any(s[0] == tag for s in stack):
-            while stack.pop()[0] != tag:
-                pass
+            enter(tag, found[4] or "")
+        elif any(o.tag == tag for o in stack):
+            while stack.pop().tag != tag:
+                places.pop()
+            places.pop()
     add(page[at:])
     close()
+    _clear_names(units)
+    for block, place in zip(out, of_block, strict=True):
+        block.boiler = place.boiler or any(c.word for c in place.named)
     return out
 
 

@@ -23,6 +23,41 @@ def test_boilerplate_inside_an_article_goes():
     assert main_text(page) == f"Head\n{SENTENCE}\n{SENTENCE} End"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><article>{}</article></body>",
+        "<body class='no-sidebar widget'><main>{}</main></body>",
+        "<body class='sidebar'><p>{}</p></body>",
+        "<div id='page' class='with-sidebar'><p>{}</p></div>",
+        "<div id='page' class='with-sidebar'><article>{}</article></div>",
+        "<div class='sidebar-layout'><div class='adPage'><article>{}</article></div></div>",
+        "<div class='sidebar-layout'><main>{}</main></div><article>" + SENTENCE * 3 + "</article>",
+        "<div class='sidebar-layout'><article>{}</article></div><article>Teaser</article>",
+        "<article class='post has-header-image'>{}</article>",
+        "<article id='social-policy'>{}</article>",
+        "<main class='banner'><div class='social'><article id='social-policy'>{}</article></div></main>",
+    ],
+)
+def test_names_of_wrappers_and_states_do_not_drop_the_article(page):
+    assert SENTENCE in main_text(page.format(SENTENCE)).split("\n")
+    mixed = f"<div class='share'>Share</div><p>Short.</p><p>{SENTENCE}</p>"
+    assert main_text(page.format(mixed)).startswith(f"Short.\n{SENTENCE}")
+
+
+def test_articles_of_comments_and_teasers_still_go():
+    comments = f"<section class='comments'><article class='comment'>{SENTENCE}</article></section>"
+    body = f"<p>{SENTENCE}</p><p>End.</p>"
+    for page in (
+        f"<article>{body}</article>{comments}",
+        f"<article>{body}{comments}</article>",
+        f"<main><article>{body}</article>{comments}</main>",
+        f"<main>{body}{comments}</main>",
+        f"<article>{body}<article class='comment'>{SENTENCE}</article></article>",
+    ):
+        assert main_text(page) == f"{SENTENCE}\nEnd."
+
+
 def test_short_and_odd_articles_stay_whole():
     assert main_text("<nav>x</nav><article>One.</article><footer>y</footer>") == "One."
     odd = "zzz### qqq$$$ " * 20
