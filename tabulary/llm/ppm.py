@@ -13,7 +13,8 @@ training has not seen. So texts in two learned languages fit, and those in other
 The trees share their nodes, and all code lengths are tabulated per node and byte, so texts are
 scored by array lookups. Texts are read in lower case, with runs of ASCII bytes that are not
 letters as one space. Training takes at most ``SAMPLE`` documents of a language, whole, the first by
-a hash of their id; the trees keep at most ``NODES`` contexts, the most frequent ones.
+a hash of their id; the trees keep at most ``NODES`` contexts, the most frequent ones, and fewer
+where that many would take more than ``MODEL_BYTES`` for all languages. Every label is learned.
 """
 
 from __future__ import annotations
@@ -28,17 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulary.llm.words import grouped
+from tabulary.session import ensure_checkpoint_dir
 
 #: Bytes of the longest context; documents of a language read in training; contexts kept.
 ORDER = 3
 SAMPLE = 400
 NODES = 12_000
-#: Different byte sequences of a language that training hands to the driver at most.
-GRAMS = 60_000
-#: Languages learned at most.
-LANGUAGES = 256
 #: Bytes of code lengths at most; with many languages fewer contexts are kept.
 MODEL_BYTES = 1 << 26
+#: Sampled ids that are sent to all tasks at most; more are joined by a shuffle.
+SENT_IDS = 1 << 18
 #: A text may cost so many times the bits per byte that are usual in its language.
 FIT = 2.0
 #: What counts as usual at least and at most: fewer bits come from repeated texts alone, and twice
@@ -181,9 +181,6 @@ def build_model(counts: dict[str, dict[int, int]], nodes: int = NODES) -> Model:
     """Trees and code lengths from the counts of byte sequences of each language."""
     languages = tuple(sorted(counts))
     used = sorted({(g >> (8 * k)) & 255 for grams in counts.values() for g in grams for k in range(ORDER + 1)})
-    symbol = np.zeros(256, np.int64)  # 0: a byte never seen in training
-    symbol[used] = np.arange(1, len(used) + 1)
-    width = len(used) + 1
     follow: list[dict[bytes, dict[int, int]]] = []
     weight: dict[bytes, int] = {}
     for language in languages:
@@ -196,59 +193,79 @@ def build_model(counts: dict[str, dict[int, int]], nodes: int = NODES) -> Model:
         follow.append(tree)
         for context, seen in tree.items():
             weight[context] = weight.get(context, 0) + sum(seen.values())
+    kept = sorted(weight, key=lambda c: (-weight[c], len(c), c))[: _room(nodes, used, languages)]
+    seen_there = (
+        (k, context, byte, n)
+        for k, tree in enumerate(follow) for context in kept for byte, n in tree.get(context, {}).items()
+    )
+    return _tabulated(languages, used, kept, seen_there)
+
+
+def _room(nodes: int, used: Sequence[int], languages: Sequence[str]) -> int:
+    """How many contexts are kept: with the root, one at least."""
+    return max(1, min(nodes, MODEL_BYTES // (4 * (len(used) + 1) * max(1, len(languages)))))
+
+
+def _tabulated(
+    languages: tuple[str, ...], used: list[int], contexts: Iterable[bytes], seen: Iterable[tuple]
+) -> Model:
+    """The model of some contexts from (number of the language, context, byte that followed, count)."""
+    symbol = np.zeros(256, np.int64)  # 0: a byte never seen in training
+    symbol[used] = np.arange(1, len(used) + 1)
+    width = len(used) + 1
     # a context is at most as frequent as its own shorter ones, so the kept set has them too
-    nodes = min(nodes, MODEL_BYTES // (4 * width * max(1, len(languages))))
-    kept = sorted(weight, key=lambda c: (-weight[c], len(c), c))[:nodes] or [b""]
-    kept = sorted(set(kept) | {b""}, key=lambda c: (len(c), c))
+    kept = sorted({*contexts, b""}, key=lambda c: (len(c), c))
     place = {c: i for i, c in enumerate(kept)}
     dead = len(kept)
     child = np.full((dead + 1, width), dead, np.int64)
+    count = np.zeros((len(languages), dead, width))
+    for k, context, byte, n in seen:
+        count[k, place[context], symbol[byte]] = n
     bits = np.empty((len(languages), dead + 1, width), np.float32)
     for context, node in place.items():
         if context and context[1:] in place:
             child[place[context[1:]], symbol[context[0]]] = node
-    for k, tree in enumerate(follow):
+    for k in range(len(languages)):
         for context, node in place.items():
             shorter = bits[k, place[context[1:]]] if context else np.full(width, 8.0, np.float32)
-            seen = tree.get(context)
-            if not seen:
+            at = np.flatnonzero(count[k, node])
+            if not len(at):
                 bits[k, node] = shorter
                 continue
-            total, different = sum(seen.values()), len(seen)
+            total, different = count[k, node].sum(), len(at)
             bits[k, node] = shorter + np.log2((total + different) / different)
-            at = symbol[list(seen)]
-            bits[k, node, at] = np.log2((total + different) / np.array(list(seen.values())))
+            bits[k, node, at] = np.log2((total + different) / count[k, node, at])
         bits[k, dead] = 8.0
     return Model(languages, symbol, child, bits)
 
 
-def _sampled(usable: DataFrame, known: list[str], sample: int) -> DataFrame:
+def _sampled(usable: DataFrame, labels: int, sample: int) -> DataFrame:
     """lang and text of at most ``sample`` documents of each language, the first by a hash of their id."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
-        usable.filter(F.col("lang").isin(known)).select("doc_id", "lang")
+        usable.select("doc_id", "lang")
         .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample)
         .select(F.col("doc_id").alias("wanted")).distinct()
     )
-    # at most sample * LANGUAGES ids
-    texts = usable.filter(F.col("lang").isin(known) & F.col("text").isNotNull()).join(
-        F.broadcast(ids), F.col("doc_id") == F.col("wanted"), "left_semi"
-    )
+    if labels * sample <= SENT_IDS:
+        ids = F.broadcast(ids)
+    texts = usable.filter(F.col("text").isNotNull()).join(ids, F.col("doc_id") == F.col("wanted"), "left_semi")
     return texts.select("lang", "text")
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES, grams: int = GRAMS) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> Model:
     """Learn from ``docs`` (doc_id, text, lang): rows with null text, lang or id are left out.
 
-    At most ``sample`` documents of a language are read, at most ``grams`` byte sequences of it
-    come to the driver, and at most ``LANGUAGES`` languages are learned, the most frequent.
+    At most ``sample`` documents of a language are read. Contexts are counted and chosen on
+    Spark; the driver gets no more counts than the model has cells.
     """
+    spark = docs.sparkSession
     usable = docs.filter("lang is not null and doc_id is not null")
-    many = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    known = [r.lang for r in many.collect()]
-    if not known:
+    labels = usable.select("lang").distinct().count()
+    if not labels:
         return build_model({}, nodes)
-    texts = _sampled(usable, known, sample)
+    ensure_checkpoint_dir(spark)
+    texts = _sampled(usable, labels, sample)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,18 +279,33 @@ def train(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES, grams: int
 
     counted = (
         texts.mapInArrow(count, "lang string, gram long, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n")).checkpoint()
+    )
+    last = F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("byte")
+    languages = tuple(sorted(r.lang for r in counted.select("lang").distinct().collect()))
+    used = sorted({r.byte for r in counted.select(last).distinct().collect()} | ({32} if languages else set()))
+    size = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
+    before = F.expr("shiftright(gram, 8) & (shiftleft(1L, 8 * size) - 1)")
+    followed = (
+        counted.select("lang", "gram", "n", last, size.alias("size")).withColumn("before", before)
+        .groupBy("lang", "size", "before", "byte").agg(F.sum("n").alias("n")).checkpoint()
+    )
+    top = (
+        followed.groupBy("size", "before").agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "size", "before").limit(_room(nodes, used, languages)).select("size", "before")
+    )
+    chosen = [(r.size, r.before) for r in top.collect()]
+    there = spark.createDataFrame(chosen, "size int, before long")
+    number = {lang: k for k, lang in enumerate(languages)}
+    seen = (
+        (number[r.lang], r.before.to_bytes(r.size, "big"), r.byte, r.n)
+        for r in followed.join(F.broadcast(there), ["size", "before"]).toLocalIterator()
     )
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counted.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= grams)
-    counts: dict[str, dict[int, int]] = {}
-    for row in kept.select("lang", "gram", "n").toLocalIterator():
-        counts.setdefault(row.lang, {})[row.gram] = row.n
-    return build_model(counts, nodes)
+    return _tabulated(languages, used, (b.to_bytes(k, "big") for k, b in chosen), seen)
 
 
 def _shared(docs: DataFrame, model: Model):
-    # plain values: at most NODES contexts by 257 symbols for each language
+    # plain values: MODEL_BYTES of code lengths, or two contexts for each language
     return docs.sparkSession.sparkContext.broadcast((model.languages, model.symbol, model.child, model.bits))
 
 
@@ -289,18 +321,20 @@ def fit_limits(docs: DataFrame, model: Model, sample: int = SAMPLE) -> list[floa
 
     def cost(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*shared.value)
+        number = {lang: k for k, lang in enumerate(known.languages)}
         for batch in batches:
             names, rates = [], []
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for some in grouped([r for r in rows if has_letter(r[1])], lambda r: len(r[1])):
+            own = [r for r in rows if r[0] in number and has_letter(r[1])]
+            for some in grouped(own, lambda r: len(r[1])):
                 texts = [text for _, text in some]
                 size = np.diff(_prepared(texts)[1]) - ORDER
                 for (lang, _), bits, n in zip(some, known.code_lengths(texts), size, strict=True):
                     names.append(lang)
-                    rates.append(bits[known.languages.index(lang)] / max(n, 1))
+                    rates.append(bits[number[lang]] / max(n, 1))
             yield pa.RecordBatch.from_pydict({"lang": pa.array(names, pa.string()), "rate": pa.array(rates, pa.float64())})
 
-    rates = _sampled(usable, list(model.languages), sample).mapInArrow(cost, "lang string, rate double")
+    rates = _sampled(usable, len(model.languages), sample).mapInArrow(cost, "lang string, rate double")
     usual = rates.groupBy("lang").agg(F.percentile_approx("rate", 0.5).alias("rate"))
     limits = {r.lang: FIT * float(np.clip(r.rate, *USUAL)) for r in usual.collect()}
     if not limits:

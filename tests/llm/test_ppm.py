@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -88,6 +89,29 @@ def test_prediction_uses_text_only_and_handles_odd_rows(spark):
         ppm.identify(docs.withColumn("score", F.lit(1)), model)
 
 
+def test_every_label_is_learned(spark):
+    chance = random.Random(5)
+    rows = []
+    for k in range(300):
+        words = ["".join(chance.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)]
+        rows += [(2 * k + i, " ".join(chance.choices(words, k=60)), f"l{k:03}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = ppm.train(docs)
+    assert len(model.languages) == 300
+    got = ppm.identify(docs, model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) >= 0.98
+
+
+def test_training_equals_a_plain_count(spark):
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(TEXTS.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for nodes in (ppm.NODES, 40):
+        got, plain = ppm.train(docs, nodes=nodes), ppm.build_model(_counts(), nodes)
+        assert got.languages == plain.languages
+        for x, y in ((got.symbol, plain.symbol), (got.child, plain.child), (got.bits, plain.bits)):
+            assert np.array_equal(x, y)
+
+
 def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")
     for frame in (docs, docs.limit(0)):
