@@ -11,6 +11,13 @@ A region is the inside of ``article`` or ``main``, or all the rest. If a page ha
 with text, only what is inside counts as main text; there a long block is good whatever its words,
 and blocks without any decided neighbour are good.
 
+Stop words of English, French, German and Spanish are known. Where the long blocks of a page
+together have too few of them, its language is not known, and length and link density decide alone. Code,
+table cells and list items without stop words are ambiguous, not bad.
+
+Elements such as ``svg`` or ``button`` are skipped from their tag to its own end tag; a tag that is
+self-closing, or has no end tag, skips nothing else.
+
 Words of class and id say nothing about ``body``, ``main`` and an ``article`` that is not part of
 another one, nor do those behind a state word (``has-sidebar``, ``no-ads``). What surrounds ``main``
 is not boilerplate by such a word; nor is what surrounds an article, unless a longer article or
@@ -65,12 +72,15 @@ _BREAKS = _CONTAINERS | frozenset(
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)
-      | <(script|style|noscript|template|svg|iframe|object|select|textarea|button|title)\b.*?(?:</\1\s*>|\Z)
+      | <(script|style|iframe|textarea|title)\b.*?(?:</\1\s*>|\Z)
       | <(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
       | </?[a-zA-Z][^>]*(?:>|\Z)
       | <[!?][^>]*(?:>|\Z)""",
     re.S | re.I | re.X,
 )
+_SKIPPED = frozenset("noscript template svg object select button".split())
+#: A further start tag of these ends the one before.
+_NOT_NESTED = frozenset(["select", "button"])
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -85,6 +95,7 @@ class Block:
     boiler: bool
     inside: bool
     item: bool
+    plain: bool = True
     label: str = ""
 
 
@@ -133,6 +144,24 @@ def _is_named(attributes: str) -> bool:
     return False
 
 
+def _skips(found: list[re.Match]) -> dict[int, int]:
+    """The number of the end tag of each skipped element, by the number of its start tag."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in _SKIPPED}
+    for i, m in enumerate(found):
+        tag = (m[3] or "").lower()
+        if tag not in _SKIPPED:
+            continue
+        if m[2]:
+            if opened[tag]:
+                ends[opened[tag].pop()] = i
+        elif not (m[4] or "").rstrip().endswith("/"):
+            if tag in _NOT_NESTED:
+                opened[tag].clear()
+            opened[tag].append(i)
+    return ends
+
+
 def _clear_names(units: list[_Unit]) -> None:
     """Names of containers around the longest articles count no more."""
     sizes = [(u, any(c.word for c in u.around)) for u in units if not u.boiler and u.size]
@@ -151,14 +180,15 @@ def blocks_of(page: str) -> list[Block]:
     places: list[_Place] = [_Place(False)]  # of what is outside of, and inside of each open container
     of_block: list[_Place] = []
     pieces: list[str] = []
-    state = {"links": 0, "linked": 0, "item": False}
+    state = {"links": 0, "linked": 0, "item": False, "code": 0, "table": 0}
 
     def close() -> None:
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
             place = places[-1]
-            out.append(Block(text, state["linked"], place.boiler, place.unit is not None, state["item"]))
+            plain = not (state["item"] or state["code"] or state["table"])
+            out.append(Block(text, state["linked"], place.boiler, place.unit is not None, state["item"], plain))
             of_block.append(place)
             if place.unit and not place.boiler and len(place.named) == len(place.unit.around):
                 place.unit.size += len(text)
@@ -188,9 +218,16 @@ def blocks_of(page: str) -> list[Block]:
                 state["linked"] += len("".join(text.split()))
 
     at = 0
-    for found in _MARKUP.finditer(page):
+    marks = list(_MARKUP.finditer(page))
+    ends = _skips(marks)
+    skipped = -1
+    for i, found in enumerate(marks):
+        if i <= skipped:
+            at = found.end()
+            continue
         add(page[at : found.start()])
         at = found.end()
+        skipped = ends.get(i, -1)
         tag = (found[3] or "").lower()
         if not tag:
             continue
@@ -202,6 +239,9 @@ def blocks_of(page: str) -> list[Block]:
         close()
         if tag == "li":
             state["item"] = not closing
+        elif tag == "pre" or tag == "table":
+            kind = "code" if tag == "pre" else "table"
+            state[kind] = max(0, state[kind] + (-1 if closing else 1))
         if tag not in _CONTAINERS:
             continue
         if not closing:
@@ -218,22 +258,44 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _first_pass(block: Block) -> str:
-    """good, bad, or an ambiguous label: near or short."""
+def _stops(block: Block) -> tuple[int, int]:
+    """Stop words and words of a block."""
+    words = _LETTERS.findall(block.text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _length(text: str) -> int:
+    """Characters; one of the East Asian scripts says as much as about three letters."""
+    return len(text) if text.isascii() else sum(3 if c >= "\u2e80" else 1 for c in text)
+
+
+def _linked(block: Block) -> bool:
+    return block.linked >= LINKED * sum(len(w) for w in block.text.split())
+
+
+def _is_known(blocks: list[Block]) -> bool:
+    """Whether the long blocks that are judged by their words have stop words at all."""
+    judged = [b for b in blocks if not (b.boiler or b.inside) and _length(b.text) >= SHORT and not _linked(b)]
+    stops, words = (sum(x) for x in zip(*map(_stops, judged), strict=True)) if judged else (0, 0)
+    return not judged or stops >= SOME_STOPS * max(words, 1)
+
+
+def _first_pass(block: Block, known: bool) -> str:
+    """good, bad, or an ambiguous label: near or short; ``known``: the page's language has stop words."""
     if block.boiler:
         return "bad"
-    size = sum(len(w) for w in block.text.split())
-    if block.linked >= LINKED * size and (block.item or not block.inside):
+    if _linked(block) and (block.item or not block.inside):
         return "bad"
     if not block.inside and "\N{COPYRIGHT SIGN}" in block.text:
         return "bad"
-    if len(block.text) < SHORT:
+    if (len(block.text) if known else _length(block.text)) < SHORT:
         return "short"
-    words = _LETTERS.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if block.inside or stops >= MANY_STOPS:
+    if block.inside or not known:
+        return "good"
+    stops, words = _stops(block)
+    if stops >= MANY_STOPS * max(words, 1):
         return "good"
-    return "near" if stops >= SOME_STOPS else "bad"
+    return "near" if stops >= SOME_STOPS * max(words, 1) else "bad" if block.plain else "short"
 
 
 def _second_pass(region: list[Block], inside: bool) -> None:
@@ -258,8 +320,9 @@ def _second_pass(region: list[Block], inside: bool) -> None:
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by newlines; null and empty pages have none."""
     blocks = blocks_of(page or "")
+    known = _is_known(blocks)
     for block in blocks:
-        block.label = _first_pass(block)
+        block.label = _first_pass(block, known)
     within = [b for b in blocks if b.inside and not b.boiler]
     if within:
         _second_pass(within, True)

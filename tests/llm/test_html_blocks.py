@@ -75,6 +75,35 @@ def test_pages_without_article_follow_the_rules():
     assert main_text(f"<p>{SENTENCE}</p><p>{noise}</p>") == SENTENCE
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Люди города пошли к реке и увидели, что это был лучший день в году, а потом вернулись домой.",
+        "Ludzie z miasta poszli nad rzekę i zobaczyli, że to był najlepszy dzień w roku, po czym wrócili.",
+        "镇上的人们走到河边，看到这是一年中最好的日子，然后他们高兴地回家了，晚上还一起唱歌。",
+    ],
+)
+def test_pages_in_other_languages_are_judged_by_length_and_links(text):
+    page = f"<div><a href=/>{text}</a></div><h2>{text[:9]}</h2><p>{text}</p><p>{text}</p><div class=ad>{text}</div>"
+    assert main_text(page) == "\n".join([" ".join(text[:9].split()), text, text])
+
+
+def test_code_tables_and_lists_among_good_blocks_stay():
+    odd = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my ny xi omikron pi rho"
+    for part in (f"<pre>{odd}</pre>", f"<table><tr><td>{odd}</td></tr></table>", f"<ul><li>{odd}</li></ul>"):
+        assert main_text(f"<p>{SENTENCE}</p>{part}<p>{SENTENCE}</p>") == f"{SENTENCE}\n{odd}\n{SENTENCE}"
+
+
+@pytest.mark.parametrize("tag", ["svg", "object", "button"])
+def test_skipped_elements_end_where_they_do(tag):
+    text = f"<p>{SENTENCE}</p>"
+    for mark in (f"<{tag}/>", f'<{tag} class="x" />', f"<{tag}>", f"<{tag}>x</{tag}>"):
+        got = main_text(f"<article>{mark}{text}<{tag}>no</{tag}>{text}</article>")
+        assert got == f"{SENTENCE}\n{SENTENCE}"
+    nested = f"<svg><svg><text>no</text></svg><text>no</text></svg>{text}"
+    assert main_text(f"<article>{nested}</article>") == SENTENCE
+
+
 def test_references_and_white_space():
     page = "<main><p>a&nbsp;&nbsp;b &lt;tag&gt; &#233;&#x41; &amp;amp; &unknown; &am\n\t c<b> d</b>e 1 < 2</p></main>"
     assert main_text(page) == "a b <tag> éA &amp; &unknown; &am c de 1 < 2"
