@@ -44,6 +44,8 @@ FIT = 2.0
 #: What counts as usual at least and at most: fewer bits come from repeated texts alone, and twice
 #: as many as the last are nearly the 8 bits of a uniform choice.
 USUAL = (1.5, 3.5)
+#: A text may have so many bytes more at the limit, so that one odd word in a short text is no fault.
+ODD_BYTES = 4
 #: Words with digits (keys, numbers) are left out of a text that does not fit, if so much remains.
 WORDS_LEFT = 0.25
 
@@ -170,7 +172,7 @@ class Model:
             np.minimum(best, np.add.reduceat(cost, word) / limit, out=best)
         owner = np.searchsorted(starts[:-1], word, side="right") - 1
         total = np.bincount(np.maximum(owner, 0), best, len(texts))
-        return total / np.maximum(size, 1), size
+        return total / (size + ODD_BYTES), size
 
 
 def has_letter(text: str | None) -> bool:
