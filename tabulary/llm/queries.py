@@ -9,7 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tabulary.llm import caps, chat, html_blocks, minhash, packing, partenum, pieces, ppm, secrets, wordpiece
+from tabulary.llm import (
+    caps,
+    chat,
+    html_blocks,
+    minhash,
+    packing,
+    partenum,
+    pieces,
+    ppm,
+    resampling,
+    secrets,
+    wordpiece,
+)
 
 #: Vocabulary files; the paths are parameters of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -200,3 +212,81 @@ def op10_secret_scans(spark: SparkSession, base: str) -> DataFrame:
         F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
         secrets.joined(F.col("secrets")).alias("spans"),
     )
+
+
+#: CRC-32 of the text column f, byte by byte through a table made from the polynomial.
+_CRC = """
+crc_steps as (
+  select b, b as c, 0 as k from range(256) r(b)
+  union all
+  select b, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, k + 1 from crc_steps where k < 8
+),
+crc_table as (select list(c order by b) as tab from crc_steps where k = 8),
+"""
+_CRC_OF_F = """
+xor(list_reduce(
+  list_transform(range(octet_length(encode(f))),
+    lambda i: (strpos('0123456789ABCDEF', substr(hex(encode(f)), 2 * i + 1, 1)) - 1) * 16
+      + strpos('0123456789ABCDEF', substr(hex(encode(f)), 2 * i + 2, 1)) - 1),
+  lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]),
+  4294967295), 4294967295)
+"""
+
+
+@_query(
+    rf"""
+with recursive {_CRC}
+texts as (
+  select 0 as side, row_number() over () as n, doc_id, text from documents
+  union all select 1, -row_number() over (), null, text from benchmark
+),
+words as (
+  select side, n, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from texts
+),
+features as (
+  select side, n, unnest(list_concat(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as f
+  from words
+),
+buckets as (
+  select f, {_CRC_OF_F} % {resampling.BUCKETS} as bucket from (select distinct f from features), crc_table
+),
+placed as (select side, n, bucket, count(*) as c from features join buckets using (f) group by all),
+sizes as (
+  select bucket, sum(c) filter (side = 0) as s, coalesce(sum(c) filter (side = 1), 0) as t
+  from placed group by bucket
+),
+whole as (
+  select coalesce(sum(c) filter (side = 0), 0) as s_all, coalesce(sum(c) filter (side = 1), 0) as t_all from placed
+),
+gains as (
+  select bucket, floor(1000 * ln(((t + 1) * (s_all + {resampling.BUCKETS}))::double
+    / ((s + 1) * (t_all + {resampling.BUCKETS}))::double))::bigint as gain
+  from sizes, whole
+),
+weights as (
+  select n, sum(c)::bigint as n_features, sum(c * gain)::bigint as weight
+  from placed join gains using (bucket) where side = 0 group by n
+),
+scores as (
+  select n, doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features,
+    coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((
+      ('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5
+    ) / 4294967296.0::double)))::bigint as score
+  from words left join weights using (n) where side = 0
+),
+drawn as (
+  select n, row_number() over (order by score desc, doc_id nulls last, n) as rank
+  from scores where n_words >= {resampling.LEAST_WORDS}
+)
+select doc_id, n_features, weight, score,
+  case when rank <= ({resampling.PERCENT} * (select count(*) from drawn)) // 100 then rank end::bigint as rank
+from scores left join drawn using (n)
+"""
+)
+def op11_importance_resampling(spark: SparkSession, base: str) -> DataFrame:
+    return resampling.resample(_table(spark, base, "documents"), _table(spark, base, "benchmark"))
