@@ -151,8 +151,8 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
 _KEY = ("low", "no_id", "id", "row")
 
 
-def _literal(pivot: tuple) -> Column:
-    return F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(_KEY, pivot, strict=True)])
+def _literal(pivot: tuple) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {v}L" for n, v in zip(_KEY, pivot, strict=True)) + ")"
 
 
 def _key() -> Column:
@@ -161,7 +161,7 @@ def _key() -> Column:
 
 def _upto(pivot: tuple) -> Column:
     """Whether a row's key is at most the pivot; the bare comparison lets a scan skip by it."""
-    return (F.col(_KEY[0]) <= pivot[0]) & (_key() <= _literal(pivot))
+    return (F.col(_KEY[0]) <= pivot[0]) & (_key() <= F.expr(_literal(pivot)))
 
 
 def kth_key(rows: DataFrame, k: int, pivots: int = PIVOTS) -> tuple:
@@ -176,7 +176,7 @@ def kth_key(rows: DataFrame, k: int, pivots: int = PIVOTS) -> tuple:
         order = [F.xxhash64(*_KEY, F.lit(turn)), *_KEY]
         drawn = sorted(tuple(r) for r in left.orderBy(*order).limit(pivots).collect())
         # three ways a pivot: below it (and above the one before), at it, and the rest above all
-        marks = F.array(*map(_literal, drawn))
+        marks = F.expr(f"array({', '.join(map(_literal, drawn))})")
         below = F.size(F.filter(marks, lambda p: p < _key()))
         part = 2 * below + F.exists(marks, lambda p: p == _key()).cast("int")
         counted = dict(left.groupBy(part.alias("part")).count().collect())
@@ -190,7 +190,7 @@ def kth_key(rows: DataFrame, k: int, pivots: int = PIVOTS) -> tuple:
             return drawn[number // 2]
         inside = F.lit(True)
         if number < 2 * len(drawn):
-            inside &= _upto(drawn[number // 2]) & (_key() != _literal(drawn[number // 2]))
+            inside &= _upto(drawn[number // 2]) & (_key() != F.expr(_literal(drawn[number // 2])))
         if number:
             inside &= ~_upto(drawn[number // 2 - 1])
         path = work_path(spark, "select")
