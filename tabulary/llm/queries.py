@@ -18,6 +18,7 @@ from tabulary.llm import (
     partenum,
     pieces,
     ppm,
+    product_codes,
     resampling,
     secrets,
     wordpiece,
@@ -290,3 +291,56 @@ from scores left join drawn using (n)
 )
 def op11_importance_resampling(spark: SparkSession, base: str) -> DataFrame:
     return resampling.resample(_table(spark, base, "documents"), _table(spark, base, "benchmark"))
+
+
+def _codes_sql() -> str:
+    """One round after another: the nearest entry of every part, then the entries' floored means."""
+    nearest = """
+near{r} as (
+  select id, k, least_entry.e as e, least_entry.d as d from (
+    select p.id, p.k, min({{'d': list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': b.e}}) as least_entry
+    from parts p join books{r} b on p.k = b.k group by 1, 2
+  )
+),"""
+    moved = """
+sums{r} as (
+  select k, e, i, sum(v) as s, count(*) as n from (
+    select p.k, n.e, unnest(p.x) as v, unnest(range(len(p.x))) as i from parts p join near{r} n using (id, k)
+  ) group by all
+),
+books{s} as (
+  select b.k, b.e, coalesce(m.x, b.x) as x from books{r} b left join (
+    select k, e, list(((s - (((s % n) + n) % n)) // n)::bigint order by i) as x from sums{r} group by k, e
+  ) m using (k, e)
+),"""
+    rounds = product_codes.ROUNDS
+    steps = "".join(nearest.format(r=r) + (moved.format(r=r, s=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+with usable as (
+  select row_number() over (order by vec_id nulls last, embedding) as id, vec_id, label,
+    list_transform(embedding, lambda c: floor({product_codes.SCALE} * c::double)::bigint) as x
+  from embeddings
+  where embedding is not null and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, lambda c: not isfinite(c))) = 0
+),
+parts as (
+  select id, k, x[k * len(x) // {product_codes.PARTS} + 1:(k + 1) * len(x) // {product_codes.PARTS}] as x
+  from usable, range({product_codes.PARTS}) t(k)
+),
+books0 as (select k, id - 1 as e, x from parts where id <= {product_codes.ENTRIES}),
+{steps}
+codes as (
+  select id, string_agg(lower(printf('%02x', e)), '' order by k) as code, sum(d)::bigint as error
+  from near{rounds} group by id
+),
+digest as (
+  select sha256(string_agg(array_to_string(x, ','), ',' order by k, e)) as codebooks_sha256 from books{rounds}
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256
+from usable join codes using (id), digest
+"""
+
+
+@_query(_codes_sql())
+def op12_vector_codes(spark: SparkSession, base: str) -> DataFrame:
+    return product_codes.compress(_table(spark, base, "embeddings"))
