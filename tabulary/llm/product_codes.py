@@ -67,7 +67,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     length = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     if (length == width).all():
-        return flat.reshape(-1, width)
+        return flat.reshape(len(column), width)
     out = np.zeros((len(column), width), np.int64)
     out[np.arange(width) < length[:, None]] = flat
     return out

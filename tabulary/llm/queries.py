@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tabulary.llm import (
+    attention,
     caps,
     chat,
     html_blocks,
@@ -344,3 +345,17 @@ from usable join codes using (id), digest
 @_query(_codes_sql())
 def op12_vector_codes(spark: SparkSession, base: str) -> DataFrame:
     return product_codes.compress(_table(spark, base, "embeddings"))
+
+
+@_query()
+def op13_quality_classifier(spark: SparkSession, base: str) -> DataFrame:
+    docs = _table(spark, base, "documents").select("doc_id", "text")
+    labels = _table(spark, base, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = attention.train(docs, labels.filter(~attention.held_out()))
+    return attention.score(docs, model).select(
+        "doc_id",
+        attention.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= attention.LEAST).cast("int").alias("predicted"),
+        "n_passages",
+    )

@@ -52,7 +52,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start positions and hashes of the words of a block that cuts no word."""
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
@@ -83,7 +83,7 @@ def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
                 while to < len(data) and not _SPACE[data[to]]:
                     step = np.flatnonzero(_SPACE[data[to : to + BLOCK]])
                     to = to + int(step[0]) if len(step) else min(to + BLOCK, len(data))
-        s, h = _block_words(data[at:to])
+        s, h = block_words(data[at:to])
         starts.append(s + at)
         hashes.append(h)
         at = to

@@ -19,6 +19,9 @@ COLUMNS = {
     "op8": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op9": "page_id url text n_chars",
     "op10": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op11": "doc_id n_features weight score rank",
+    "op12": "vec_id code error label_error codebooks_sha256",
+    "op13": "doc_id held_out score predicted",
 }
 
 
@@ -33,7 +36,7 @@ def test_query_matches_its_oracle(spark, sf, name):
 def test_all_operators_and_the_pipeline_are_registered():
     names = entry.queries()
     numbers = sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11)) and "pipeline" in names
+    assert numbers == list(range(1, 14)) and "pipeline" in names
     assert set(queries.SQL) <= set(entry.oracle_sql())
 
 
