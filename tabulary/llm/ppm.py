@@ -25,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulary.llm.words import grouped
-from tabulary.session import ensure_checkpoint_dir
+from tabulary.session import ensure_checkpoint_dir, local_frame
 
 #: Bytes of the longest context; documents of a language read in training; contexts kept.
 ORDER = 3
@@ -49,7 +49,12 @@ ODD_BYTES = 4
 #: Words with digits (keys, numbers) are left out of a text that does not fit, if so much remains.
 WORDS_LEFT = 0.25
 
-_WITH_DIGITS = re.compile(r"\S*\d\S*")
+#: Bytes of text that are taken together, and walked at a time; a longer word counts as several.
+GROUP_BYTES = 1 << 18
+WALK_BYTES = 1 << 17
+
+#: From a word's start on only, so that a long word is read once.
+_WITH_DIGITS = re.compile(r"(?<!\S)[^\s\d]*+\d\S*+")
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[97:123] = np.arange(97, 123)
 _PLAIN[128:] = np.arange(128, 256)
@@ -73,6 +78,18 @@ def _prepared(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(pieces) if pieces else np.empty(0, np.uint8)), np.array([*starts, at + ORDER])
 
 
+def _groups(column: pa.Array) -> Iterator[slice]:
+    """Consecutive texts of GROUP_BYTES at most together, or one."""
+    start = total = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if i > start and total + size > GROUP_BYTES:
+            yield slice(start, i)
+            start, total = i, 0
+        total += size
+    if start < len(column):
+        yield slice(start, len(column))
+
+
 def _grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """All sequences of ORDER + 1 bytes that end within a text, as numbers, with their counts."""
     data, starts = _prepared(texts)
@@ -97,28 +114,68 @@ class Model:
 
     def _cells(self, data: np.ndarray) -> np.ndarray:
         """Where each byte's code lengths are tabulated."""
-        s = self.symbol[data]
+        s = self.symbol[data].astype(np.int32)
         dead = len(self.child) - 1
         width = self.child.shape[1]
         child = self.child.reshape(-1)
-        context = np.zeros(len(s), np.int64)
+        context = np.zeros(len(s), np.int32)
         deepest = context
         for back in range(1, ORDER + 1):
-            before = np.zeros(len(s), np.int64)
-            before[back:] = s[:-back] if back < len(s) + 1 else 0
-            deepest = child.take(deepest * width + before)
+            cell = deepest * np.int32(width)
+            cell[back:] += s[: max(len(s) - back, 0)]
+            deepest = child.take(cell)
             context = np.where(deepest == dead, context, deepest)
-        return context * width + s
+        return context * np.int32(width) + s
+
+    def _walk(
+        self, texts: Sequence[str | None], limits: Sequence[float] | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of each text under each language, bits by limit with each word in its best language,
+        and bytes of each text, from one walk over the words."""
+        data, starts = _prepared(texts)
+        size = np.diff(starts) - ORDER
+        bits, share = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        first = np.zeros(len(data), bool)
+        first[1:] = (data[1:] != 32) & (data[:-1] == 32)
+        first[starts[:-1][starts[:-1] < len(data)]] = True
+        first[:1] = True
+        word = np.flatnonzero(first)
+        length = np.diff(word, append=len(data))
+        wide = np.flatnonzero(length > WALK_BYTES)
+        cuts = [np.arange(word[i] + WALK_BYTES, word[i] + length[i], WALK_BYTES) for i in wide]
+        word = np.sort(np.concatenate([word, *cuts]))
+        # the spaces before each text cost nothing
+        gap = np.zeros(len(data), bool)
+        for back in range(1, ORDER + 1):
+            gap[starts[:-1] - back] = True
+        owner = np.maximum(np.searchsorted(starts[:-1], word, side="right") - 1, 0)
+        at = 0
+        while at < len(word):
+            to = max(at + 1, int(np.searchsorted(word, word[at] + WALK_BYTES)))
+            a, b = int(word[at]), int(word[to]) if to < len(word) else len(data)
+            before = min(a, ORDER)
+            cell = self._cells(data[a - before : b])[before:]
+            silent = np.flatnonzero(gap[a:b])
+            some, whose = word[at:to] - a, owner[at:to]
+            low = whose[0]
+            best = np.full(len(some), np.inf)
+            for k in range(len(self.languages)):
+                cost = self.bits[k].reshape(-1).take(cell).astype(np.float64)
+                cost[silent] = 0.0
+                of_word = np.add.reduceat(cost, some)
+                summed = np.bincount(whose - low, of_word)
+                bits[low : low + len(summed), k] += summed
+                if limits is not None:
+                    np.minimum(best, of_word / limits[k], out=best)
+            if limits is not None:
+                summed = np.bincount(whose - low, best)
+                share[low : low + len(summed)] += summed
+            at = to
+        return bits, share / (size + ODD_BYTES), size
 
     def code_lengths(self, texts: Sequence[str | None]) -> np.ndarray:
         """Bits of each text under each language, a row per text."""
-        data, starts = _prepared(texts)
-        cell = self._cells(data)
-        out = np.zeros((len(starts) - 1, len(self.languages)))
-        for k in range(len(self.languages)):
-            sums = np.concatenate([[0.0], np.cumsum(self.bits[k].reshape(-1).take(cell), dtype=float)])
-            out[:, k] = sums[starts[1:] - ORDER] - sums[starts[:-1]]
-        return out
+        return self._walk(texts)[0]
 
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text, and its share of the probability under equal priors.
@@ -126,16 +183,22 @@ class Model:
         A text that is null or has no letter, and any text if nothing was learned, is ``und``
         with score 0. Equal code lengths go to the language that comes first by name.
         """
+        return self.judge(texts)[:2]
+
+    def judge(
+        self, texts: Sequence[str | None], limits: Sequence[float] | None = None
+    ) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """What :meth:`predict` and, with limits, :meth:`fits` give, from one walk."""
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        bits = self.code_lengths(texts)
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        bits, share, size = self._walk(texts, limits)
         lead = bits - bits.min(axis=1, keepdims=True)
         score = 1.0 / np.exp2(-np.minimum(lead, 1000)).sum(axis=1)
         names = [self.languages[k] for k in bits.argmin(axis=1)]
         for i, text in enumerate(texts):
             if not has_letter(text):
                 names[i], score[i] = "und", 0.0
-        return names, score
+        return names, score, share if limits is None else self._without_digits(texts, limits, share, size)
 
     def fits(self, texts: Sequence[str | None], limits: Sequence[float]) -> np.ndarray:
         """Bits of each text as a share of the limit, at most 1 if it fits.
@@ -143,37 +206,21 @@ class Model:
         ``limits`` are bits per byte, one for each language. Of a text that does not fit the words
         with digits are left out, if enough remains.
         """
-        out, size = self._shares(texts, limits)
+        _, out, size = self._walk(texts, limits)
+        return self._without_digits(texts, limits, out, size)
+
+    def _without_digits(
+        self, texts: Sequence[str | None], limits: Sequence[float], out: np.ndarray, size: np.ndarray
+    ) -> np.ndarray:
         again = [i for i in np.flatnonzero(out > 1) if _WITH_DIGITS.search(texts[i])]
         if again:
             plain = [_WITH_DIGITS.sub(" ", texts[i]) for i in again]
-            share, left = self._shares(plain, limits)
+            _, share, left = self._walk(plain, limits)
             for i, text, x, n in zip(again, plain, share, left, strict=True):
                 if has_letter(text) and n >= WORDS_LEFT * size[i]:
                     out[i] = min(out[i], x)
         return out
 
-    def _shares(self, texts: Sequence[str | None], limits: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits by limit, each word in its best language, and the bytes of each text."""
-        data, starts = _prepared(texts)
-        cell = self._cells(data)
-        size = np.diff(starts) - ORDER
-        first = np.zeros(len(data) + 1, bool)
-        first[1:-1] = (data[1:] != 32) & (data[:-1] == 32)
-        first[starts[:-1]] = True
-        first[0] = True
-        word = np.flatnonzero(first)
-        gap = (starts[:-1, None] - np.arange(1, ORDER + 1)).reshape(-1)
-        best = np.full(len(word), np.inf)
-        cost = np.zeros(len(data) + 1)
-        for k, limit in enumerate(limits):
-            cost[:-1] = self.bits[k].reshape(-1).take(cell)
-            cost[gap] = 0.0
-            np.minimum(best, np.add.reduceat(cost, word) / limit, out=best)
-        owner = np.searchsorted(starts[:-1], word, side="right") - 1
-        total = np.bincount(np.maximum(owner, 0), best, len(texts))
-        return total / (size + ODD_BYTES), size
-
 
 def has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
@@ -219,7 +266,7 @@ def _tabulated(
     kept = sorted({*contexts, b""}, key=lambda c: (len(c), c))
     place = {c: i for i, c in enumerate(kept)}
     dead = len(kept)
-    child = np.full((dead + 1, width), dead, np.int64)
+    child = np.full((dead + 1, width), dead, np.int32)
     count = np.zeros((len(languages), dead, width))
     for k, context, byte, n in seen:
         count[k, place[context], symbol[byte]] = n
@@ -241,15 +288,27 @@ def _tabulated(
     return Model(languages, symbol, child, bits)
 
 
-def _sampled(usable: DataFrame, labels: int, sample: int) -> DataFrame:
-    """lang and text of at most ``sample`` documents of each language, the first by a hash of their id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+def _sampled(usable: DataFrame, sample: int) -> DataFrame:
+    """lang and text of at most ``sample`` documents of each language, the first by a hash of their id.
+
+    Of each language so many ids are left out by a bound on the hash, before any are ranked, that
+    with near certainty enough remain; what meets in a task is about the sample of a language.
+    """
+    spark = usable.sparkSession
+    place = F.xxhash64("doc_id")
+    sizes = usable.groupBy("lang").count().collect()
+    wide = [
+        (r.lang, min(int(min(1.0, (sample + 8 * sample**0.5 + 64) / r["count"]) * 2.0**64), 2**64 - 1) - 2**63)
+        for r in sizes
+    ]
+    bound = local_frame(spark, wide, "lang string, bound long")  # one row a language
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
     ids = (
-        usable.select("doc_id", "lang")
+        usable.select("doc_id", "lang").join(F.broadcast(bound), "lang").filter(place <= F.col("bound"))
         .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample)
         .select(F.col("doc_id").alias("wanted")).distinct()
     )
-    if labels * sample <= SENT_IDS:
+    if len(sizes) * sample <= SENT_IDS:
         ids = F.broadcast(ids)
     texts = usable.filter(F.col("text").isNotNull()).join(ids, F.col("doc_id") == F.col("wanted"), "left_semi")
     return texts.select("lang", "text")
@@ -267,16 +326,17 @@ def train(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> Model:
     if not labels:
         return build_model({}, nodes)
     ensure_checkpoint_dir(spark)
-    texts = _sampled(usable, labels, sample)
+    texts = _sampled(usable, sample)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, own in by_lang.items():
-                for some in grouped(own, len):
-                    gram, n = _grams(some)
+            for some in _groups(batch.column(1)):
+                part = batch.slice(some.start, some.stop - some.start)
+                by_lang: dict[str, list[str]] = {}
+                for lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    by_lang.setdefault(lang, []).append(text)
+                for lang, own in by_lang.items():
+                    gram, n = _grams(own)
                     yield pa.RecordBatch.from_pydict({"lang": [lang] * len(gram), "gram": gram, "n": n})
 
     counted = (
@@ -326,19 +386,20 @@ def fit_limits(docs: DataFrame, model: Model, sample: int = SAMPLE) -> list[floa
         number = {lang: k for k, lang in enumerate(known.languages)}
         for batch in batches:
             names, rates = [], []
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            own = [r for r in rows if r[0] in number and has_letter(r[1])]
-            for some in grouped(own, lambda r: len(r[1])):
-                texts = [text for _, text in some]
-                size = np.diff(_prepared(texts)[1]) - ORDER
-                for (lang, _), bits, n in zip(some, known.code_lengths(texts), size, strict=True):
+            for some in _groups(batch.column(1)):
+                part = batch.slice(some.start, some.stop - some.start)
+                rows = zip(*(c.to_pylist() for c in part.columns), strict=True)
+                own = [r for r in rows if r[0] in number and has_letter(r[1])]
+                bits, _, size = known._walk([text for _, text in own])
+                for (lang, _), cost, n in zip(own, bits, size, strict=True):
                     names.append(lang)
-                    rates.append(bits[number[lang]] / max(n, 1))
+                    rates.append(cost[number[lang]] / max(n, 1))
             yield pa.RecordBatch.from_pydict({"lang": pa.array(names, pa.string()), "rate": pa.array(rates, pa.float64())})
 
-    rates = _sampled(usable, len(model.languages), sample).mapInArrow(cost, "lang string, rate double")
+    rates = _sampled(usable, sample).mapInArrow(cost, "lang string, rate double")
     usual = rates.groupBy("lang").agg(F.percentile_approx("rate", 0.5).alias("rate"))
     limits = {r.lang: FIT * float(np.clip(r.rate, *USUAL)) for r in usual.collect()}
+    shared.destroy()
     if not limits:
         return None
     return [limits.get(lang, max(limits.values())) for lang in model.languages]
@@ -364,12 +425,11 @@ def identify(
             names: list[str] = []
             scores: list[float] = []
             fits: list[float] = []
-            for some in grouped(batch.column(at).to_pylist(), lambda t: len(t or "")):
-                n, s = known.predict(some)
+            for some in _groups(batch.column(at)):
+                n, x, f = known.judge(batch.column(at)[some].to_pylist(), limits)
                 names += n
-                scores += s.tolist()
-                if limits is not None:
-                    fits += known.fits(some, limits).tolist()
+                scores += x.tolist()
+                fits += f.tolist()
             made = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *made[: len(added)]], names=[*batch.schema.names, *added]

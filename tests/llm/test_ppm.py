@@ -127,3 +127,47 @@ def test_held_out_accuracy(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     own = [r for r in rows if r.held_out and r.lang is not None and r.lang_pred != "und"]
     assert np.mean([r.lang == r.lang_pred for r in own]) >= 0.98
+
+
+def _peak_of(work):
+    """Bytes that ``work`` allocates at most, numpy's arrays included."""
+    import tracemalloc
+
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+@pytest.mark.parametrize("text", ["plain words of a long text " * 200_000, "天地玄黄宇宙洪荒日月盈昃" * 140_000, "a" * 5_000_000])
+def test_a_text_of_five_megabytes_takes_little_memory(text):
+    model = ppm.build_model(_counts())
+    limits = [3.0] * len(model.languages)
+    size = len(text.encode())
+    assert _peak_of(lambda: model.judge([text, "the dog"], limits)) < 12 * size + 30_000_000
+    alone = model.judge([text], limits)
+    both = model.judge(["the dog", text, "der Hund"], limits)
+    assert (alone[0][0], alone[1][0], alone[2][0]) == (both[0][1], both[1][1], both[2][1])
+
+
+def test_one_walk_gives_predictions_and_fit(monkeypatch):
+    model = ppm.build_model(_counts())
+    texts = ["the dog and the fox", "le chien du bois", "", None, "Zzyzx 123 key42", "x" * 900, " der Hund  im Wald "] * 3
+    limits = [2.0, 2.5, 3.0]
+    names, score, fit = model.judge(texts, limits)
+    assert names == model.predict(texts)[0] and (score == model.predict(texts)[1]).all()
+    assert (fit == model.fits(texts, limits)).all()
+    monkeypatch.setattr(ppm, "WALK_BYTES", 64)
+    assert np.allclose(model.code_lengths(texts), model._walk(texts)[0])
+    assert model.judge(texts, limits)[0] == names
+
+
+def test_a_language_with_very_many_documents_is_sampled_by_its_hash(spark):
+    rows = spark.range(30_000).selectExpr(
+        "id as doc_id", "concat('text ', id) as text", "if(id % 100 = 0, 'rare', 'common') as lang"
+    )
+    got = {r.lang: r["count"] for r in ppm._sampled(rows, 50).groupBy("lang").count().collect()}
+    assert got == {"rare": 50, "common": 50}
+    order = rows.filter("lang = 'common'").orderBy(F.xxhash64("doc_id"), "doc_id").limit(50)
+    assert {r.text for r in order.collect()} == {r.text for r in ppm._sampled(rows, 50).filter("lang = 'common'").collect()}
