@@ -124,18 +124,12 @@ def quota_stream(spark, sf):
     return _decisions(runner.run_available(decided, "quota"))
 
 
-def _closed(source: str) -> str:
-    """Windows that an hour's watermark has passed."""
-    return f"window_end <= (SELECT max(ts) FROM {source}) - INTERVAL 1 HOUR"
-
-
 def _plain_times(df):
     return df.withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
     )
 
 
-_SIGNUPS = "(SELECT * FROM events WHERE event_type = 'signup')"
 _WINDOW = (
     "date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end"
 )
@@ -157,10 +151,10 @@ _SESSION_SQL = (
 )
 
 
-@query(f"SELECT * FROM ({_SESSION_SQL}) WHERE {_closed(_SIGNUPS)}")
+@query(_SESSION_SQL)
 def session_stream(spark, sf):
     counted = windows.session_counts(_sessions(_event_stream(spark, sf)), size="1 day")
-    return _plain_times(runner.run_available(counted, "sessions"))
+    return _plain_times(runner.run_upserts(counted, "sessions", windows.SESSION_KEYS))
 
 
 @query(_SESSION_SQL)
@@ -189,10 +183,10 @@ _CALL_SQL = (
 )
 
 
-@query(f"SELECT * FROM ({_CALL_SQL}) WHERE {_closed('events')}")
+@query(_CALL_SQL)
 def call_stream(spark, sf):
     counted = windows.call_metrics(_calls(_event_stream(spark, sf)), size="1 day")
-    return _plain_times(runner.run_available(counted, "calls"))
+    return _plain_times(runner.run_upserts(counted, "calls", windows.CALL_KEYS))
 
 
 @query(_CALL_SQL)
@@ -202,13 +196,13 @@ def call_metrics(spark, sf):
 
 
 @query(
-    f"SELECT * FROM (SELECT {_WINDOW}, count(*) AS searches, "
+    f"SELECT {_WINDOW}, count(*) AS searches, "
     + ", ".join(
         f"CAST(sum(CAST(floor(value * {m}) AS BIGINT)) AS BIGINT) AS sum_{c}, "
         f"max(CAST(floor(value * {m}) AS BIGINT)) AS max_{c}"
         for c, m in (("discovery_ms", 1), ("fan_out_ms", 4), ("post_filter_ms", 2))
     )
-    + f" FROM events GROUP BY ALL) WHERE {_closed('events')}"
+    + " FROM events GROUP BY ALL"
 )
 def search_timing_stream(spark, sf):
     timings = _event_stream(spark, sf).select(
@@ -218,4 +212,4 @@ def search_timing_stream(spark, sf):
         F.floor(F.col("value") * 2).alias("post_filter_ms"),
     )
     counted = windows.search_timings(timings, size="1 day")
-    return _plain_times(runner.run_available(counted, "timings"))
+    return _plain_times(runner.run_upserts(counted, "timings", windows.TIMING_KEYS))

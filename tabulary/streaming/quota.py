@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import pickle
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -14,11 +16,16 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import (
+    ExpiredTimerInfo,
+    StatefulProcessor,
+    StatefulProcessorHandle,
+    TimerValues,
+)
 
 from tabulary.functions.network import UNKNOWN_KEY, ip_key, is_loopback
 from tabulary.operators.merge import first_per_group
-from tabulary.session import ensure_checkpoint_dir
+from tabulary.session import ensure_checkpoint_dir, local_frame
 
 # The functions here travel to the Python workers whole, so executors need no copy of the
 # package.
@@ -181,10 +188,12 @@ def replay(requests: DataFrame, key: str, ts: str, tiebreak: str, quota: Quota)
 
     The log is range-partitioned by (key, time), so a key with a large share of all
     requests is spread over many parts, and each part is walked in bounded batches. Only
-    the bucket at a part boundary is carried over: boundary buckets are computed for all
-    parts in parallel and corrected until they agree. A part that holds several keys ends
-    with a bucket that does not depend on how it starts, so only parts filled by one key
-    can need a correction.
+    the bucket at a part boundary is carried over. How a part ends does not depend on how it
+    starts if its last key begins in it, or if that key has a request before which the bucket
+    is certainly full and the day new: one job finds these ends in all parts at once. What is
+    left are stretches of parts, each within one key that never rests for a day's end; a
+    second job walks each stretch once, times only. So the number of jobs does not depend on
+    the number of parts.
     """
     ensure_checkpoint_dir(requests.sparkSession)
     columns = requests.columns
@@ -210,28 +219,106 @@ def _boundary_buckets(parts: DataFrame, quota: Quota) -> dict[int, tuple[str, tu
     spans = [tuple(r) for r in ends.orderBy("_part").collect()]
     pairs = list(zip(spans, spans[1:], strict=False))
     follows = {left[0]: right[0] for left, right in pairs if left[2] == right[1]}
+    if not follows:
+        return {}
     last_key = {part: last for part, _, last in spans}
-    one_key = {part for part, first, last in spans if first == last}
+    entered = set(follows.values())
+    # their last key fills the part and began in an earlier one
+    inside = {part for part, first, last in spans if first == last and part in entered}
 
+    boundary = parts.select("_key", "_at", "_part").filter(
+        F.col("_part").isin(sorted(follows)) & F.col("_key").isin(sorted({last_key[p] for p in follows}))
+    )
     entry: dict[int, tuple[str, tuple]] = {}
-    stale = set(follows)
-    while stale:
-        boundary = parts.select("_key", "_at", "_part").filter(
-            F.col("_part").isin(sorted(stale))
-            & F.col("_key").isin(sorted({last_key[p] for p in stale}))
-        )
-        exits = {r["part"]: tuple(r)[1:] for r in _exit_buckets(boundary, quota, entry).collect()}
-        stale = set()
-        for part, bucket in exits.items():
-            start = (last_key[part], bucket)
-            successor = follows[part]
-            if entry.get(successor) != start:
-                entry[successor] = start
-                if successor in one_key and successor in follows:
-                    stale.add(successor)
+    for r in _certain_exits(boundary, quota, inside).collect():
+        entry[follows[r.part]] = (last_key[r.part], tuple(r)[1:])
+
+    stretch: dict[int, int] = {}
+    for part in sorted(follows):
+        if follows[part] not in entry:
+            stretch[part] = stretch.get(_before(part, follows), part)
+    if stretch:
+        for r in _walked_exits(boundary, quota, stretch, entry).collect():
+            entry[follows[r.part]] = (last_key[r.part], tuple(r)[1:])
     return entry
 
 
+def _before(part: int, follows: dict[int, int]) -> int | None:
+    return next((p for p, q in follows.items() if q == part), None)
+
+
+def _certain(times: np.ndarray, quota: Quota) -> np.ndarray:
+    """Which requests of a key, but for the first, find a full bucket and an unused day in any case."""
+    before, now = times[:-1], times[1:]
+    gap = now - before
+    rested = gap / _SECOND * quota.per_second >= quota.burst
+    midnight = (before // _DAY + 1) * _DAY
+    sure = rested & (now >= midnight)
+    if quota.idle_ttl_seconds is not None:
+        sure |= (gap > int(quota.idle_ttl_seconds * _SECOND)) & (now > midnight)
+    return sure
+
+
+def _certain_exits(boundary: DataFrame, quota: Quota, inside: set[int]) -> DataFrame:
+    """The bucket after each part, of those whose bucket does not depend on earlier parts."""
+
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, key, bucket, last, known = None, None, None, None, False
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            part = int(pdf["_part"].iloc[0])
+            # only the last key's rows matter; an earlier key of the part may be at a boundary too
+            mine = pdf["_key"] == pdf["_key"].iloc[-1]
+            times = pdf.loc[mine, "_at"].to_numpy()
+            if pdf["_key"].iloc[-1] != key:
+                key, bucket, last, known = pdf["_key"].iloc[-1], None, None, part not in inside
+            walked = times if last is None else np.append(last, times)
+            cuts = np.flatnonzero(_certain(walked, quota)) + 1 - (len(walked) - len(times))
+            if len(cuts):
+                times, bucket, known = times[cuts[-1] :], None, True
+            last = times[-1]
+            if known:
+                bucket, *_ = decide_run(bucket, times, quota)
+        if known:
+            yield pd.DataFrame([(part, *bucket)], columns=["part", *Bucket._fields])
+
+    return boundary.mapInPandas(exits, f"part long, {STATE_SCHEMA}")
+
+
+def _walked_exits(
+    boundary: DataFrame, quota: Quota, stretch: dict[int, int], entry: dict[int, tuple[str, tuple]]
+) -> DataFrame:
+    """The bucket after each part of the stretches, every stretch walked in order by one task."""
+    starts = {first: entry[first][1] for first in set(stretch.values())}
+
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, bucket = None, None
+        for pdf in batches:
+            parts, times = pdf["_part"].to_numpy(), pdf["_at"].to_numpy()
+            edges = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
+            done = []
+            for start, end in zip(edges, np.append(edges[1:], len(parts)), strict=True):
+                if parts[start] != part:
+                    if part is not None:
+                        done.append((part, *bucket))
+                    part = int(parts[start])
+                    bucket = Bucket(*starts[part]) if part in starts else bucket
+                bucket, *_ = decide_run(bucket, times[start:end], quota)
+            if done:
+                yield pd.DataFrame(done, columns=["part", *Bucket._fields])
+        if part is not None:
+            yield pd.DataFrame([(part, *bucket)], columns=["part", *Bucket._fields])
+
+    spark = boundary.sparkSession
+    first = local_frame(spark, sorted(stretch.items()), "_part int, _stretch int")  # one row a part
+    walk = boundary.join(F.broadcast(first), "_part").select("_stretch", "_part", "_at")
+    return (
+        walk.repartition("_stretch").sortWithinPartitions("_stretch", "_part", "_at")
+        .mapInPandas(exits, f"part long, {STATE_SCHEMA}")
+    )
+
+
 def _buckets(
     batches: Iterator[pd.DataFrame], quota: Quota, entry: dict[int, tuple[str, tuple]]
 ) -> Iterator[tuple[pd.DataFrame, Bucket]]:
@@ -256,17 +343,6 @@ def _buckets(
         yield pdf.assign(allowed=allowed, retry_after=waits, tokens_left=left), bucket
 
 
-def _exit_buckets(boundary: DataFrame, quota: Quota, entry: dict) -> DataFrame:
-    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for pdf, bucket in _buckets(batches, quota, entry):
-            last = (int(pdf["_part"].iloc[0]), *bucket)
-        if last is not None:
-            yield pd.DataFrame([last], columns=["part", *Bucket._fields])
-
-    return boundary.mapInPandas(exits, f"part long, {STATE_SCHEMA}")
-
-
 def _walk_parts(parts: DataFrame, quota: Quota, entry: dict) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, _ in _buckets(batches, quota, entry):
@@ -307,37 +383,93 @@ def stream_quota(
 ) -> DataFrame:
     """Streaming form of :func:`replay`: decisions per micro-batch, one bucket per key.
 
-    The trigger's batch size bounds how many requests of a key meet at a time. Requests
-    without a key share one. Idle buckets time out on event time; then requests later than
-    the watermark are dropped and counted by the state operator's metrics. Without an idle
-    time there is no time-out, and late requests are decided when they come.
+    Requests without a key share one. The rows of a key that come in one batch are decided in
+    time order: frames are walked one after another, and where there are several they wait in the
+    state store, by number, until the order of all is known, so a task holds one frame and some
+    numbers a request however many there are. Idle buckets time out on event time; then requests
+    later than the watermark are dropped and counted by the state operator's metrics. Without an
+    idle time there is no time-out, and late requests are decided when they come.
     """
     fields = requests.schema.fields
-
-    def update(
-        key_: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        batch = pd.concat(list(frames)).sort_values(["_at", tiebreak], kind="stable")
-        bucket = Bucket(*state.get) if state.exists else None
-        bucket, allowed, waits, left = decide_run(bucket, batch["_at"].to_numpy(), quota)
-        state.update(tuple(bucket))
-        deadline = expires(bucket, quota)
-        if deadline is not None:
-            state.setTimeoutTimestamp(max(deadline // 1000, state.getCurrentWatermarkMs() + 1))
-        yield batch.assign(allowed=allowed, retry_after=waits, tokens_left=left)
-
-    timeout = (
-        GroupStateTimeout.NoTimeout
-        if quota.idle_ttl_seconds is None
-        else GroupStateTimeout.EventTimeTimeout
-    )
     timed = requests.withWatermark(ts, watermark).withColumn("_at", _micros(ts))
     added = [T.StructField("_at", T.LongType()), T.StructField("_key", T.StringType())]
     out = T.StructType([*fields, *added, *_DECISION])
-    decided = timed.withColumn("_key", _key_of(key)).groupBy("_key").applyInPandasWithState(
-        update, out, STATE_SCHEMA, "append", timeout
+    decided = timed.withColumn("_key", _key_of(key)).groupBy("_key").transformWithStateInPandas(
+        Meter(quota, tiebreak, [*requests.columns, "_at", "_key"]), out, "append", "none" if quota.idle_ttl_seconds is None else "eventTime"
     )
     return decided.drop("_at", "_key")
+
+
+class Meter(StatefulProcessor):
+    """One bucket per key, and an event timer that forgets it when it has been idle."""
+
+    def __init__(self, quota: Quota, tiebreak: str, columns: Sequence[str]):
+        self.quota, self.tiebreak, self.columns = quota, tiebreak, list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", STATE_SCHEMA)
+        self.waiting = handle.getMapState("waiting", "number long", "frame binary")
+
+    def handleInputRows(
+        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues
+    ) -> Iterator[pd.DataFrame]:
+        # frames come with names that are no Python identifiers replaced
+        rows = (frame.set_axis(self.columns, axis=1) for frame in rows)
+        first, second = next(rows), next(rows, None)
+        known = self.bucket.get()
+        bucket = Bucket(*known) if known is not None else None
+        if second is None:
+            batch = first.sort_values(["_at", self.tiebreak], kind="stable")
+            after, allowed, waits, left = decide_run(bucket, batch["_at"].to_numpy(), self.quota)
+            yield batch.assign(allowed=allowed, retry_after=waits, tokens_left=left)
+        else:
+            after = yield from self._decide_many(bucket, itertools.chain([first, second], rows))
+        self.bucket.update(tuple(after))
+        # a timer of an earlier batch stays: it looks at the bucket again when it fires
+        deadline = expires(after, self.quota)
+        if deadline is not None and next(iter(self.handle.listTimers()), None) is None:
+            self._wake(deadline, timerValues)
+
+    def _decide_many(self, bucket: Bucket | None, frames: Iterator[pd.DataFrame]):
+        """Decide all requests in order, then hand out the frames as they came; returns the bucket."""
+        sizes, order = [], []
+        for number, frame in enumerate(frames):
+            self.waiting.updateValue((number,), (pickle.dumps(frame),))
+            sizes.append(len(frame))
+            order.append(frame[["_at", self.tiebreak]])
+        order = pd.concat(order, ignore_index=True).sort_values(["_at", self.tiebreak], kind="stable")
+        times, place = order["_at"].to_numpy(), order.index.to_numpy()
+        del order
+        after, *decided = decide_run(bucket, times, self.quota)
+        unsorted = []
+        for values in decided:
+            back = np.empty_like(values)
+            back[place] = values
+            unsorted.append(back)
+        at = 0
+        for number, size in enumerate(sizes):
+            frame = pickle.loads(self.waiting.getValue((number,))[0])
+            self.waiting.removeKey((number,))
+            allowed, waits, left = (v[at : at + size] for v in unsorted)
+            yield frame.assign(allowed=allowed, retry_after=waits, tokens_left=left)
+            at += size
+        return after
+
+    def _wake(self, deadline: int, timerValues: TimerValues) -> None:
+        self.handle.registerTimer(max(deadline // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(
+        self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[pd.DataFrame]:
+        known = self.bucket.get()
+        if known is not None:
+            deadline = expires(Bucket(*known), self.quota)
+            if deadline is not None and deadline // 1000 >= timerValues.getCurrentWatermarkInMs():
+                self._wake(deadline, timerValues)
+            else:
+                self.bucket.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What names a row of each table, for upserts of windows that are still open.
+TIMING_KEYS = ("window_start", "window_end")
+SESSION_KEYS = (*TIMING_KEYS, "protocol_version", "client_name", "client_version")
+CALL_KEYS = (*TIMING_KEYS, "tool", "status")
+
 
 def _windowed(df: DataFrame, ts: str, size: str, watermark: str | None) -> tuple[DataFrame, Column]:
     """The frame with its watermark (streams only) and the window to group by."""

@@ -184,25 +184,69 @@ def test_changed_text(spark):
     assert quality.uncited(spark.createDataFrame([("",), (None,), ("c",)], "_citation string")).count() == 2
 
 
-def test_streamed_windows_equal_closed_batch_windows(spark, tmp_path):
-    """The last file is behind the watermark by then: its row is dropped, the rest counted."""
-    folder = tmp_path / "in"
-    files = [
-        [("2026-01-01 00:10:00", "s", "ok"), ("2026-01-01 00:50:00", "s", "error")],
-        [("2026-01-01 05:10:00", "s", "ok"), ("2026-01-01 05:20:00", "f", "ok")],
-        [("2026-01-01 09:00:00", "f", "ok")],
-        [("2026-01-01 00:20:00", "s", "ok")],
-    ]
-    for rows in files:
-        df = spark.createDataFrame(rows, "at string, tool string, status string").select(
-            F.col("at").cast("timestamp").alias("ts"), "tool", "status",
-            F.when(F.col("status") == "error", "not_found").alias("error_code"),
-            F.lit(7).cast("long").alias("duration_ms"),
-        )
-        df.coalesce(1).write.mode("append").parquet(str(folder))
-    stream = runner.stream_table(spark, str(folder), "*.parquet", files_per_batch=1)
-    got = runner.run_available(windows.call_metrics(stream), "test-calls")
-    rows = sorted((r["window_start"].hour, r["tool"], r["status"], r["calls"], r["errors"], r["total_ms"]) for r in got.collect())
-    assert rows == [(0, "s", "error", 1, 1, 7), (0, "s", "ok", 1, 0, 7), (5, "f", "ok", 1, 0, 7), (5, "s", "ok", 1, 0, 7)]
-    whole = windows.call_metrics(spark.read.parquet(str(folder)))
-    assert whole.count() == 5
+CALL_FILES = [
+    [("2026-01-01 00:10:00", "s", "ok"), ("2026-01-01 00:50:00", "s", "error")],
+    [("2026-01-01 05:10:00", "s", "ok"), ("2026-01-01 05:20:00", "f", "ok")],
+    [("2026-01-01 05:30:00", "s", "ok"), ("2026-01-01 05:31:00", None, "ok")],
+    [("2026-01-01 09:00:00", "f", "ok")],
+    [("2026-01-01 00:20:00", "s", "ok")],
+    [("2026-01-01 09:10:00", "f", "ok")],
+]
+
+
+def _write_calls(spark, folder, rows):
+    df = spark.createDataFrame(rows, "at string, tool string, status string").select(
+        F.col("at").cast("timestamp").alias("ts"), "tool", "status",
+        F.when(F.col("status") == "error", "not_found").alias("error_code"),
+        F.lit(7).cast("long").alias("duration_ms"),
+    )
+    df.coalesce(1).write.mode("append").parquet(folder)
+
+
+def _call_rows(df):
+    return sorted(
+        (r["window_start"].hour, r["tool"] or "", r["status"], r["calls"], r["errors"], r["total_ms"])
+        for r in df.collect()
+    )
+
+
+def test_streamed_windows_equal_batch_windows(spark, tmp_path):
+    """One file per batch; the fifth is behind the watermark by then, so its row is dropped."""
+    folder = str(tmp_path / "in")
+    for rows in CALL_FILES:
+        _write_calls(spark, folder, rows)
+    for snapshot in (2, 50):
+        stream = runner.stream_table(spark, folder, "*.parquet", files_per_batch=1)
+        got = runner.run_upserts(windows.call_metrics(stream), "test-calls", windows.CALL_KEYS, snapshot=snapshot)
+        assert _call_rows(got) == [
+            (0, "s", "error", 1, 1, 7), (0, "s", "ok", 1, 0, 7), (5, "", "ok", 1, 0, 7),
+            (5, "f", "ok", 1, 0, 7), (5, "s", "ok", 2, 0, 14), (9, "f", "ok", 2, 0, 14),
+        ]
+    assert windows.call_metrics(spark.read.parquet(folder)).agg(F.sum("calls")).first()[0] == 9
+
+
+def test_upserts_go_on_and_a_repeated_batch_replaces_its_rows(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "calls")
+
+    def run():
+        stream = runner.stream_table(spark, folder, "*.parquet", files_per_batch=1)
+        return _call_rows(runner.run_upserts(windows.call_metrics(stream), "x", windows.CALL_KEYS, out, 3))
+
+    _write_calls(spark, folder, CALL_FILES[0])
+    assert run() == [(0, "s", "error", 1, 1, 7), (0, "s", "ok", 1, 0, 7)]
+    _write_calls(spark, folder, [("2026-01-01 00:55:00", "s", "ok")])
+    whole = [(0, "s", "error", 1, 1, 7), (0, "s", "ok", 2, 0, 14)]
+    assert run() == whole
+    # the last batch as after a failure between its write and its commit
+    commits = tmp_path / "calls-progress" / "commits"
+    last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (commits / name).unlink(missing_ok=True)
+    assert run() == whole and run() == whole
+
+
+def test_no_input_gives_no_windows(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    _write_calls(spark, folder, [])
+    stream = runner.stream_table(spark, folder, "*.parquet")
+    assert runner.run_upserts(windows.call_metrics(stream), "none", windows.CALL_KEYS).collect() == []

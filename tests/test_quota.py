@@ -4,6 +4,7 @@ import random
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tabulary.streaming import quota, runner
@@ -213,3 +214,97 @@ def test_stream_forgets_idle_keys(spark, tmp_path):
     assert {r["id"]: r["allowed"] for r in got.collect()} == {
         1: True, 2: True, 3: False, 4: True, 5: True,
     }
+
+
+def _jobs(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_replay_takes_as_many_jobs_for_many_parts_as_for_few(spark, many_parts):
+    """One key under steady load: every part depends on the one before it."""
+    limits = Quota(3, 1 / 7, 10**6, None)
+    start = datetime(2026, 1, 1)
+    rows = [(i, "hot", start + timedelta(seconds=2 * i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, key string, ts timestamp")
+    expected, jobs = by_hand(rows, limits), []
+    for parts in (4, 32):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            jobs.append(_jobs(spark, f"replay-{parts}", lambda: decided(quota.replay(df, "key", "ts", "id", limits))))
+            assert decided(quota.replay(df, "key", "ts", "id", limits)) == expected
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert jobs[0] == jobs[1]
+
+
+@pytest.mark.parametrize("limits", [Quota(3, 1 / 600, 5, None), Quota(2, 1 / 7200, 4, 900.0), Quota(1, 1.0, 2, 30.0)])
+def test_a_rest_over_midnight_makes_the_bucket_certain(limits):
+    rng = random.Random(f"{limits}")
+    for _ in range(300):
+        times, at = [], NOON + rng.randrange(20 * 3600) * SECOND
+        for _ in range(40):
+            at += rng.choice((1, 5, 60, 700, 3600, 8 * 3600)) * SECOND
+            times.append(at)
+        times = np.array(times)
+        for cut in np.flatnonzero(quota._certain(times, limits)) + 1:
+            whole, *all_ = quota.decide_run(None, times, limits)
+            fresh, *rest = quota.decide_run(None, times[cut:], limits)
+            assert all((a[cut:] == r).all() for a, r in zip(all_, rest, strict=True))
+
+
+def test_a_key_with_very_many_requests_in_one_batch(spark, tmp_path):
+    """Forty frames of one key, rows out of order: decided in time order, frame by frame."""
+    limits = Quota(5, 1 / 3, 2000, None)
+    n = 40_000
+    spark.range(n).selectExpr(
+        "int(id) as id", "if(id % 50 = 0, concat('k', id % 7), 'hot') as key",
+        f"timestamp_micros({NOON} + (id * 7919 % {n}) * 1000000) as ts", "repeat('x', 100) as payload",
+    ).repartition(3).write.parquet(str(tmp_path / "in"))
+    rows = [(r.id, r.key, r.ts) for r in spark.read.parquet(str(tmp_path / "in")).collect()]
+    stream = runner.stream_table(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=10)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        table = runner.run_available(quota.stream_quota(stream, "key", "ts", "id", limits), "test-many")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert decided(table) == by_hand(rows, limits)
+
+
+def test_frames_wait_in_the_store_and_not_in_the_task():
+    """A million requests of one key, a fifth of a gigabyte: the task keeps some numbers of each."""
+    import pickle
+    import tracemalloc
+
+    class Store(dict):
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def getValue(self, key):
+            return self[key]
+
+        def removeKey(self, key):
+            del self[key]
+
+    meter = quota.Meter(Quota(20, 1.0, 5000, None), "id", ["id", "_at", "payload"])
+    frame = pd.DataFrame({"id": np.arange(10_000), "_at": NOON + np.arange(10_000), "payload": "x" * 200})
+    stored = pickle.dumps(frame)
+
+    class Disk(Store):
+        def updateValue(self, key, value):  # what a frame takes is not the task's
+            self[key] = True
+
+        def getValue(self, key):
+            return (stored,)
+
+    meter.waiting = Disk()
+    tracemalloc.start()
+    made = sum(len(f) for f in meter._decide_many(None, (frame.copy() for _ in range(100))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == 1_000_000 and peak < 200_000_000
