@@ -6,13 +6,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabulary.errors import QueryError
-from tabulary.operators import discovery
+from tabulary.operators import discovery, validation
 from tabulary.operators.counts import labelled_counts
 from tabulary.plans.bindings import CC_BY, REGISTRY
 from tabulary.plans.catalogue import desk, query, table
-from tabulary.session import local_frame
 from tabulary.sources.column_types import column_types
 
 _VISIBLE = {
@@ -273,64 +272,57 @@ def stored_definitions(spark, sf):
     return column_types(events.withColumn("props", broken), "event_id", "props")
 
 
-def _code(check) -> str:
-    try:
-        check()
-    except QueryError as error:
-        return error.code
-    return "ok"
-
-
-#: Rules of request validation: where the offered values stand, the request, and its code.
-#: Values of one table stand where a request needs something else, or something in bounds.
+#: Rules of request validation: where the offered values stand, the request's call and arguments as
+#: SQL over the value v, and its code. Values of one table stand where a request needs something
+#: else, or something in bounds.
+_CLAUSE = """concat('[{"column": "o_custkey", "op": %s}]')"""
 _RULES = {
-    "database": ("sales.region", "r_name", lambda d, v: d.list_tables(v), "'unknown_database'"),
-    "table": ("sales.nation", "n_name", lambda d, v: d.query_table("sales", v), "'unknown_table'"),
+    "database": ("sales.region", "r_name", {"call": "'list_tables'", "database": "v"}, "'unknown_database'"),
+    "table": ("sales.nation", "n_name", {"database": "'sales'", "table": "v"}, "'unknown_table'"),
     "column": (
         "sales.customer", "c_mktsegment",
-        lambda d, v: d.query_table("sales", "orders", columns=[v]), "'unknown_column'",
-    ),
-    "sort": (
-        "sales.orders", "o_orderstatus",
-        lambda d, v: d.query_table("sales", "lineitem", sort=v), "'unknown_column'",
+        {"database": "'sales'", "table": "'orders'", "columns": "to_json(array(v))"}, "'unknown_column'",
     ),
+    "sort": ("sales.orders", "o_orderstatus", {"database": "'sales'", "table": "'lineitem'", "sort": "v"}, "'unknown_column'"),
     "operator": (
         "sales.orders", "o_orderpriority",
-        lambda d, v: d.query_table("sales", "orders", [{"column": "o_custkey", "op": v}]),
-        "'invalid_filter_op'",
+        {"database": "'sales'", "table": "'orders'", "filters": _CLAUSE % """"', v, '\""""}, "'invalid_filter_op'",
     ),
     "bound": (
         "sales.orders", "o_orderstatus",
-        lambda d, v: d.query_table("sales", "orders", [{"column": "o_custkey", "op": "gt", "value": v}]),
-        "'invalid_filter_op'",
+        {"database": "'sales'", "table": "'orders'", "filters": _CLAUSE % """"gt", "value": "', v, '\""""}, "'invalid_filter_op'",
     ),
     "list": (
         "telemetry.events", "event_type",
-        lambda d, v: d.query_table("sales", "orders", [{"column": "o_custkey", "op": "in", "value": v}]),
-        "'invalid_filter_op'",
+        {"database": "'sales'", "table": "'orders'", "filters": _CLAUSE % """"in", "value": "', v, '\""""}, "'invalid_filter_op'",
     ),
     "limit": (
-        "sales.lineitem", "l_linenumber",
-        lambda d, v: d.search("steel", limit=20 * v),
+        "sales.lineitem", "l_linenumber", {"call": "'search'", "query": "'steel'", "limit": "20L * v"},
         "CASE WHEN 20 * l_linenumber <= 100 THEN 'ok' ELSE 'invalid_query' END",
     ),
     "page": (
-        "sales.lineitem", "l_linenumber",
-        lambda d, v: d.query_table("sales", "orders", limit=40 * v),
+        "sales.lineitem", "l_linenumber", {"database": "'sales'", "table": "'orders'", "limit": "40L * v"},
         "CASE WHEN 40 * l_linenumber <= 200 THEN 'ok' ELSE 'invalid_filter_op' END",
     ),
-    "search": ("corpus.documents", "lang", lambda d, v: d.search("x", databases=[v]), "'unknown_database'"),
-    "phrase": (
-        "corpus.documents", "lang", lambda d, v: d.search(" " * len(v)), "'invalid_query'",
+    "search": (
+        "corpus.documents", "lang", {"call": "'search'", "query": "'x'", "databases": "to_json(array(v))"}, "'unknown_database'",
     ),
+    "phrase": ("corpus.documents", "lang", {"call": "'search'", "query": "repeat(' ', length(v))"}, "'invalid_query'"),
     "fetch": (
-        "corpus.documents", "lang", lambda d, v: d.fetch("sales", "customer", v),
+        "corpus.documents", "lang", {"call": "'fetch'", "database": "'sales'", "table": "'customer'", "url": "v"},
         "'unsupported_table_for_fetch'",
     ),
-    "missing": ("corpus.documents", "lang", lambda d, v: d.fetch("corpus", "pages", v), "'not_found'"),
+    "missing": (
+        "corpus.documents", "lang", {"call": "'fetch'", "database": "'corpus'", "table": "'pages'", "url": "v"}, "'not_found'",
+    ),
 }
 
 
+def _codes(spark, sf, requests):
+    served = desk(spark, sf)
+    return validation.request_codes(requests, served.registry, served.open)
+
+
 @query(
     " UNION ALL ".join(
         f"SELECT '{rule}' AS rule, CAST(v AS VARCHAR) AS value, code FROM (SELECT DISTINCT {column} AS v, "
@@ -340,9 +332,117 @@ _RULES = {
 )
 def validation_codes(spark, sf):
     """The code that each distinct value meets where a request may not have it."""
-    served, found = desk(spark, sf), []
-    for rule, (name, column, request, _) in _RULES.items():
-        offered = table(spark, sf, name).select(column).filter(F.col(column).isNotNull()).distinct()
-        for (value,) in offered.toLocalIterator():
-            found.append((rule, str(value), _code(lambda r=request, v=value: r(served, v))))
-    return local_frame(spark, found, "rule string, value string, code string")
+    offered, arguments = [], T.StructType.fromDDL(validation.REQUEST)
+    for rule, (name, column, given, _) in _RULES.items():
+        values = table(spark, sf, name).select(F.col(column).alias("v")).filter("v IS NOT NULL").distinct()
+        given = {"call": "'query_table'"} | given
+        offered.append(values.select(
+            F.lit(rule).alias("rule"), F.col("v").cast("string").alias("value"),
+            *[F.expr(given.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in arguments],
+        ))
+    return _codes(spark, sf, reduce(DataFrame.unionByName, offered)).select("rule", "value", "code")
+
+
+def _turns(step: int, values: list[str | None]) -> str:
+    """SQL: one of the values by turns, changing every ``step`` events."""
+    arms = " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else "'" + v.replace("'", "''") + "'") for i, v in enumerate(values))
+    return f"CASE CAST(floor(event_id / {step}) AS BIGINT) % {len(values)} {arms} END"
+
+
+def _filter(column: str, op: str, value: str | None = None, more: str = "") -> str:
+    value = "" if value is None else f', "value": {value}'
+    return f'[{{"column": "{column}", "op": "{op}"{value}{more}}}]'
+
+
+#: Offered clauses on the order number, and whether they fit where that column may be named.
+_OFFERED = {
+    _filter("o_custkey", "gt", "5"): True, _filter("o_custkey", "gt", '"12"'): True,
+    _filter("o_custkey", "gte", '"abc"'): False, _filter("o_custkey", "lt", "3.99"): False,
+    _filter("o_custkey", "lte", "true"): False, _filter("o_custkey", "gt"): False,
+    _filter("o_custkey", "gt", "null"): False, _filter("o_custkey", "contains"): False,
+    _filter("o_custkey", "isnull"): True, _filter("o_custkey", "notnull", '"x"'): True,
+    _filter("o_custkey", "in", "[1, 2.5, \"3\"]"): True, _filter("o_custkey", "notin", "[]"): True,
+    _filter("o_custkey", "in", "7"): False, _filter("o_custkey", "in", "[[1]]"): False,
+    _filter("o_custkey", "notin", "[1, null]"): False,
+}
+#: Clauses that no table takes, whatever their column.
+_MISSHAPEN = [
+    _filter("o_custkey", "regex", '".*"'), _filter("o_custkey", "gt", "5", ', "not": true'),
+    '[{"op": "isnull"}]', '["o_custkey"]', "oops",
+]
+_TABLES = ["orders", "lineitem", "orders", "documents", "labels", "embeddings", "nowhere", "orders"]
+_FILTERS = [None, "[]", *_OFFERED, *_MISSHAPEN]
+_SORTS = [None, "o_custkey", "-o_totalprice", "l_orderkey", "nothing", "o_orderkey"]
+_POSITIONS = [None, None, "[1]", "[1, 2]", "[]", "broken"]
+#: The arguments of the request that an event is read as; Spark and the oracle build them alike.
+_ASKED = {
+    "event_id": "event_id",
+    "call": "CASE event_type WHEN 'click' THEN 'search' WHEN 'purchase' THEN 'fetch' WHEN 'signup' THEN 'list_tables' "
+    "WHEN 'error' THEN 'describe_table' ELSE 'query_table' END",
+    "database": _turns(1, ["sales", "sales", "corpus", "sales", "telemetry", "SALES", "sales", None]),
+    "table": _turns(3, _TABLES),
+    "filters": _turns(5, _FILTERS),
+    "sort": _turns(2, _SORTS),
+    "limit": "CASE WHEN event_id % 4 = 3 THEN event_id % 211 ELSE 50 END",
+    "columns": _turns(7, [None, None, None, '["o_custkey"]', '["o_custkey", "l_orderkey"]']),
+    "position": _turns(11, _POSITIONS),
+    "query": _turns(3, ["steel", "data", " ", "", None]),
+    "databases": _turns(13, [None, "[]", '["telemetry"]', '["sales", "corpus"]', '["sales", "none"]', "corpus"]),
+    "url": "CAST(event_id % 3000 AS VARCHAR(20))",
+}
+_REQUESTS = "SELECT " + ", ".join(f'{sql} AS "{name}"' for name, sql in _ASKED.items()) + " FROM events"
+
+
+def _request_codes_sql() -> str:
+    """The same codes from lists of names, written out for the tables that requests name."""
+    spec = {t: REGISTRY.any_table(d, t) for d, t in (("sales", "orders"), ("sales", "lineitem"), ("corpus", "documents"))}
+    listed = ", ".join
+    fit = listed(f"('{f}', {str(ok).lower()})" for f, ok in _OFFERED.items())
+    misshapen = listed(f"('{f}')" for f in _MISSHAPEN)
+    orders = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    assert spec["orders"].key == ("o_orderkey",) and len(spec["lineitem"].key) == 11
+    return f"""
+WITH r AS ({_REQUESTS}),
+fits AS (SELECT * FROM (VALUES {fit}) t(f, ok)), misshapen AS (SELECT * FROM (VALUES {misshapen}) t(f)),
+w AS (
+  SELECT r.*, ltrim(sort, '-') AS sorted_by, coalesce("limit" BETWEEN 1 AND 200, true) AS paged,
+    filters IN (SELECT f FROM misshapen) AS bad_shape, fits.f IS NOT NULL AS has_filter, coalesce(fits.ok, true) AS fit,
+    CASE WHEN database IS NULL OR database NOT IN ('sales', 'corpus', 'telemetry') THEN 'unknown_database'
+      WHEN NOT ((database = 'sales' AND "table" IN ('orders', 'lineitem')) OR (database = 'corpus' AND "table" = 'documents'))
+      THEN 'unknown_table' END AS no_table,
+    CASE WHEN columns LIKE '%l_orderkey%' THEN 2 WHEN columns IS NOT NULL THEN 1 ELSE 0 END AS named
+  FROM r LEFT JOIN fits ON r.filters = fits.f
+),
+c AS (
+  SELECT *, CASE
+    WHEN NOT paged OR coalesce(bad_shape, false) THEN 'invalid_filter_op'
+    WHEN no_table IS NOT NULL THEN no_table
+    WHEN "table" <> 'orders' AND (has_filter OR sorted_by IS NOT NULL OR named > 0) THEN 'unknown_column'
+    WHEN sorted_by NOT IN ({listed(f"'{c}'" for c in orders)}) OR named = 2 THEN 'unknown_column'
+    WHEN NOT fit THEN 'invalid_filter_op'
+    WHEN position IS NOT NULL AND (position = 'broken' OR json_array_length(position) <>
+      CASE "table" WHEN 'lineitem' THEN 11 WHEN 'documents' THEN 1 ELSE CASE WHEN sorted_by IS NULL OR sorted_by = 'o_orderkey' THEN 1 ELSE 2 END END)
+      THEN 'invalid_cursor'
+    ELSE 'ok' END AS page_code,
+    trim(coalesce(query, '')) <> '' AND "limit" BETWEEN 1 AND 100 AS phrased
+  FROM w
+)
+SELECT event_id, call, CASE call
+    WHEN 'list_tables' THEN CASE WHEN no_table = 'unknown_database' THEN no_table ELSE 'ok' END
+    WHEN 'describe_table' THEN coalesce(no_table, 'ok')
+    WHEN 'query_table' THEN page_code
+    WHEN 'fetch' THEN coalesce(no_table, CASE WHEN "table" <> 'orders' THEN 'unsupported_table_for_fetch'
+      WHEN url NOT IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders) THEN 'not_found' ELSE 'ok' END)
+    ELSE CASE WHEN NOT phrased THEN 'invalid_query' WHEN databases LIKE '%none%' OR databases = 'corpus' THEN 'unknown_database' ELSE 'ok' END
+  END AS code,
+  CASE WHEN call = 'search' AND phrased AND coalesce(databases NOT LIKE '%none%' AND databases <> 'corpus', true) THEN
+    CASE WHEN databases LIKE '%telemetry%' THEN 0 ELSE 5 END END::BIGINT AS searched
+FROM c"""
+
+
+@query(_request_codes_sql())
+def request_codes(spark, sf):
+    """Every event read as a request: the code its caller sees, and how many tables a search covers."""
+    events = table(spark, sf, "telemetry.events")
+    requests = events.selectExpr(*[f"{sql} AS `{name}`" for name, sql in _ASKED.items()])
+    return _codes(spark, sf, requests).select("event_id", "call", "code", "searched")
