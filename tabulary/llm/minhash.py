@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulary.llm.words import grouped, mix, shingle_hashes
+from tabulary.session import local_frame
 
 #: Bins of a fingerprint, a power of two; bits kept of each bin; words of a shingle.
 BINS = 512
@@ -147,29 +148,29 @@ def in_sequence(docs: DataFrame, key: str, parts: int) -> DataFrame:
     recomputed task meets the same rows; one row per part comes to the driver. After the last
     row of all comes the first.
     """
-    cuts = docs.select(
-        F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts)
-        if parts > 1
-        else F.array().cast("array<bigint>")
-    ).first()[0]
+    # spelled out as text: thousands of parts are then still one literal each, not as many calls
+    shares = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
+    cuts = docs.select(F.expr(f"percentile_approx({key}, array({shares}), {20 * parts})")).first()[0] if parts > 1 else []
     cuts = sorted(set(cuts or []))
     part: Column = F.lit(0)
     if cuts:
-        known = F.array(*[F.lit(c) for c in cuts])
+        known = F.expr("array(" + ", ".join(f"bigint({c})" for c in cuts) + ")")
         part = F.coalesce(F.size(F.filter(known, lambda c: c <= F.col(key))), F.lit(0))
         part = F.when(F.col(key).isNull(), 0).otherwise(part)
     placed = docs.withColumn("part", part)
     tops = sorted(placed.groupBy("part").agg(F.max(key).alias("top")).collect(), reverse=True,
                   key=lambda r: r.part)
+    # for the first part: the last one, which it follows in a ring; one row a part
+    ring = local_frame(
+        docs.sparkSession, [(r.part, r.top, tops[i - 1].part) for i, r in enumerate(tops)],
+        "_part int, _top long, _before int",
+    )
     here = F.struct(F.col("part"), F.lit(False).alias("next_part"))
-    copies = F.array(here)
-    for i, row in enumerate(tops):
-        before = tops[i - 1].part  # for the first part: the last one, which it follows in a ring
-        there = F.struct(F.lit(before).alias("part"), F.lit(True).alias("next_part"))
-        copies = F.when(
-            (F.col("part") == row.part) & F.col(key).eqNullSafe(F.lit(row.top)), F.array(here, there)
-        ).otherwise(copies)
-    dealt = placed.select(F.explode(copies).alias("at"), *[c for c in docs.columns])
+    there = F.struct(F.col("_before").alias("part"), F.lit(True).alias("next_part"))
+    first = F.col(key).eqNullSafe(F.col("_top"))
+    dealt = placed.join(F.broadcast(ring), F.col("part") == F.col("_part")).select(
+        F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))).alias("at"), *docs.columns
+    )
     return (
         dealt.select("at.part", "at.next_part", *docs.columns)
         .repartitionById(len(cuts) + 1, F.col("part"))

@@ -49,7 +49,8 @@ SMOOTHING = 4.0
 SAMPLE = 500
 REDACTED = "[redacted]"
 
-_PIECE = 256
+#: Values of one array that are folded at a time.
+_PIECE = 128
 
 
 @dataclass(frozen=True)
@@ -147,23 +148,39 @@ def labelled_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return words.union(made.select("token", "label"))
 
 
-def _running_total(lengths: Column) -> Column:
-    """The sum of all lengths before each one, by pieces, so that long arrays stay near linear."""
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / _PIECE) - 1, F.lit(0)).cast("int"))
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0), lambda s, x: s + x)
-
-    whole = F.transform(starts, lambda k: total(F.slice(lengths, k * _PIECE + 1, _PIECE)))
-    return F.flatten(
-        F.transform(
-            starts,
-            lambda k: F.transform(
-                F.slice(lengths, k * _PIECE + 1, _PIECE),
-                lambda x, i: total(F.slice(whole, 1, k)) + total(F.slice(lengths, k * _PIECE + 1, i)),
-            ),
+def _scan(values: Column, zero: Column, op) -> Column:
+    """For each value what ``op``, which is associative, makes of all values before it.
+
+    By pieces: folding within each, then over the pieces' totals, so that long arrays cost little
+    more than their length.
+    """
+    def before(piece: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(
+            piece, start,
+            lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+            lambda s: s["out"],
         )
-    )
+
+    def whole(held: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(held) / _PIECE) - 1, F.lit(0)).cast("int"))
+        pieces = F.transform(starts, lambda k: F.slice(held, k * _PIECE + 1, _PIECE))
+        totals = F.transform(pieces, lambda p: F.aggregate(p, zero, op))
+        return F.flatten(F.zip_with(
+            F.transform(pieces, before), before(totals), lambda piece, base: F.transform(piece, lambda x: op(base, x))
+        ))
+
+    # as the variable of a function the values are computed once, and not for every piece
+    return _let(values, whole)
+
+
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def _running_total(lengths: Column) -> Column:
+    """The sum of all lengths before each one."""
+    return _scan(lengths, F.lit(0), lambda a, b: a + b)
 
 
 def _hits(text: Column, pattern: str) -> Column:
@@ -221,6 +238,28 @@ def _looks_random(token: Column, ratios: list[Column]) -> Column:
     return F.when(mixed & varied, best >= ODDS).otherwise(False)
 
 
+def _apart(base: Column, tokens: Column) -> Column:
+    """The tokens that overlap no base span, from one pass over both by start."""
+    last = F.lit(2**31 - 1)
+    token = F.lit(KINDS[-1])
+
+    def placed(events: Column) -> Column:
+        ends = F.transform(events, lambda e: F.when(e["kind"] == token, 0).otherwise(e["end"]))
+        starts = F.reverse(F.transform(events, lambda e: F.when(e["kind"] == token, last).otherwise(e["start"])))
+        upto = _scan(ends, F.lit(0), lambda a, b: F.greatest(a, b))
+        after = F.reverse(_scan(starts, last, lambda a, b: F.least(a, b)))
+        return F.zip_with(
+            F.zip_with(events, upto, lambda e, end: F.struct(e.alias("span"), end.alias("end"))), after,
+            lambda p, start: F.struct(p["span"].alias("span"), p["end"].alias("end"), start.alias("start")),
+        )
+
+    free = F.filter(
+        _let(F.sort_array(F.concat(base, tokens)), placed),
+        lambda p: (p["span"]["kind"] == token) & (p["end"] <= p["span"]["start"]) & (p["start"] >= p["span"]["end"]),
+    )
+    return F.transform(free, lambda p: p["span"])
+
+
 def scan(docs: DataFrame, chains: Chains, text: str = "text", out: str = "secrets") -> DataFrame:
     """``docs`` with the spans of each text as ``out``: an array of (start, rank, end, kind, value).
 
@@ -235,11 +274,9 @@ def scan(docs: DataFrame, chains: Chains, text: str = "text", out: str = "secret
     df = _find(df, "hex", "_text", HEX, lambda s: F.lit(True))
     df = df.withColumn("_base", F.concat("_assign", "_access", "_hex"))
     ratios = chains.columns()
-    df = _find(
-        df, "random", "_text", TOKEN,
-        lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        & _looks_random(s["value"], ratios),
-    )
+    df = _find(df, "random", "_text", TOKEN, lambda s: F.lit(True))
+    df = df.withColumn("_free", F.when(F.size("_base") == 0, F.col("_random")).otherwise(_apart(F.col("_base"), F.col("_random"))))
+    df = df.withColumn("_random", F.filter("_free", lambda s: _looks_random(s["value"], ratios)))
     return df.select(*kept, F.sort_array(F.concat("_base", "_random")).alias(out))
 
 

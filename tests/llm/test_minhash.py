@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -126,3 +127,11 @@ def test_fingerprint_column_keeps_other_columns(spark):
     assert rows[0].fingerprint and rows[1].fingerprint == "" and rows[1].text is None
     with pytest.raises(ValueError, match="already has"):
         minhash.fingerprint_column(frame, out="fingerprints")
+
+
+def test_the_plan_of_thousands_of_parts(spark):
+    """Planned only: so many ranges make one small join, not one condition each."""
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'t' as text")
+    started = time.perf_counter()
+    plan = minhash.in_sequence(docs, "doc_id", 5000)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and time.perf_counter() - started < 60

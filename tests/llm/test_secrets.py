@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,25 @@ def test_query(spark, sf):
         joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
         assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [s for s in row.spans.split(",") if s and s[:6] != "random"] == [s for s in joined.split(",") if s]
+
+
+def test_a_text_with_very_many_hits(spark):
+    """Positions in time that grows with the text: 200,000 hits, and tokens between and over them."""
+    n = 200_000
+    texts = {
+        1: "token=abcdef " * n,
+        2: ("k" * 9 + "A1b2C3d4E5f6G7h8I9j0 secret=ghijkl ") * 20_000,
+        3: "password=A1b2C3d4E5f6G7h8I9j0K1l2M3n4 " * 5,
+    }
+    chains = secrets.train(secrets.labelled_samples(
+        spark.createDataFrame([(i, "ordinary words for the model of identifiers") for i in range(40)], "doc_id long, text string")
+    ))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    started = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.scan(docs, chains).selectExpr(
+        "doc_id", "size(secrets) as n", "secrets[0].start as first", "element_at(secrets, -1).start as last",
+        "size(filter(secrets, s -> s.kind = 'random')) as random").collect()}
+    assert time.perf_counter() - started < 120
+    assert (got[1].n, got[1].first, got[1].last) == (n, 0, 13 * (n - 1))
+    assert got[2].n - got[2].random == 20_000
+    assert (got[3].n, got[3].random) == (5, 0)
