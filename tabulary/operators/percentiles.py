@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,19 +12,60 @@ from tabulary.operators.sizing import few_rows, hinted
 from tabulary.session import ensure_checkpoint_dir
 
 _ACCURACY = 10_000
+#: Steps of the quantiles between which a rank is looked for.
+_STEPS = 500
+#: Values among which a rank is found by sorting them.
+SMALL = 10_000
 
 
-def _cut_points(ps: Sequence[float]) -> list[float]:
-    """Shares just below and above each percentile, between which its rank should fall."""
-    margin = 2.0 / _ACCURACY
-    edges = {min(1.0, max(0.0, p + d)) for p in ps for d in (-margin, margin)}
-    return sorted(edges)
+def _quantiles() -> Column:
+    shares = ", ".join(f"{i / _STEPS!r}D" for i in range(_STEPS + 1))
+    return F.expr(f"percentile_approx(_v, array({shares}), {_ACCURACY})").alias("_q")
 
 
-def _zone(value: Column, cuts: Column, n: int) -> Column:
-    """How many cut points lie at or below the value: grows with the value."""
-    passed = [F.when(F.get(cuts, F.lit(i)) <= value, 1).otherwise(0) for i in range(n)]
-    return reduce(add, passed)
+def _cuts(goals: DataFrame) -> DataFrame:
+    """``goals`` with two of their quantiles, between which the rank should fall."""
+    at = F.floor(F.col("_rest") / F.col("_c") * _STEPS).cast("int")
+    return goals.withColumns(
+        {
+            "_c1": F.get("_q", F.greatest(at - 1, F.lit(0))),
+            "_c2": F.get("_q", F.least(at + 2, F.lit(_STEPS))),
+        }
+    ).drop("_q")
+
+
+def _candidates(values: DataFrame, goals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each goal's values: those of its key strictly between its bounds."""
+    named = goals.select(
+        *[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in goals.columns if c not in keys]
+    )
+    inside = (F.col("_lo").isNull() | (F.col("_v") > F.col("_lo"))) & (
+        F.col("_hi").isNull() | (F.col("_v") < F.col("_hi"))
+    )
+    for k in keys:
+        inside = inside & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    return values.join(hinted(named, few_rows(named)), inside).drop(*[f"_g_{k}" for k in keys])
+
+
+def _narrowed(values: DataFrame, goals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The goals with the zone (below, at, between, at, above the cuts) that holds their rank."""
+    v, c1, c2 = F.col("_v"), F.col("_c1"), F.col("_c2")
+    zone = sum(((v >= c1), (v > c1), (v >= c2), (v > c2))[i].cast("int") for i in range(4))
+    goal = [*keys, "p", "_rest", "_lo", "_hi", "_c1", "_c2"]
+    counted = _candidates(values, goals, keys).groupBy(*goal, zone.alias("_z")).agg(F.count("*").alias("_n"))
+    # five zones a goal at most
+    earlier = Window.partitionBy(*keys, "p").orderBy("_z").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    held = counted.withColumn("_before", before).filter(
+        (F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_before") + F.col("_n"))
+    )
+    z = F.col("_z")
+    return held.select(
+        *keys, "p", (F.col("_rest") - F.col("_before")).alias("_rest"), F.col("_n").alias("_c"),
+        F.when(z == 2, c1).when(z == 4, c2).otherwise(F.col("_lo")).alias("_lo"),
+        F.when(z == 0, c1).when(z == 2, c2).otherwise(F.col("_hi")).alias("_hi"),
+        F.when((z == 1) | ((z == 2) & (c1 == c2)), c1).when(z == 3, c2).alias("value"),
+    )
 
 
 def exact_percentiles(
@@ -33,71 +73,44 @@ def exact_percentiles(
 ) -> DataFrame:
     """(keys, p, value): the item at index ``int(p * n)`` of the sorted values, p below 1.
 
-    Three column-pruned scans, each combined before its shuffle: approximate quantiles
-    give cut points, exact counts per zone tell which zone holds each rank, and only that
-    zone's distinct values are ranked. The answer is exact however far off the
-    approximation is; it only decides how small the last zone is. The cut points are
-    stored first, because a recomputed approximation need not cut at the same values.
+    Column-pruned scans, each combined before its shuffle. Approximate quantiles cut the values;
+    exact counts below, at, between and above two cuts tell which zone holds the rank; and the same
+    is done within that zone, until it is a single value or has ``SMALL`` values at most, which are
+    sorted. A round leaves about one value in two hundred. The answer is exact however far off the
+    approximation is; it only decides how much is left. The cuts are stored first, because a
+    recomputed approximation need not cut at the same values.
     """
     if not ps or not all(0.0 <= p < 1.0 for p in ps):
         raise ValueError("percentiles lie in [0, 1)")
     keys = list(keys)
-    shares = _cut_points(ps)
+    ensure_checkpoint_dir(df.sparkSession)
     values = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    sketch = values.groupBy(*keys).agg(
-        F.percentile_approx("_v", shares, _ACCURACY).alias("_cuts")
-    )
-    if keys:
-        ensure_checkpoint_dir(df.sparkSession)
-        renamed = sketch.select(
-            *[F.col(k).alias(f"_s_{k}") for k in keys], "_cuts"
-        ).checkpoint()
-        few = few_rows(renamed)
-        same = reduce(
-            lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]
+    unbounded = F.lit(None).cast("double")
+    whole = values.groupBy(*keys).agg(F.count("*").alias("_c"), _quantiles()).filter("_c > 0")
+    goals = _cuts(
+        whole.select("*", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p")).withColumns(
+            {"_rest": F.floor(F.col("p") * F.col("_c")) + 1, "_lo": unbounded, "_hi": unbounded}
         )
-        zoned = values.join(hinted(renamed, few), same)
-    else:
-        cuts = sketch.first()["_cuts"] or []  # one row of a few numbers
-        zoned = values.withColumn("_cuts", F.array(*[F.lit(c) for c in cuts]))
-        few = True  # one goal per percentile
-    zoned = zoned.select(*keys, "_v", _zone(F.col("_v"), F.col("_cuts"), len(shares)).alias("_z"))
-
-    sizes = zoned.groupBy(*keys, "_z").agg(F.count("*").alias("_c"))
-    all_zones = Window.partitionBy(*keys)
-    earlier = all_zones.orderBy("_z").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.select(
-        *keys,
-        "_z",
-        "_c",
-        F.sum("_c").over(all_zones).alias("_n"),
-        F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
-    )
-    ranked = placed.select(
-        "*", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p")
-    ).withColumn("_rank", F.floor(F.col("p") * F.col("_n")) + 1)
-    held = ranked.filter(
-        (F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_c"))
-    )
-    goal = held.select(
-        *[F.col(k).alias(f"_g_{k}") for k in keys],
-        F.col("_z").alias("_g_z"),
-        "p",
-        (F.col("_rank") - F.col("_before")).alias("_rest"),
-    )
-    same = F.col("_z") == F.col("_g_z")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    distinct = (
-        zoned.join(hinted(goal, few), same).groupBy(*keys, "p", "_rest", "_v").agg(F.count("*").alias("_c"))
-    )
+    ).checkpoint()
+    found = []
+    while goals.filter(F.col("_c") > SMALL).limit(1).count():
+        placed = _narrowed(values, goals, keys).checkpoint()
+        found.append(placed.filter("value IS NOT NULL").select(*keys, "p", "value"))
+        goals = placed.filter("value IS NULL").drop("value")
+        if not goals.filter(F.col("_c") > SMALL).limit(1).count():
+            break
+        cut = _candidates(values, goals, keys).groupBy(*keys, "p", "_rest", "_c", "_lo", "_hi").agg(_quantiles())
+        goals = _cuts(cut).checkpoint()
+    distinct = _candidates(values, goals, keys).groupBy(*keys, "p", "_rest", "_v").agg(F.count("*").alias("_n"))
+    # SMALL values a goal at most
     upto = Window.partitionBy(*keys, "p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        distinct.withColumn("_upto", F.sum("_c").over(upto))
+    last = (
+        distinct.withColumn("_upto", F.sum("_n").over(upto))
         .filter("_upto >= _rest")
         .groupBy(*keys, "p")
         .agg(F.min("_v").alias("value"))
     )
+    return reduce(DataFrame.unionByName, found, last)
 
 
 def percentile_row(df: DataFrame, value: str, ps: Sequence[float]) -> DataFrame:

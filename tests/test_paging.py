@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulary.errors import QueryError
@@ -68,7 +69,6 @@ def test_a_late_page_reads_text_of_its_keys_only(spark, sf):
     assert plan.count("FileScan") == 1
 
 
-
 def test_every_row_gets_the_page_a_walk_would_show_it_on(rows):
     keys = paging.sort_keys("-v", ["id"])
     pages = walk(rows, keys, 10)
@@ -121,3 +121,36 @@ def test_numbering_keeps_null_keys(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, "a")], "id int, k string")
     got = {r["id"]: r["position"] for r in number_rows(df, [F.col("id").asc()], ["k"]).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "timestamp", "array<int>"])
+def test_numbering_within_keys_of_any_kind(spark, many_parts, kind):
+    """Hot, null and NaN keys over many parts."""
+    key = {
+        "string": "if(id % 3 = 0, 'hot', if(id % 11 = 0, null, concat('k', id % 40)))",
+        "double": "if(id % 3 = 0, double('NaN'), if(id % 11 = 0, null, double(id % 40)))",
+        "timestamp": "if(id % 3 = 0, timestamp'2026-01-01', if(id % 11 = 0, null, timestamp_seconds(id % 40)))",
+        "array<int>": "if(id % 3 = 0, array(1, null), if(id % 11 = 0, null, array(int(id % 40))))",
+    }[kind]
+    df = spark.range(3000).selectExpr("id", f"{key} as k", "id * 7919 % 3001 as v")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r["id"]: r["position"] for r in number_rows(df, [F.col("v").desc()], ["k"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    window = Window.partitionBy("k").orderBy(F.col("v").desc())
+    expected = {r["id"]: r["n"] for r in df.withColumn("n", F.row_number().over(window)).collect()}
+    assert got == expected
+
+
+def test_numbering_exchanges_the_rows_once(spark):
+    """What is read back is joined with one row per part and never shuffled or windowed again."""
+    df = spark.range(1000).selectExpr("id", "id % 5 as k", "repeat('x', 10) as payload")
+    numbered = number_rows(df, [F.col("id").asc()], ["k"])
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    rows_side = plan.split("+- ")[0:1] + [line for line in plan.splitlines() if "payload" in line]
+    assert not any("Window" in line or "Repartition" in line for line in rows_side)
+    physical = numbered._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in physical
+    assert not any("payload" in line and ("Exchange" in line or "Sort" in line) for line in physical.splitlines())

@@ -11,6 +11,13 @@ from tabulary.operators.percentiles import exact_percentiles, percentile_row
 PS = (0.0, 0.01, 0.5, 0.9, 0.95, 0.999)
 
 
+@pytest.fixture(autouse=True, params=[30, 10_000])
+def small(request, monkeypatch):
+    """How many values may be sorted: with few of them, several rounds narrow the rest."""
+    monkeypatch.setattr(percentiles, "SMALL", request.param)
+    return request.param
+
+
 def expected(values, p):
     return sorted(values)[int(p * len(values))]
 
@@ -42,14 +49,26 @@ def test_groups_one_of_them_hot(spark):
     assert got == {(k, p): expected(vs, p) for k, vs in groups.items() for p in PS}
 
 
-def test_a_poor_sketch_changes_nothing(spark, monkeypatch):
+def test_a_poor_sketch_changes_nothing(spark, monkeypatch, small):
     monkeypatch.setattr(percentiles, "_ACCURACY", 2)
+    monkeypatch.setattr(percentiles, "SMALL", max(small, 400))
     values = [float(i * 7919 % 1000) for i in range(1000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = {r["p"]: r["value"] for r in exact_percentiles(df, "v", (0.5, 0.95)).collect()}
     assert got == {0.5: 500.0, 0.95: 950.0}
 
 
+def test_only_small_groups_are_sorted(spark, small):
+    """The last window sees at most as many values a goal as may be sorted."""
+    df = spark.range(60_000).selectExpr("double(id * 7919 % 60000) as v", "id % 3 as k")
+    found = exact_percentiles(df, "v", (0.25, 0.75), ["k"])
+    groups = {}
+    for i in range(60_000):
+        groups.setdefault(i % 3, []).append(float(i * 7919 % 60000))
+    got = {(r["k"], r["p"]): r["value"] for r in found.collect()}
+    assert got == {(k, p): expected(vs, p) for k, vs in groups.items() for p in (0.25, 0.75)}
+
+
 def test_no_samples_give_zero(spark):
     empty = spark.createDataFrame([(None,)], "v double")
     assert exact_percentiles(empty, "v", (0.5,)).count() == 0
