@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,20 +19,19 @@ _STEPS = 500
 SMALL = 10_000
 
 
-def _quantiles() -> Column:
+def _cut_by(turn: int) -> list[Column]:
+    """Aggregates of a goal's values: quantiles, and one value by chance, which halves on average."""
     shares = ", ".join(f"{i / _STEPS!r}D" for i in range(_STEPS + 1))
-    return F.expr(f"percentile_approx(_v, array({shares}), {_ACCURACY})").alias("_q")
+    chance = F.min_by("_v", F.xxhash64("_v", F.lit(turn)))
+    return [F.expr(f"percentile_approx(_v, array({shares}), {_ACCURACY})").alias("_q"), chance.alias("_any")]
 
 
 def _cuts(goals: DataFrame) -> DataFrame:
-    """``goals`` with two of their quantiles, between which the rank should fall."""
+    """``goals`` with their cuts in order: two quantiles between which the rank should fall, and one more."""
     at = F.floor(F.col("_rest") / F.col("_c") * _STEPS).cast("int")
-    return goals.withColumns(
-        {
-            "_c1": F.get("_q", F.greatest(at - 1, F.lit(0))),
-            "_c2": F.get("_q", F.least(at + 2, F.lit(_STEPS))),
-        }
-    ).drop("_q")
+    near = [F.get("_q", F.greatest(at - 1, F.lit(0))), F.get("_q", F.least(at + 2, F.lit(_STEPS)))]
+    cuts = F.array_sort(F.array_distinct(F.array(*near, F.col("_any"))))
+    return goals.withColumn("_cuts", cuts).drop("_q", "_any")
 
 
 def _candidates(values: DataFrame, goals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -48,23 +48,23 @@ def _candidates(values: DataFrame, goals: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def _narrowed(values: DataFrame, goals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The goals with the zone (below, at, between, at, above the cuts) that holds their rank."""
-    v, c1, c2 = F.col("_v"), F.col("_c1"), F.col("_c2")
-    zone = sum(((v >= c1), (v > c1), (v >= c2), (v > c2))[i].cast("int") for i in range(4))
-    goal = [*keys, "p", "_rest", "_lo", "_hi", "_c1", "_c2"]
-    counted = _candidates(values, goals, keys).groupBy(*goal, zone.alias("_z")).agg(F.count("*").alias("_n"))
-    # five zones a goal at most
+    """The goals with the zone that holds their rank: at a cut (odd), or below, between or above them."""
+    v, cuts = F.col("_v"), F.col("_cuts")
+    passed = [F.coalesce(test.cast("int"), F.lit(0)) for i in range(3) for test in (F.get(cuts, F.lit(i)) <= v, F.get(cuts, F.lit(i)) < v)]
+    goal = [*keys, "p", "_rest", "_lo", "_hi", "_cuts"]
+    counted = _candidates(values, goals, keys).groupBy(*goal, reduce(add, passed).alias("_z")).agg(F.count("*").alias("_n"))
+    # seven zones a goal at most
     earlier = Window.partitionBy(*keys, "p").orderBy("_z").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
     held = counted.withColumn("_before", before).filter(
         (F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_before") + F.col("_n"))
     )
-    z = F.col("_z")
+    z, half = F.col("_z"), F.floor(F.col("_z") / 2).cast("int")
     return held.select(
         *keys, "p", (F.col("_rest") - F.col("_before")).alias("_rest"), F.col("_n").alias("_c"),
-        F.when(z == 2, c1).when(z == 4, c2).otherwise(F.col("_lo")).alias("_lo"),
-        F.when(z == 0, c1).when(z == 2, c2).otherwise(F.col("_hi")).alias("_hi"),
-        F.when((z == 1) | ((z == 2) & (c1 == c2)), c1).when(z == 3, c2).alias("value"),
+        F.coalesce(F.get(cuts, half - 1), F.col("_lo")).alias("_lo"),
+        F.coalesce(F.get(cuts, half), F.col("_hi")).alias("_hi"),
+        F.when(z % 2 == 1, F.get(cuts, half)).alias("value"),
     )
 
 
@@ -73,8 +73,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """(keys, p, value): the item at index ``int(p * n)`` of the sorted values, p below 1.
 
-    Column-pruned scans, each combined before its shuffle. Approximate quantiles cut the values;
-    exact counts below, at, between and above two cuts tell which zone holds the rank; and the same
+    Column-pruned scans, each combined before its shuffle. Approximate quantiles, and a value by
+    chance, cut the values; exact counts below, at, between and above the cuts tell which zone holds the rank; and the same
     is done within that zone, until it is a single value or has ``SMALL`` values at most, which are
     sorted. A round leaves about one value in two hundred. The answer is exact however far off the
     approximation is; it only decides how much is left. The cuts are stored first, because a
@@ -86,20 +86,21 @@ def exact_percentiles(
     ensure_checkpoint_dir(df.sparkSession)
     values = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     unbounded = F.lit(None).cast("double")
-    whole = values.groupBy(*keys).agg(F.count("*").alias("_c"), _quantiles()).filter("_c > 0")
+    whole = values.groupBy(*keys).agg(F.count("*").alias("_c"), *_cut_by(0)).filter("_c > 0")
     goals = _cuts(
         whole.select("*", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p")).withColumns(
             {"_rest": F.floor(F.col("p") * F.col("_c")) + 1, "_lo": unbounded, "_hi": unbounded}
         )
     ).checkpoint()
-    found = []
+    found, turn = [], 0
     while goals.filter(F.col("_c") > SMALL).limit(1).count():
+        turn += 1
         placed = _narrowed(values, goals, keys).checkpoint()
         found.append(placed.filter("value IS NOT NULL").select(*keys, "p", "value"))
         goals = placed.filter("value IS NULL").drop("value")
         if not goals.filter(F.col("_c") > SMALL).limit(1).count():
             break
-        cut = _candidates(values, goals, keys).groupBy(*keys, "p", "_rest", "_c", "_lo", "_hi").agg(_quantiles())
+        cut = _candidates(values, goals, keys).groupBy(*keys, "p", "_rest", "_c", "_lo", "_hi").agg(*_cut_by(turn))
         goals = _cuts(cut).checkpoint()
     distinct = _candidates(values, goals, keys).groupBy(*keys, "p", "_rest", "_v").agg(F.count("*").alias("_n"))
     # SMALL values a goal at most
