@@ -119,3 +119,56 @@ def test_repeated_rows_and_empty_table(spark):
     got = caps.near_vectors(spark.createDataFrame([(1, v, 1)] * 3, SCHEMA)).collect()
     assert [(r.n_links, r.component_id, r.kept) for r in got] == [(2, 1, True)] * 3
     assert caps.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def _at_threshold(chance, n, dim):
+    one = caps._units(list(chance.standard_normal((n, dim))))
+    other = chance.standard_normal((n, dim))
+    other -= (other * one).sum(axis=1, keepdims=True) * one
+    other = caps._units(list(other))
+    return one, (caps.COSINE + 1e-9) * one + np.sqrt(1 - (caps.COSINE + 1e-9) ** 2) * other
+
+
+@pytest.mark.parametrize("dim", [4, 8, 12, 16, 24, 32, 48, 64, 256])
+def test_recall_at_the_threshold_in_every_dimension(dim):
+    one, two = _at_threshold(np.random.default_rng(dim), 400, dim)
+    wide = [np.pad(x, ((0, 0), (0, max(0, caps.LEAST_DIM - dim)))) for x in (one, two)]
+    met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(*map(caps.list_decode, wide), strict=True)]
+    assert np.mean(met) >= 0.95
+
+
+@pytest.mark.parametrize("dim", [1, 2, 8])
+def test_short_vectors_link(spark, dim):
+    chance = np.random.default_rng(dim)
+    centres = chance.standard_normal((6, dim))
+    rows = [
+        (10 * c + i, [float(x) for x in centres[c] * (1 + 0.1 * i) + 0.002 * chance.standard_normal(dim)], c)
+        for c in range(6) for i in range(4)
+    ]
+    got = caps.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    links, _ = _brute(rows)
+    count = {}
+    for i, j in links:
+        for k in (i, j):
+            count[rows[k][0]] = count.get(rows[k][0], 0) + 1
+    assert {r.vec_id: r.n_links for r in got} == {v: count.get(v, 0) for v, _, _ in rows}
+
+
+def test_labels_are_compared_whole_and_may_be_large(spark, monkeypatch):
+    vector = [float(x) for x in np.random.default_rng(1).standard_normal(64)]
+    near = [x + 0.001 for x in vector]
+    labels = [-1, 2147483647, 3_000_000_000, 3_000_000_000, 3_000_000_000 + 2**31, -(2**63), 2**63 - 1]
+    rows = [(i, vector if i % 2 else near, label) for i, label in enumerate(labels)]
+    for kind in ("long", "string"):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long")
+        frame = frame.withColumn("label", frame.label.cast(kind))
+        got = {r.vec_id: (r.n_links, r.component_id) for r in caps.near_vectors(frame).collect()}
+        assert got == {i: (1, 2) if i in (2, 3) else (0, i) for i in range(len(labels))}
+
+
+def test_labels_that_share_a_cap_number_do_not_link():
+    """Rows of one task whose labels differ, as when bits of their hashes agree."""
+    vector = [float(x) for x in np.random.default_rng(1).standard_normal(64)]
+    group = [(5, 0, 0, 0, node, vector, 1, [5], label) for node, label in ((1, "a"), (2, "b"), (3, "b"))]
+    made = [tuple(r.values()) for batch in caps._compare(group, 0.93) for r in batch.to_pylist()]
+    assert sorted(made) == [(2, 1, 2), (3, 1, 2)]
