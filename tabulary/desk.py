@@ -70,8 +70,8 @@ class QueryDesk:
     ) -> Envelope:
         """One page of rows. ``position`` is the previous page's ``next_position``.
 
-        A position never holds a hidden value: hidden keys are in it as a digest, and the row it
-        names is looked up when the page after it is asked for. ``with_total`` counts all matching
+        A position never holds a hidden value: hidden keys are in it sealed by the registry's secret,
+        and one of another table or order is refused. ``with_total`` counts all matching
         rows for the pagination. ``column_types`` are stored declarations (see
         ``sources.column_types``) that decide how filter values compare, over the table's own.
         """
@@ -104,11 +104,13 @@ class QueryDesk:
         _, heavy = projection.split_columns(self.registry, spec, df, columns)
 
         hidden = self.registry.hidden_for(spec)
+        asked = "/".join([database, table, sort or "", "parent" if trigger is not None else "all"])
+        seal = paging.Seal(self.registry.secret, asked)
         if position is not None:
-            position = paging.unsealed(rows, keys, hidden, position)
+            position = paging.unsealed(rows, keys, hidden, seal, position)
 
         def page_position() -> Pagination:
-            end, more = paging.sealed_page_end(rows, keys, hidden, limit, position)
+            end, more = paging.sealed_page_end(rows, keys, hidden, limit, seal, position)
             return Pagination(end, more, rows.count() if with_total else None)
 
         read = {c.column for c in rest}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabulary.errors import invalid_cursor, invalid_filter
 from tabulary.operators.numbering import number_rows
+from tabulary.session import local_frame
 
 # Page size defaults and bounds.
 DEFAULT_LIMIT, MAX_LIMIT, MAX_FRAGMENT_LIMIT = 50, 200, 100
@@ -82,8 +83,42 @@ def after(keys: Sequence[SortKey], position: Sequence[Any]) -> Column:
     return condition if bound is None else bound & condition
 
 
-def _seal(hidden: Sequence[SortKey]) -> Column:
-    return F.sha2(F.to_json(F.struct(*[F.col(k.column) for k in hidden])), 256)
+@dataclass(frozen=True)
+class Seal:
+    """Keeps hidden key values of a position from the caller, by authenticated encryption.
+
+    ``secret`` has 16, 24 or 32 bytes and stays with the service; ``request`` names what the
+    position belongs to, so one of another request, or a changed one, cannot be opened. What is
+    sealed are the values themselves: the next page needs no look at the table to go on.
+    """
+
+    secret: bytes
+    request: str
+
+    def _how(self) -> list[Column]:
+        return [F.lit("GCM"), F.lit("DEFAULT")]
+
+    def closed(self, columns: Sequence[str]) -> Column:
+        """The values of some columns as one text; no two closings look alike."""
+        values = F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
+        no_iv = F.lit(b"")  # one is drawn
+        return F.base64(F.aes_encrypt(values, F.lit(self.secret), *self._how(), no_iv, F.lit(self.request)))
+
+    def opened(self, df: DataFrame, columns: Sequence[str], text: Any) -> tuple:
+        """The values that ``text`` holds, in the types of the columns; a stranger is an error."""
+        if not isinstance(text, str):
+            raise invalid_cursor()
+        found = F.from_json(
+            F.try_aes_decrypt(F.try_to_binary(F.lit(text), F.lit("base64")), F.lit(self.secret), *self._how(), F.lit(self.request))
+            .cast("string"),
+            "array<string>",
+        )
+        typed = [F.get(found, F.lit(i)).cast(df.schema[c].dataType).alias(f"v{i}") for i, c in enumerate(columns)]
+        one = local_frame(df.sparkSession, [(1,)], "one int")
+        row = one.select((F.size(found) == len(columns)).alias("known"), *typed).first()
+        if not row["known"]:
+            raise invalid_cursor()
+        return tuple(row)[1:]
 
 
 def sealed_page_end(
@@ -91,13 +126,14 @@ def sealed_page_end(
     keys: Sequence[SortKey],
     hidden: frozenset[str],
     limit: int,
+    seal: Seal,
     position: Sequence[Any] | None = None,
 ) -> tuple[tuple | None, bool]:
-    """As :func:`page_end`, but all hidden key values of the row become one digest at the end."""
-    kept = [k for k in keys if k.column not in hidden]
-    inside = [k for k in keys if k.column in hidden]
+    """As :func:`page_end`, but all hidden key values of the row are sealed in one text at the end."""
+    kept = [k.column for k in keys if k.column not in hidden]
+    inside = [k.column for k in keys if k.column in hidden]
     probe = page(df.select(*[k.column for k in keys]), keys, limit + 1, position)
-    shown = [F.col(k.column) for k in kept] + ([_seal(inside)] if inside else [])
+    shown = [F.col(c) for c in kept] + ([seal.closed(inside).alias("_sealed")] if inside else [])
     rows = probe.select(*shown).collect()  # bounded by the page size
     if len(rows) <= limit:
         return None, False
@@ -105,24 +141,18 @@ def sealed_page_end(
 
 
 def unsealed(
-    df: DataFrame, keys: Sequence[SortKey], hidden: frozenset[str], position: Sequence[Any]
+    df: DataFrame, keys: Sequence[SortKey], hidden: frozenset[str], seal: Seal, position: Sequence[Any]
 ) -> tuple:
-    """The full position behind a sealed one: the visible values and the digest name its row."""
-    kept = [k for k in keys if k.column not in hidden]
-    inside = [k for k in keys if k.column in hidden]
+    """The full position behind a sealed one."""
+    kept = [k.column for k in keys if k.column not in hidden]
+    inside = [k.column for k in keys if k.column in hidden]
     if not inside:
         return tuple(position)
     if len(position) != len(kept) + 1:
         raise invalid_cursor()
-    same = [k.equals(v) for k, v in zip(kept, position, strict=False)]
-    row = (
-        df.filter(reduce(and_, [*same, _seal(inside) == F.lit(position[-1])]))
-        .select(*[k.column for k in keys])
-        .first()
-    )
-    if row is None:
-        raise invalid_cursor()
-    return tuple(row)
+    known = dict(zip(kept, position, strict=False))
+    known |= zip(inside, seal.opened(df, inside, position[-1]), strict=True)
+    return tuple(known[k.column] for k in keys)
 
 
 def page(

@@ -279,6 +279,23 @@ def next_page_with_nulls(spark, sf):
     return paging.page(rows, keys, 200, position)
 
 
+_LINES = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@query(
+    "SELECT l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate FROM lineitem "
+    f"ORDER BY l_quantity DESC, l_orderkey, {_LINES} LIMIT 100 OFFSET 200"
+)
+def next_page_sealed(spark, sf):
+    """The third page of a table whose key is hidden, by way of the sealed positions before it."""
+    served, position = desk(spark, sf), None
+    for _ in range(2):
+        page = served.query_table("sales", "lineitem", sort="-l_quantity", limit=100, position=position)
+        position = page.pagination().next_position
+    page = served.query_table("sales", "lineitem", sort="-l_quantity", limit=100, position=position)
+    return page.data.select("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
+
+
 @query(
     "SELECT count(*) AS total, count(*) > 200 AS has_more FROM orders WHERE o_totalprice >= 100000"
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -96,6 +97,7 @@ class Registry:
         source: str = "",
         attribution: str = "",
         search_denied_suffixes: tuple[str, ...] = ("_fragments",),
+        secret: bytes | None = None,
     ):
         self.databases = {d.name: d for d in databases}
         # "_policy" lives beside heavy text, so its name is reserved there.
@@ -104,6 +106,10 @@ class Registry:
         self.source = source
         self.attribution = attribution
         self.search_denied_suffixes = search_denied_suffixes
+        #: Seals hidden keys in positions. Without one given, positions hold for this process only.
+        self.secret = secret or os.urandom(32)
+        if len(self.secret) not in (16, 24, 32):
+            raise ValueError("a secret has 16, 24 or 32 bytes")
 
     def database(self, name: str) -> DatabaseSpec:
         if name not in self.databases:

@@ -10,6 +10,7 @@ from tabulary.errors import QueryError
 from tabulary.operators import paging
 from tabulary.operators.numbering import number_rows
 from tabulary.operators.paging import SortKey
+from tabulary.registry import Registry
 
 
 @pytest.fixture(scope="module")
@@ -154,3 +155,65 @@ def test_numbering_exchanges_the_rows_once(spark):
     physical = numbered._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in physical
     assert not any("payload" in line and ("Exchange" in line or "Sort" in line) for line in physical.splitlines())
+
+
+SECRET = bytes(range(32))
+
+
+def _hidden_rows(spark):
+    return spark.range(300).selectExpr(
+        "id", "id % 3 as v", "timestamp_micros(id * 1234567) as at", "if(id % 5 = 0, null, double(id) / 7) as d"
+    )
+
+
+def test_sealed_positions_walk_all_rows(spark):
+    df, seen, position = _hidden_rows(spark), [], None
+    keys = paging.sort_keys("-v", ["d", "at", "id"])
+    hidden, seal = frozenset({"id", "at", "d"}), paging.Seal(SECRET, "r")
+    while True:
+        inner = None if position is None else paging.unsealed(df, keys, hidden, seal, position)
+        seen += [r["id"] for r in paging.page(df, keys, 70, inner).collect()]
+        position, more = paging.sealed_page_end(df, keys, hidden, 70, seal, inner)
+        if not more:
+            break
+        assert len(position) == 2 and isinstance(position[1], str)
+    assert seen == [r["id"] for r in df.orderBy(*paging.order_by(keys)).collect()]
+
+
+def test_no_trial_of_ids_opens_a_seal(spark):
+    """Every id closed without the secret, or digested, differs; so do two seals of one row."""
+    import base64
+    import hashlib
+    import json
+
+    df, keys, hidden = spark.range(300).selectExpr("id"), paging.sort_keys(None, ["id"]), frozenset({"id"})
+    seal = paging.Seal(SECRET, "r")
+    (one,), _ = paging.sealed_page_end(df, keys, hidden, 40, seal)
+    (two,), _ = paging.sealed_page_end(df, keys, hidden, 40, seal)
+    assert one != two and paging.unsealed(df, keys, hidden, seal, (one,)) == (39,)
+    raw = base64.b64decode(one)
+    for i in range(300):
+        for text in (str(i), json.dumps([str(i)]), json.dumps({"id": i})):
+            digest = hashlib.sha256(text.encode())
+            assert digest.digest() not in raw and digest.hexdigest() != one
+    with pytest.raises(ValueError, match="secret"):
+        Registry([], secret=bytes(31))
+
+
+@pytest.mark.parametrize("change", ["secret", "request", "text", "garbage", "number", "empty", "columns"])
+def test_foreign_or_changed_seals_are_refused(spark, change):
+    df, keys, hidden = _hidden_rows(spark), paging.sort_keys(None, ["id", "v"]), frozenset({"id", "v"})
+    seal = paging.Seal(SECRET, "r")
+    (text,), _ = paging.sealed_page_end(df, keys, hidden, 40, seal)
+    other = {
+        "secret": (paging.Seal(bytes(32), "r"), text),
+        "request": (paging.Seal(SECRET, "s"), text),
+        "text": (seal, ("B" if text[0] == "A" else "A") + text[1:]),
+        "garbage": (seal, "not base64 at all"),
+        "number": (seal, 5),
+        "empty": (seal, ""),
+        "columns": (seal, paging.sealed_page_end(df, keys[:1], hidden, 40, seal)[0][0]),
+    }[change]
+    with pytest.raises(QueryError) as error:
+        paging.unsealed(df, keys, hidden, other[0], (other[1],))
+    assert error.value.code == "invalid_cursor"
