@@ -191,8 +191,9 @@ class QueryDesk:
     ) -> Envelope:
         """Merged previews over all searchable tables; totals come with the pagination.
 
-        Rows and totals each read the searched text; with ``keep_hits`` the matches are kept
-        on disk, without their text, until the answer's ``release``, and it is read once.
+        ``data`` and ``pagination`` each read the searched text when they are used; ``at_once`` gives
+        rows and totals from one job that reads it once. With ``keep_hits`` the matches are kept on
+        disk, without their text, until the answer's ``release``, for use in several jobs.
         """
         names = search.check_search(self.registry, query, decode_list(databases), limit)
         at = self.clock()
@@ -208,5 +209,9 @@ class QueryDesk:
             per_table = search.search_totals(found).collect()  # one row per table
             return Pagination(upstream_total_hits={r["table"]: r["hits"] for r in per_table})
 
+        def at_once() -> tuple[DataFrame, Pagination]:
+            rows, per_table = search.rows_and_totals(self.registry, found, limit, at)
+            return rows, Pagination(upstream_total_hits=per_table)
+
         kept = tuple(matched for _, matched in found) if keep_hits else ()
-        return Envelope(data, provenance, page=totals, kept=kept)
+        return Envelope(data, provenance, page=totals, kept=kept, both=at_once)

@@ -39,7 +39,8 @@ class Pagination:
 class Envelope:
     """``pagination`` runs a bounded job on first use; ``data`` stays lazy.
 
-    ``release`` gives back what the answer keeps on executors, if it keeps anything.
+    ``at_once`` gives both; where it can, from one job that reads the data once. ``release`` gives
+    back what the answer keeps on executors, if it keeps anything.
     """
 
     data: DataFrame
@@ -47,6 +48,10 @@ class Envelope:
     page: Callable[[], Pagination] | None = None
     warnings: tuple[str, ...] = ()
     kept: tuple[DataFrame, ...] = ()
+    both: Callable[[], tuple[DataFrame, Pagination]] | None = None
+
+    def at_once(self) -> tuple[DataFrame, Pagination | None]:
+        return (self.data, self.pagination()) if self.both is None else self.both()
 
     def release(self) -> None:
         for frame in self.kept:

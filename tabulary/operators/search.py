@@ -8,7 +8,7 @@ from datetime import datetime
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tabulary.errors import invalid_query
@@ -185,6 +185,29 @@ def search_rows(
     return round_robin(rows, limit).drop("round", "turn")
 
 
+def rows_and_totals(
+    registry: Registry,
+    found: Sequence[tuple[Target, DataFrame]],
+    limit: int,
+    retrieved_at: datetime,
+) -> tuple[DataFrame, dict[str, int]]:
+    """The rows of :func:`search_rows`, at most ``limit`` and local now, and all hits per table.
+
+    One job reads the searched text once: the hits are counted as they pass on their way to the
+    top rows.
+    """
+    seen = [(t, Observation(t.label)) for t, _ in found]
+    watched = [
+        (t, matched.observe(counter, F.count(F.lit(1)).alias("hits")))
+        for (t, matched), (_, counter) in zip(found, seen, strict=True)
+    ]
+    merged = search_rows(registry, watched, limit, retrieved_at)
+    rows = merged.collect()
+    # a table whose part the planner dropped had nothing in it
+    totals = {t.label: (counter.get or {}).get("hits", 0) for t, counter in seen}
+    return merged.sparkSession.createDataFrame(rows, PREVIEW_SCHEMA), totals
+
+
 def search_totals(found: Sequence[tuple[Target, DataFrame]]) -> DataFrame:
     """Hits per ``database.table``; tables without a hit count zero."""
     return labelled_counts([(t.label, matched) for t, matched in found], "table", "hits")

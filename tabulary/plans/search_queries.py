@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulary.operators import merge, postings, search
 from tabulary.plans.bindings import CC_BY, REGISTRY, RETRIEVED_AT, RETRIEVED_TEXT
 from tabulary.plans.catalogue import desk, query, table
+from tabulary.session import local_frame
 
 _ODC = "https://opendatacommons.org/licenses/by/1-0/"
 _WORDS = "(' ' || trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ')"
@@ -81,11 +82,28 @@ def _merged_sql(phrase: str, limit: int, names=_TURNS) -> str:
     )
 
 
+def _hits_sql(name: str, phrase: str) -> str:
+    database, *_, column = _PREVIEWS[name]
+    return f"SELECT '{database}.{name}' AS label, count(*) AS hits FROM {name} WHERE {_holds(column, phrase)}"
+
+
 @query(_merged_sql("of the", 100))
 def search_merged(spark, sf):
     return desk(spark, sf).search("of the", limit=100).data
 
 
+@query(
+    f"SELECT m.*, t.hits AS table_hits FROM ({_merged_sql('of the', 100)}) m "
+    f"JOIN ({' UNION ALL '.join(_hits_sql(n, 'of the') for n in _TURNS)}) t ON m.database || '.' || m.\"table\" = t.label"
+)
+def search_at_once(spark, sf):
+    """The merged rows, each with all hits of its table, from one job."""
+    rows, page = desk(spark, sf).search("of the", limit=100).at_once()
+    totals = local_frame(spark, list(page.upstream_total_hits.items()), "label string, table_hits long")
+    same = F.concat_ws(".", "database", "table") == F.col("label")
+    return rows.join(F.broadcast(totals), same).drop("label")  # one row per table
+
+
 @query(_merged_sql("widget", 20, ("part",)))
 def search_one_database(spark, sf):
     return desk(spark, sf).search(' "Widget" ', databases=["sales"], limit=20).data

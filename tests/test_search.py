@@ -141,6 +141,31 @@ def test_kept_hits_give_the_same_answer(desk):
     desk.spark.catalog.clearCache()
 
 
+@pytest.mark.parametrize("phrase", ["data protection", "protection", "nowhere to be found"])
+def test_rows_and_totals_at_once(desk, phrase):
+    answer = desk.search(phrase, limit=2)
+    rows, page = answer.at_once()
+    assert rows.collect() == answer.data.collect() and rows.schema.names == answer.data.schema.names
+    assert page.upstream_total_hits == answer.pagination().upstream_total_hits
+    nothing, none = desk.search("x", databases=["empty"]).at_once()
+    assert nothing.count() == 0 and none.upstream_total_hits == {}
+
+
+def test_at_once_runs_one_query(desk, monkeypatch):
+    """One collect, whose plan scans every searched table once."""
+    plans, collect = [], type(desk.search("x").data).collect
+
+    def counted(self):
+        plans.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return collect(self)
+
+    answer = desk.search("data protection", limit=2)
+    monkeypatch.setattr(type(answer.data), "collect", counted)
+    answer.at_once()
+    assert len(plans) == 1 and plans[0].count("CollectMetrics") == 3
+    assert plans[0].count("Relation") + plans[0].count("LogicalRDD") + plans[0].count("LocalRelation") <= 5
+
+
 def test_a_phrase_may_stand_in_any_search_column_but_not_across(desk):
     totals = desk.search("then protection").pagination().upstream_total_hits
     assert totals == {"alpha.b_news": 2, "alpha.a_news": 1, "zeta.z_news": 1}
