@@ -31,11 +31,15 @@ def build_session(app: str = "tabulary", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    if master and not master.startswith("local"):
-        conf = {**CLUSTER, **conf}
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    # Where it runs is known by the context: under spark-submit no master is passed here.
+    if not spark.sparkContext.master.startswith("local"):
+        for key, value in CLUSTER.items():
+            if spark.conf.get(key, None) is None:
+                spark.conf.set(key, value)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
