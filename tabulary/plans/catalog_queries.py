@@ -236,29 +236,26 @@ _DESCRIBED = {
     )
 )
 def table_description(spark, sf):
-    parts = []
-    for database, name, _, _ in _DESCRIBED:
-        schema = desk(spark, sf).describe_table(database, name).data
-        parts.append(
-            schema.select(
-                F.col("name").alias("table"),
-                F.explode("columns").alias("c"),
-                "light_columns",
-                "url_keyed",
-                "supports_fragments",
-                "row_count",
-            ).select(
-                "table",
-                F.col("c.name").alias("column"),
-                F.col("c.type").alias("type"),
-                F.col("c.description").alias("description"),
-                F.array_contains("light_columns", F.col("c.name")).alias("light"),
-                "url_keyed",
-                "supports_fragments",
-                "row_count",
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    names = [(database, name) for database, name, _, _ in _DESCRIBED]
+    served = desk(spark, sf)
+    schema = discovery.describe_tables(spark, served.registry, names, served.open)
+    return schema.select(
+        F.col("name").alias("table"),
+        F.explode("columns").alias("c"),
+        "light_columns",
+        "url_keyed",
+        "supports_fragments",
+        "row_count",
+    ).select(
+        "table",
+        F.col("c.name").alias("column"),
+        F.col("c.type").alias("type"),
+        F.col("c.description").alias("description"),
+        F.array_contains("light_columns", F.col("c.name")).alias("light"),
+        "url_keyed",
+        "supports_fragments",
+        "row_count",
+    )
 
 
 @query(

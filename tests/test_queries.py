@@ -30,3 +30,17 @@ def test_query_matches_its_oracle(spark, sf, con, name):
     rows = [tuple(r) for r in df.collect()]
     columns, expected, _ = oracle(con, ORACLES[name])
     assert difference(canonical(df.columns, rows), canonical(columns, expected)) is None
+
+
+def test_many_descriptions_equal_single_ones(spark, sf):
+    """One job's worth of counts, the same rows as a call for each table."""
+    from tabulary.operators import discovery
+    from tabulary.plans.catalogue import desk
+
+    served = desk(spark, sf)
+    names = [(d, t.name) for d in served.registry.databases for t in served.registry.visible_tables(d)]
+    many = discovery.describe_tables(spark, served.registry, names, served.open)
+    got = {(r["database"], r["name"]): r for r in many.collect()}
+    for database, name in names:
+        (one,) = served.describe_table(database, name).data.collect()
+        assert {c: one[c] for c in one.__fields__} == {c: got[database, name][c] for c in one.__fields__}
