@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -194,20 +195,46 @@ def rows_and_totals(
     """The rows of :func:`search_rows`, at most ``limit`` and local now, and all hits per table.
 
     One job reads the searched text once: the hits are counted as they pass on their way to the
-    top rows.
+    top rows. A table whose counter cannot be trusted is counted by itself afterwards: adaptive
+    execution may drop a part that turns out empty, and its counter with it, and a part of the table
+    that is computed again, for a lost executor or a range sort, is counted again.
     """
     seen = [(t, Observation(t.label)) for t, _ in found]
-    watched = [
-        (t, matched.observe(counter, F.count(F.lit(1)).alias("hits")))
-        for (t, matched), (_, counter) in zip(found, seen, strict=True)
-    ]
+    watched = [(t, _watched(matched, counter)) for (t, matched), (_, counter) in zip(found, seen, strict=True)]
     merged = search_rows(registry, watched, limit, retrieved_at)
     rows = merged.collect()
-    # a table whose part the planner dropped had nothing in it
-    totals = {t.label: (counter.get or {}).get("hits", 0) for t, counter in seen}
+    totals = {t.label: _counted(counter) for t, counter in seen}
+    untold = [(t, matched) for t, matched in found if totals[t.label] is None]
+    if untold:
+        totals |= {r["table"]: r["hits"] for r in search_totals(untold).collect()}  # one row per table
     return merged.sparkSession.createDataFrame(rows, PREVIEW_SCHEMA), totals
 
 
+def _watched(matched: DataFrame, counter: Observation) -> DataFrame:
+    """Count the hits as they pass, and how often each part of the table did."""
+    number = F.col("_number")  # part, and place in it by the lower 33 bits
+    return (
+        matched.withColumn("_number", F.monotonically_increasing_id())
+        .withColumns({"_part": F.shiftright(number, 33), "_first": number.bitwiseAND(F.lit((1 << 33) - 1)) == 0})
+        .observe(
+            counter,
+            F.count(F.lit(1)).alias("hits"),
+            F.count_if("_first").alias("passes"),
+            F.collect_set("_part").alias("parts"),
+        )
+        .select(*matched.columns)
+    )
+
+
+def _counted(counter: Observation) -> int | None:
+    """What the counter saw, or None if it was not in the plan that ran or saw a part twice."""
+    try:
+        saw = counter.get
+    except Py4JJavaError:  # a row without columns
+        return None
+    return saw["hits"] if saw and saw["passes"] == len(saw["parts"]) else None
+
+
 def search_totals(found: Sequence[tuple[Target, DataFrame]]) -> DataFrame:
     """Hits per ``database.table``; tables without a hit count zero."""
     return labelled_counts([(t.label, matched) for t, matched in found], "table", "hits")
@@ -224,4 +251,4 @@ def visible_only(registry: Registry, rows: DataFrame) -> DataFrame:
     """Keep rows whose (database, table) is visible in the catalog."""
     names = [(d, t.name) for d in registry.databases for t in registry.visible_tables(d)]
     catalog = local_frame(rows.sparkSession, names, "database string, table string")
-    return rows.join(catalog, ["database", "table"], "left_semi").select(*rows.columns)
+    return rows.join(F.broadcast(catalog), ["database", "table"], "left_semi").select(*rows.columns)

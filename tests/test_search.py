@@ -166,6 +166,21 @@ def test_at_once_runs_one_query(desk, monkeypatch):
     assert plans[0].count("Relation") + plans[0].count("LogicalRDD") + plans[0].count("LocalRelation") <= 5
 
 
+@pytest.mark.parametrize("setting", ["spark.sql.execution.arrow.pyspark.enabled", "spark.sql.execution.topKSortFallbackThreshold"])
+def test_totals_at_once_where_parts_are_dropped_or_computed_twice(desk, setting):
+    """Stages below the merge: adaptive execution drops empty ones, and range sorts sample theirs first."""
+    spark, before = desk.spark, desk.spark.conf.get(setting)
+    spark.conf.set(setting, "1" if before.isdigit() else "false")
+    try:
+        for phrase in ("data protection", "nowhere to be found"):
+            answer = desk.search(phrase, limit=2)
+            rows, page = answer.at_once()
+            assert page.upstream_total_hits == answer.pagination().upstream_total_hits
+            assert rows.collect() == answer.data.collect()
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_a_phrase_may_stand_in_any_search_column_but_not_across(desk):
     totals = desk.search("then protection").pagination().upstream_total_hits
     assert totals == {"alpha.b_news": 2, "alpha.a_news": 1, "zeta.z_news": 1}
