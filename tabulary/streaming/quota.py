@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 import pickle
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -373,6 +372,11 @@ def daily_quota(
     )
 
 
+#: Groups of keys that a stream's state is held by, so the most tasks that can share a batch. Fixed for
+#: the life of a stream's progress folder.
+KEY_GROUPS = 1024
+
+
 def stream_quota(
     requests: DataFrame,
     key: str,
@@ -383,92 +387,116 @@ def stream_quota(
 ) -> DataFrame:
     """Streaming form of :func:`replay`: decisions per micro-batch, one bucket per key.
 
-    Requests without a key share one. The rows of a key that come in one batch are decided in
-    time order: frames are walked one after another, and where there are several they wait in the
+    Requests without a key share one. Keys are dealt into ``KEY_GROUPS`` groups, which are decided
+    together, so a batch costs a few calls a group and two small ones a key. The rows of a key that
+    come in one batch are decided in time order: where a group has several frames they wait in the
     state store, by number, until the order of all is known, so a task holds one frame and some
     numbers a request however many there are. Idle buckets time out on event time; then requests
     later than the watermark are dropped and counted by the state operator's metrics. Without an
     idle time there is no time-out, and late requests are decided when they come.
     """
     fields = requests.schema.fields
-    timed = requests.withWatermark(ts, watermark).withColumn("_at", _micros(ts))
+    timed = requests.withWatermark(ts, watermark).withColumn("_at", _micros(ts)).withColumn("_key", _key_of(key))
     added = [T.StructField("_at", T.LongType()), T.StructField("_key", T.StringType())]
     out = T.StructType([*fields, *added, *_DECISION])
-    decided = timed.withColumn("_key", _key_of(key)).groupBy("_key").transformWithStateInPandas(
-        Meter(quota, tiebreak, [*requests.columns, "_at", "_key"]), out, "append", "none" if quota.idle_ttl_seconds is None else "eventTime"
+    grouped = timed.withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(KEY_GROUPS))).groupBy("_group")
+    decided = grouped.transformWithStateInPandas(
+        Meter(quota, tiebreak, [*requests.columns, "_at", "_key", "_group"]), out, "append", "none" if quota.idle_ttl_seconds is None else "eventTime"
     )
     return decided.drop("_at", "_key")
 
 
 class Meter(StatefulProcessor):
-    """One bucket per key, and an event timer that forgets it when it has been idle."""
+    """One bucket per key of a group, and an event timer that forgets those that have been idle.
+
+    Without a column ``_key`` all rows are one key's.
+    """
 
     def __init__(self, quota: Quota, tiebreak: str, columns: Sequence[str]):
         self.quota, self.tiebreak, self.columns = quota, tiebreak, list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.bucket = handle.getValueState("bucket", STATE_SCHEMA)
+        self.buckets = handle.getMapState("buckets", "key string", STATE_SCHEMA)
         self.waiting = handle.getMapState("waiting", "number long", "frame binary")
 
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues
     ) -> Iterator[pd.DataFrame]:
         # frames come with names that are no Python identifiers replaced
-        rows = (frame.set_axis(self.columns, axis=1) for frame in rows)
-        first, second = next(rows), next(rows, None)
-        known = self.bucket.get()
-        bucket = Bucket(*known) if known is not None else None
-        if second is None:
-            batch = first.sort_values(["_at", self.tiebreak], kind="stable")
-            after, allowed, waits, left = decide_run(bucket, batch["_at"].to_numpy(), self.quota)
-            yield batch.assign(allowed=allowed, retry_after=waits, tokens_left=left)
-        else:
-            after = yield from self._decide_many(bucket, itertools.chain([first, second], rows))
-        self.bucket.update(tuple(after))
-        # a timer of an earlier batch stays: it looks at the bucket again when it fires
-        deadline = expires(after, self.quota)
-        if deadline is not None and next(iter(self.handle.listTimers()), None) is None:
-            self._wake(deadline, timerValues)
-
-    def _decide_many(self, bucket: Bucket | None, frames: Iterator[pd.DataFrame]):
-        """Decide all requests in order, then hand out the frames as they came; returns the bucket."""
-        sizes, order = [], []
+        rows = (frame.set_axis(self.columns, axis=1).drop(columns="_group") for frame in rows)
+        after = yield from self._decide_many(self._known, rows)
+        for name, bucket in after.items():
+            self.buckets.updateValue((name,), tuple(bucket))
+        # a timer of an earlier batch stays: it looks at the buckets again when it fires
+        if self.quota.idle_ttl_seconds is not None and next(iter(self.handle.listTimers()), None) is None:
+            self._wake(min(expires(bucket, self.quota) for bucket in after.values()), timerValues)
+
+    def _known(self, key: str) -> Bucket | None:
+        known = self.buckets.getValue((key,))
+        return Bucket(*known) if known is not None else None
+
+    def _decide_many(self, known: Callable[[str], Bucket | None] | None, frames: Iterator[pd.DataFrame]):
+        """Decide all requests in order, then hand out the frames as they came; returns the buckets by key."""
+        numbers, sizes, order, single = {}, [], [], None
         for number, frame in enumerate(frames):
-            self.waiting.updateValue((number,), (pickle.dumps(frame),))
+            if number == 0:
+                single = frame
+            else:
+                if single is not None:
+                    self.waiting.updateValue((0,), (pickle.dumps(single),))
+                    single = None
+                self.waiting.updateValue((number,), (pickle.dumps(frame),))
             sizes.append(len(frame))
-            order.append(frame[["_at", self.tiebreak]])
-        order = pd.concat(order, ignore_index=True).sort_values(["_at", self.tiebreak], kind="stable")
-        times, place = order["_at"].to_numpy(), order.index.to_numpy()
+            order.append(frame[["_at", self.tiebreak]].assign(_number=self._numbers(frame, numbers)))
+        order = pd.concat(order, ignore_index=True).sort_values(["_number", "_at", self.tiebreak], kind="stable")
+        times, place, owner = order["_at"].to_numpy(), order.index.to_numpy(), order["_number"].to_numpy()
         del order
-        after, *decided = decide_run(bucket, times, self.quota)
-        unsorted = []
-        for values in decided:
-            back = np.empty_like(values)
-            back[place] = values
-            unsorted.append(back)
+        starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])).tolist()
+        after, n = {}, len(times)
+        decided = [np.empty(n, bool), np.empty(n, np.int64), np.empty(n)]
+        for name, start, end in zip(numbers, starts, [*starts[1:], n], strict=True):
+            bucket = known(name) if known is not None else None
+            after[name], *values = decide_run(bucket, times[start:end], self.quota)
+            for whole, part in zip(decided, values, strict=True):
+                whole[place[start:end]] = part
         at = 0
         for number, size in enumerate(sizes):
-            frame = pickle.loads(self.waiting.getValue((number,))[0])
-            self.waiting.removeKey((number,))
-            allowed, waits, left = (v[at : at + size] for v in unsorted)
+            frame = single
+            if frame is None:
+                frame = pickle.loads(self.waiting.getValue((number,))[0])
+                self.waiting.removeKey((number,))
+            allowed, waits, left = (v[at : at + size] for v in decided)
             yield frame.assign(allowed=allowed, retry_after=waits, tokens_left=left)
             at += size
         return after
 
+    def _numbers(self, frame: pd.DataFrame, numbers: dict[str | None, int]) -> np.ndarray:
+        """The number of each row's key, which new keys are given in turn."""
+        if "_key" not in self.columns:
+            return np.full(len(frame), numbers.setdefault(None, 0), np.int32)
+        own, names = pd.factorize(frame["_key"])
+        return np.array([numbers.setdefault(name, len(numbers)) for name in names], np.int32)[own]
+
     def _wake(self, deadline: int, timerValues: TimerValues) -> None:
         self.handle.registerTimer(max(deadline // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
 
     def handleExpiredTimer(
         self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
     ) -> Iterator[pd.DataFrame]:
-        known = self.bucket.get()
-        if known is not None:
-            deadline = expires(Bucket(*known), self.quota)
-            if deadline is not None and deadline // 1000 >= timerValues.getCurrentWatermarkInMs():
-                self._wake(deadline, timerValues)
+        """Forget idle keys. The group is looked through once an idle time at most, as a bucket that is
+        there too long is found expired when its key comes again."""
+        now, gone, left = timerValues.getCurrentWatermarkInMs(), [], []
+        for name, bucket in self.buckets.iterator():
+            deadline = expires(Bucket(*bucket), self.quota)
+            if deadline // 1000 >= now:
+                left.append(deadline)
             else:
-                self.bucket.clear()
+                gone.append(name)
+        for name in gone:
+            self.buckets.removeKey(name)
+        if left:
+            self._wake(max(min(left), now * 1000 + int(self.quota.idle_ttl_seconds * _SECOND)), timerValues)
         return iter(())
 
     def close(self) -> None:

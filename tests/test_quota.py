@@ -308,3 +308,44 @@ def test_frames_wait_in_the_store_and_not_in_the_task():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert made == 1_000_000 and peak < 200_000_000
+
+
+@pytest.mark.parametrize("limits", [Quota(3, 1 / 40, 60, None), Quota(2, 1 / 90, 20, 300.0)])
+def test_a_call_decides_all_keys_of_a_group(limits):
+    """Two batches of several frames, keys mixed and out of order; idle buckets are then forgotten."""
+    from types import SimpleNamespace
+
+    class Store(dict):
+        updateValue, getValue, removeKey, iterator = dict.__setitem__, dict.get, dict.__delitem__, dict.items
+
+    timers, store = [], Store()
+    meter = quota.Meter(limits, "id", ["id", "_at", "_key", "_group"])
+    meter.buckets, meter.waiting = store, Store()
+    meter.handle = SimpleNamespace(listTimers=lambda: list(timers), registerTimer=timers.append)
+    rng, start = random.Random(5), NOON
+    known, expected, got, last = {}, {}, {}, NOON
+    watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    for batch in range(2):
+        rows = [(batch * 1000 + i, start + rng.randrange(2000) * SECOND, f"k{rng.randrange(9)}", 7) for i in range(600)]
+        start += 2000 * SECOND
+        for i, at, key, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+            known[key], *expected[i] = quota.decide(known.get(key), at, limits)
+            last = max(last, at)
+        frames = [pd.DataFrame(rows[n : n + 250], columns=["a", "b", "c", "d"]) for n in range(0, 600, 250)]
+        for frame in meter.handleInputRows((7,), iter(frames), watermark):
+            assert list(frame.columns) == ["id", "_at", "_key", "allowed", "retry_after", "tokens_left"]
+            got |= {r.id: [r.allowed, r.retry_after, r.tokens_left] for r in frame.itertuples()}
+        assert not meter.waiting
+    assert got.keys() == expected.keys()
+    for i, (allowed, wait, left) in expected.items():
+        assert got[i][:2] == [allowed, wait] and got[i][2] == pytest.approx(left)
+    assert {k[0]: Bucket(*v) for k, v in store.items()}.keys() == known.keys()
+    if limits.idle_ttl_seconds is None:
+        assert not timers
+        return
+    assert len(timers) == 1
+    for ahead, left in ((0, True), (2 * 86_400_000, False)):
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: last // 1000 + ahead)  # noqa: B023
+        list(meter.handleExpiredTimer((7,), now, None))
+        assert bool(store) == left
+    assert len(timers) == 2 and timers[1] >= last // 1000 + 300_000
