@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabulary.llm.words import grouped, kept_in_worker
+from tabulary.llm.words import kept_in_worker, text_groups
 from tabulary.session import ensure_checkpoint_dir
 
 #: Tokens of a sequence; the token that ends a document; steps of the least-squares solution.
@@ -189,6 +189,31 @@ class Encoder:
             yield np.array(ids, "<u4")
 
 
+def _piece_rows(
+    batches: Iterable[pa.RecordBatch], encoder: Encoder, task: int, window: int, end_id: int
+) -> Iterator[pa.RecordBatch]:
+    """The pieces of one task's batches (doc_id, text)."""
+    met = np.zeros(window + 1, np.int64)
+    for batch in batches:
+        for some in text_groups(batch.column(1)):
+            doc_ids, texts = (c[some].to_pylist() for c in batch.columns)
+            rows: dict[str, list] = {
+                c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank")
+            }
+            for doc_id, ids in zip(doc_ids, encoder.encode([t or "" for t in texts]), strict=True):
+                ids = np.append(ids, np.array([end_id], "<u4"))
+                for start in range(0, len(ids), window):
+                    part = ids[start : start + window]
+                    values = (
+                        doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids), task,
+                        int(met[len(part)]),
+                    )
+                    met[len(part)] += 1
+                    for column, value in zip(rows.values(), values, strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in rows.items()})
+
+
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """The pieces of all documents (doc_id, text), with task and rank in the task by length.
 
@@ -197,29 +222,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_in_worker(("encoder", path), lambda: Encoder(path))
-        task = TaskContext.get().partitionId()
-        met = np.zeros(window + 1, np.int64)
-        for batch in batches:
-            docs_here = [
-                (i, t or "")
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            ]
-            for some in grouped(docs_here, lambda d: len(d[1])):
-                rows: dict[str, list] = {
-                    c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank")
-                }
-                for (doc_id, _), ids in zip(some, encoder.encode([t for _, t in some]), strict=True):
-                    ids = np.append(ids, np.array([end_id], "<u4"))
-                    for start in range(0, len(ids), window):
-                        part = ids[start : start + window]
-                        values = (
-                            doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids), task,
-                            int(met[len(part)]),
-                        )
-                        met[len(part)] += 1
-                        for column, value in zip(rows.values(), values, strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in rows.items()})
+        return _piece_rows(batches, encoder, TaskContext.get().partitionId(), window, end_id)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run,

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulary.llm.components import connected_components
-from tabulary.llm.words import grouped, mix, shingle_hashes
+from tabulary.llm.words import mix, shingle_hashes, text_groups
 from tabulary.session import ensure_checkpoint_dir
 
 #: Words of a shingle; least similarity in percent.
@@ -51,6 +51,8 @@ NEAREST = 3
 PAIRS = 1 << 19
 #: Rows of that table held at a time.
 BLOCK_ROWS = 256
+#: Bytes of text whose signatures go into one row for each part.
+SIGNED_BYTES = 1 << 22
 #: Ids that are sent to all tasks at most; more of them are joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -136,6 +138,33 @@ def _sketch(one: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _set_rows(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """What :func:`shingle_sets` gives of batches (doc_id, text_hash, text)."""
+    met: set[int] = set()
+    for batch in batches:
+        for some in text_groups(batch.column(2)):
+            ids, text_hashes, texts = (c[some] for c in batch.columns)
+            sets = _sets(texts.to_pylist(), width)
+            nodes = [_node(s) if len(s) else None for s in sets]
+            sketches: list[bytes | None] = []
+            for node, one in zip(nodes, sets, strict=True):
+                fresh = node is not None and node not in met
+                sketches.append(_sketch(one) if fresh else None)
+                if fresh:
+                    met.add(node)
+            if len(met) > 1 << 20:
+                met.clear()
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": ids,
+                    "text_hash": text_hashes,
+                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                    "node": pa.array(nodes, pa.int64()),
+                    "sketch": pa.array(sketches, pa.binary()),
+                }
+            )
+
+
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text_hash, n_shingles, node and sketch of its set.
 
@@ -143,35 +172,62 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for some in grouped(rows, lambda r: len(r[2] or "")):
-                sets = _sets([t for _, _, t in some], width)
-                nodes = [_node(s) if len(s) else None for s in sets]
-                sketches: list[bytes | None] = []
-                for node, one in zip(nodes, sets, strict=True):
-                    fresh = node is not None and node not in met
-                    sketches.append(_sketch(one) if fresh else None)
-                    if fresh:
-                        met.add(node)
-                if len(met) > 1 << 20:
-                    met.clear()
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array([i for i, _, _ in some], pa.int64()),
-                        "text_hash": pa.array([h for _, h, _ in some], pa.int64()),
-                        "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                        "node": pa.array(nodes, pa.int64()),
-                        "sketch": pa.array(sketches, pa.binary()),
-                    }
-                )
+        return _set_rows(batches, width)
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(
         run, "doc_id long, text_hash long, n_shingles long, node long, sketch binary"
     )
 
 
+def _signed_rows(
+    batches: Iterable[pa.RecordBatch], width: int, percent: int, parts: int
+) -> Iterator[pa.RecordBatch]:
+    """The signatures of batches (text), packed by part.
+
+    Sets are built for a few texts at a time; what goes into one row comes from more of them,
+    since rows with few signatures would cost more to shuffle.
+    """
+    met: set[int] = set()
+    for batch in batches:
+        for group in text_groups(batch.column(0), SIGNED_BYTES):
+            texts = batch.column(0)[group]
+            nodes: list[int] = []
+            signatures, owners = [], []
+            for some in text_groups(texts):
+                fresh, first = [], len(nodes)
+                for one in _sets(texts[some].to_pylist(), width):
+                    if len(one) and (node := _node(one)) not in met:
+                        met.add(node)
+                        fresh.append(one)
+                        nodes.append(node)
+                signature, owner = set_signatures(fresh, percent)
+                signatures.append(signature)
+                owners.append(owner + first)
+            if len(met) > 1 << 20:
+                met.clear()
+            if not nodes:
+                continue
+            signature, owner = np.concatenate(signatures), np.concatenate(owners)
+            part = (signature % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            signature, owner, part = signature[order], owner[order], part[order]
+            names = np.array(nodes, np.int64)
+            start = np.flatnonzero(np.diff(part, prepend=-1))
+            rows: dict[str, list] = {"part": [], "signatures": [], "owners": [], "nodes": []}
+            for a, b in zip(start, np.append(start[1:], len(part)), strict=True):
+                used, own = np.unique(owner[a:b], return_inverse=True)
+                rows["part"].append(int(part[a]))
+                rows["signatures"].append(signature[a:b].tobytes())
+                rows["owners"].append(own.astype(np.uint32).tobytes())
+                rows["nodes"].append(names[used].tobytes())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array(rows["part"], pa.int32()),
+                    **{c: pa.array(rows[c], pa.binary()) for c in ("signatures", "owners", "nodes")},
+                }
+            )
+
+
 def _shared_signatures(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
     """(leader, node, signatures): the signatures that two or more different sets have.
 
@@ -181,38 +237,7 @@ def _shared_signatures(docs: DataFrame, width: int, percent: int, parts: int) ->
     """
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        for batch in batches:
-            for some in grouped(batch.column(0).to_pylist(), lambda t: len(t or "")):
-                fresh, nodes = [], []
-                for one in _sets(some, width):
-                    if len(one) and (node := _node(one)) not in met:
-                        met.add(node)
-                        fresh.append(one)
-                        nodes.append(node)
-                if len(met) > 1 << 20:
-                    met.clear()
-                if not fresh:
-                    continue
-                signature, owner = set_signatures(fresh, percent)
-                part = (signature % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                signature, owner, part = signature[order], owner[order], part[order]
-                names = np.array(nodes, np.int64)
-                start = np.flatnonzero(np.diff(part, prepend=-1))
-                rows: dict[str, list] = {"part": [], "signatures": [], "owners": [], "nodes": []}
-                for a, b in zip(start, np.append(start[1:], len(part)), strict=True):
-                    used, own = np.unique(owner[a:b], return_inverse=True)
-                    rows["part"].append(int(part[a]))
-                    rows["signatures"].append(signature[a:b].tobytes())
-                    rows["owners"].append(own.astype(np.uint32).tobytes())
-                    rows["nodes"].append(names[used].tobytes())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array(rows["part"], pa.int32()),
-                        **{c: pa.array(rows[c], pa.binary()) for c in ("signatures", "owners", "nodes")},
-                    }
-                )
+        return _signed_rows(batches, width, percent, parts)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, names = [], []
@@ -275,8 +300,8 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, known: DataFrame, width: int) ->
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in grouped(batch.column(0).to_pylist(), lambda t: len(t or "")):
-                sets = [s for s in _sets(some, width) if len(s)]
+            for some in text_groups(batch.column(0)):
+                sets = [s for s in _sets(batch.column(0)[some].to_pylist(), width) if len(s)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "node": pa.array([_node(s) for s in sets], pa.int64()),
@@ -307,10 +332,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, width: int, p
 
     def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = (batch.column(c).to_pylist() for c in ("a", "b"))
+            # views of the batch: no set is copied
             keep = [
-                _similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
-                for a, b in zip(*sides, strict=True)
+                _similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), percent)
+                for pair in zip(batch.column("a"), batch.column("b"), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("u"), batch.column("v")], names=["u", "v"]
@@ -551,8 +576,8 @@ def _links_within(rows: DataFrame, percent: int) -> DataFrame:
                     one, two = int(u[k]), int(v[k])
                     a, b = find(label[one]), find(label[two])
                     if a != b and _similar(
-                        np.frombuffer(items[one].as_py(), np.uint64),
-                        np.frombuffer(items[two].as_py(), np.uint64), percent,
+                        np.frombuffer(items[one].as_buffer(), np.uint64),
+                        np.frombuffer(items[two].as_buffer(), np.uint64), percent,
                     ):
                         root[a] = b
                         links["u"].append(node[one])

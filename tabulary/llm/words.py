@@ -13,11 +13,15 @@ from types import ModuleType
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes hashed at a time; a longer word is taken whole.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Characters of text that one group of documents may add up to before it is handed on.
 GROUP_CHARS = 1 << 22
+#: Bytes of text that are taken out of an Arrow batch at a time.
+GROUP_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -138,6 +142,18 @@ def kept_in_worker(key: tuple, build: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def text_groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[slice]:
+    """Consecutive texts of ``limit`` bytes at most together, or one; nulls have none."""
+    start = total = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if i > start and total + size > limit:
+            yield slice(start, i)
+            start, total = i, 0
+        total += size
+    if start < len(column):
+        yield slice(start, len(column))
+
+
 def grouped(rows: Sequence, size_of) -> Iterator[Sequence]:
     """Consecutive slices whose sizes add up to about GROUP_CHARS at most (or one row)."""
     start = total = 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 
 
 def words(text):
@@ -55,3 +56,12 @@ def jaccard_rows(rows, percent=75):
         (doc_id, len(s), least.get(label, doc_id))
         for (doc_id, _), s, label in zip(rows, sets, labels, strict=True)
     ]
+
+
+def peak_of(work) -> int:
+    """Bytes that ``work`` allocates at most, numpy's arrays included."""
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak

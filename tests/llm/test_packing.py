@@ -5,11 +5,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tabulary.llm import packing
 from tabulary.llm.queries import BYTE_BPE
+from tests.llm.brute import peak_of
 
 TOKENIZER = Tokenizer.from_file(BYTE_BPE)
 SCHEMA = "doc_id long, text string"
@@ -133,3 +135,11 @@ def test_pieces_tile_documents_and_sequences(spark, many_parts, window):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), BYTE_BPE).count() == 0
+
+
+def test_a_batch_of_many_texts_takes_little_memory():
+    texts = pa.array([f"some words of text {i} " * 100 for i in range(10_000)], pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], names=["doc_id", "text"])
+    encoder = packing.Encoder(BYTE_BPE)
+    # with the whole batch as Python strings: 26 MB
+    assert peak_of(lambda: next(packing._piece_rows([batch], encoder, 0, 1024, 0))) < 12_000_000

@@ -9,7 +9,8 @@ import pytest
 
 from tabulary.llm import components, partenum
 from tabulary.llm.components import connected_components
-from tests.llm.brute import jaccard_rows
+from tabulary.llm.words import text_groups
+from tests.llm.brute import jaccard_rows, peak_of
 
 SCHEMA = "doc_id long, text string"
 
@@ -146,3 +147,42 @@ def test_exact_tests_never_lose_a_link():
         apart = sketches.distances(np.array([i]), np.array([j]))[0]
         assert apart <= len(np.setxor1d(sets[i], sets[j]))
         assert partenum._similar(sets[i], sets[j], 75) == _linked(sets[i], sets[j])
+
+
+def _many_texts():
+    chance = np.random.default_rng(5)
+    return [" ".join(f"w{x}" for x in chance.integers(0, 50_000, 400)) for _ in range(8000)]
+
+
+def test_a_batch_of_many_texts_takes_little_memory():
+    texts = pa.array(_many_texts(), pa.string())
+    assert texts.nbytes > 16_000_000
+    ids = pa.array(np.arange(len(texts)))
+    rows = pa.RecordBatch.from_arrays([ids, ids, texts], names=["doc_id", "text_hash", "text"])
+    only = pa.RecordBatch.from_arrays([texts], names=["text"])
+    # with whole batches as Python strings, in groups of 4 Mi characters: 86 and 117 MB
+    assert peak_of(lambda: sum(b.num_rows for b in partenum._set_rows([rows], 5))) < 25_000_000
+    assert peak_of(lambda: sum(b.num_rows for b in partenum._signed_rows([only], 5, 75, 51))) < 40_000_000
+
+
+def test_signatures_do_not_depend_on_how_texts_are_grouped():
+    texts = [*_many_texts()[:700], None, "", "two words", "x" * 600_000]
+    assert len(list(text_groups(pa.array(texts, pa.string())))) > 3
+    sets = [s for s in partenum._sets(texts, 5) if len(s)]
+    signature, owner = partenum.set_signatures(sets)
+    nodes = np.array([partenum._node(s) for s in sets])[owner]
+    got = []
+    for batch in partenum._signed_rows([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})], 5, 75, 7):
+        for part, s, o, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys = np.frombuffer(s, np.uint64)
+            assert (keys % np.uint64(7) == part).all()
+            got += zip(keys.tolist(), np.frombuffer(n, np.int64)[np.frombuffer(o, np.uint32)].tolist(), strict=True)
+    assert sorted(got) == sorted(zip(signature.tolist(), nodes.tolist(), strict=True))
+
+
+def test_text_groups_hold_every_text_once():
+    for texts in ([], [None], ["aa", None, "ж" * 3, "b" * 9, "", "c", "dd"], ["a"] * 20):
+        column = pa.array(texts, pa.string())
+        groups = [column[s].to_pylist() for s in text_groups(column, 5)]
+        assert [t for g in groups for t in g] == texts
+        assert all(len(g) == 1 or sum(len((t or "").encode()) for t in g) <= 5 for g in groups)
